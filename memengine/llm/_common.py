@@ -155,7 +155,22 @@ _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers; those of a usual slice are kept."""
+    kept = _POWERS.get(int(base))
+    if kept is not None and kept.size >= n:
+        return kept[:n]
+    want, n = n, max(n, 2 * SLICE_BYTES) if n <= 2 * SLICE_BYTES else n
+    out = _POWERS[int(base)] = _make_powers(base, n)
+    if n > 2 * SLICE_BYTES:
+        del _POWERS[int(base)]
+    return out[:want]
+
+
+def _make_powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[:1] = 1
     if n > 1:
