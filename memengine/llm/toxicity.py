@@ -423,6 +423,21 @@ def score_toxicity(
     return docs.select(id_col, F.col(text_col).cast("string").alias("__t")).mapInArrow(run, f"{id_col} {id_type}, score double, predicted int")
 
 
+def filter_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
+    """docs without the rows that score ``threshold`` or more; all columns stay, nothing is shuffled."""
+    label_col = options.pop("label_col", "toxic")
+    auto, plain, w = train(docs, labels, id_col, text_col, label_col, options.pop("per_class", 4000), options.pop("max_terms", 120))
+    extract = extractor(auto, plain)
+
+    def reject(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = extract(string_array(texts))
+            yield pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+
+    score = F.arrow_udf(reject, "double")
+    return docs.filter(score(F.col(text_col).cast("string")) < threshold)
+
+
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Labelled rows that may be learned from: crc32(id as text) mod 3 is not 1."""
     return labels.filter(split_of(F.col(id_col), 3) != 1)
