@@ -230,22 +230,19 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Iterator
 def links(distinct: DataFrame, plan: list[tuple[list[int], int]], distance: int, block: int = 4096) -> DataFrame:
     """(src, dst) longs: a set of links with the same components as all pairs within the distance."""
     entries = distinct.select("fp").mapInArrow(_file(plan), "part int, val long, fp long, home boolean")
-    # A bucket matters only if something is filed there and it has two entries or more.
-    sizes = (
-        entries.groupBy("part", "val")
-        .agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n"))
-        .filter("homes > 0 and n > 1")
-    )
-    few = F.col("n") <= block
-    sizes = sizes.select("part", "val", F.when(few, F.lit(1)).otherwise(F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    full = entries.join(sizes, ["part", "val"])
-    slot = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    full = full.withColumn("slot", slot)
+    # Buckets of over ``block`` entries are cut; all others are one unit of work.
+    hot = entries.groupBy("part", "val").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    hot = hot.select("part", "val", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    full = entries.join(hot, ["part", "val"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    full = full.withColumn("slot", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
     # Each entry goes to its row of block pairs: (slot, k) for k >= slot and (k, slot) for k < slot.
     spread = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "part", "val", F.least("slot", "k").alias("p"), F.greatest("slot", "k").alias("q"), "slot", "home", "fp"
     )
-    unit = spread.groupBy("part", "val", "p", "q").agg(F.collect_list(F.struct("slot", "home", "fp")).alias("members"))
+    unit = spread.groupBy("part", "val", "p", "q").agg(
+        F.collect_list(F.struct("slot", "home", "fp")).alias("members"), F.bool_or("home").alias("filed")
+    )
+    unit = unit.filter("filed and size(members) > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
