@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memengine.llm import cdc, chat, decontam, pieces, simhash, toxicity
+from memengine.llm import cdc, chat, decontam, pieces, simhash, topk, toxicity
 from memengine.llm._common import split_of
 
 #: Model file of the tokenizer that op2 and the pipeline use.
@@ -74,12 +74,34 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op10_exact_top_k": op10_exact_top_k,
     "op9_chat_formatting": op9_chat_formatting,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_formatting": OP9_SQL,
+    "op10_exact_top_k": OP10_SQL,
+}
