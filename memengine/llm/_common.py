@@ -199,3 +199,35 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         inv = _powers(_R_INV, n)
         h = (prefix[ends] - prefix[starts]) * inv[starts]
         return mix(h + (ends - starts).astype(np.uint64))
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the byte at which each starts."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    b = data[first].astype(np.int64)
+    last = data.size - 1
+    code = b.copy()
+    many = np.flatnonzero(b >= 0xC0)
+    if many.size:
+        at, lead = first[many], b[many]
+        c1 = data[np.minimum(at + 1, last)].astype(np.int64) & 0x3F
+        c2 = data[np.minimum(at + 2, last)].astype(np.int64) & 0x3F
+        c3 = data[np.minimum(at + 3, last)].astype(np.int64) & 0x3F
+        two = ((lead & 0x1F) << 6) | c1
+        three = ((lead & 0x0F) << 12) | (c1 << 6) | c2
+        four = ((lead & 0x07) << 18) | (c1 << 12) | (c2 << 6) | c3
+        code[many] = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+    return code, first
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter; the last place stands for all beyond."""
+    if not _LETTERS:
+        table = np.zeros(0x10001, bool)
+        table[:0x10000] = [chr(c).isalpha() for c in range(0x10000)]
+        table[-1] = False
+        _LETTERS.append(table)
+    return _LETTERS[0]

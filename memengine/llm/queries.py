@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memengine.llm import cdc, chat, decontam, pieces, simhash, topk, toxicity
+from memengine.llm import cdc, chat, decontam, langid, pieces, quality, simhash, topk, toxicity
 from memengine.llm._common import split_of
 
 #: Model file of the tokenizer that op2 and the pipeline use.
@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.training_rows(docs))
+    return found.select("doc_id", (split_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
@@ -30,6 +36,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = quality.score_quality(docs, quality.training_rows(labels), quality.training_rows(docs))
+    return scored.select("doc_id", (split_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -95,7 +107,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality": op3_quality,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
     "op10_exact_top_k": op10_exact_top_k,
     "op9_chat_formatting": op9_chat_formatting,
