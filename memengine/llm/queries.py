@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memengine.llm import cdc, chat, decontam, langid, pieces, quality, simhash, topk, toxicity
+from memengine.llm import cdc, chat, decontam, langid, licenses, pieces, quality, simhash, topk, toxicity
 from memengine.llm._common import split_of
 
 #: Model file of the tokenizer that op2 and the pipeline use.
@@ -52,6 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 #: Both turns of conversation -1, which op9 formats besides those of the table.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
     "op10_exact_top_k": op10_exact_top_k,
+    "op8_license_scan": op8_license_scan,
     "op9_chat_formatting": op9_chat_formatting,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
