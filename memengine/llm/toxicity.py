@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import SLICE_BYTES, bounded_sample, byte_words, range_hashes, slices, split_of, string_array
+from memengine.llm._common import SLICE_BYTES, bounded_sample, byte_words, code_points, range_hashes, slices, split_of, string_array
 
 # Verbs that introduce a quotation, and words that address a reader.
 REPORTING = ("said says wrote writes called quoted quote quoting replied shouted reads dijo dice escribió cita sagte sagt schrieb zitat dit écrit citation a-dit").split()
@@ -163,18 +163,9 @@ class Automaton:
 
 def _chars(data: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Columns of the characters of UTF-8 bytes, and the index of the character that each byte starts."""
-    lead = (data & 0xC0) != 0x80
-    first = np.flatnonzero(lead)
-    b = data[first].astype(np.int64)
-    code = b.copy()
-    two = b >= 0xC0
-    nxt = data[np.minimum(first + 1, data.size - 1)].astype(np.int64) & 0x3F
-    code[two] = ((b[two] & 0x1F) << 6) | nxt[two]
-    three = b >= 0xE0
-    if three.any():
-        third = data[np.minimum(first + 2, data.size - 1)].astype(np.int64) & 0x3F
-        code[three] = ((b[three] & 0x0F) << 12) | (nxt[three] << 6) | third[three]
-    code[b >= 0xF0] = column.size - 1
+    code, first = code_points(data)
+    lead = np.zeros(data.size, bool)
+    lead[first] = True
     number = np.empty(data.size + 1, np.int64)
     np.cumsum(lead, out=number[1:])
     number[0] = 0
@@ -354,8 +345,9 @@ def train(
     """Lexicon automaton, plain look-alikes, weights; ``labels`` holds training rows only."""
     known = labels.filter(f"{label_col} in (0, 1)").groupBy(id_col).agg(F.max(label_col).alias(label_col))
     picked = bounded_sample(known, id_col, label_col, per_class)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t")).join(picked, id_col).select("__t", label_col).filter("__t is not null")
-    rows = rows.persist()
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t"))
+    # The sample is bounded by per_class, so its ids go to the texts, not the other way round.
+    rows = rows.join(F.broadcast(picked), id_col).select("__t", label_col).filter("__t is not null").persist()
     try:
         words, stems = learn_lexicon(rows, label_col, max_terms, min_g)
         if not rows.filter(F.col(label_col) == 1).take(1) or not rows.filter(F.col(label_col) == 0).take(1):
