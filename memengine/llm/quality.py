@@ -90,6 +90,7 @@ def features(texts: pa.Array) -> np.ndarray:
         line_end = np.minimum(np.concatenate((line_start[1:], [data.size])), data.size)
         line_row = np.searchsorted(off, line_start, side="right") - 1
         line_end = np.minimum(line_end, off[line_row + 1])
+        line_end = line_end - (data[line_end - 1] == 10)  # the break itself is no part of a line
         n_lines = np.bincount(line_row, minlength=n)
         with np.errstate(over="ignore"):
             line_code = range_hashes(data, line_start, line_end) ^ (line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -104,10 +105,10 @@ def features(texts: pa.Array) -> np.ndarray:
         x[:, c + 7] = np.log1p(words) - np.log1p(distinct)
         x[:, c + 8] = (np.bincount(pair_row[h[:-1][same] == h[1:][same]], minlength=n) if h.size else np.zeros(n)) / some
         n_pairs = np.bincount(pair_row, minlength=n) if h.size else np.zeros(n)
-        x[:, c + 9] = 1 - _distinct(pairs, pair_row, n) / np.maximum(n_pairs, 1) if h.size else 0
+        x[:, c + 9] = (n_pairs - _distinct(pairs, pair_row, n)) / np.maximum(n_pairs, 1) if h.size else 0
         x[:, c + 10] = np.log1p(n_lines)
         x[:, c + 11] = np.log1p(size / np.maximum(n_lines, 1))
-        x[:, c + 12] = 1 - _distinct(line_code, line_row, n) / np.maximum(n_lines, 1)
+        x[:, c + 12] = (n_lines - _distinct(line_code, line_row, n)) / np.maximum(n_lines, 1)
         x[:, c + 13] = np.log1p((kinds[:, 8] + kinds[:, 9]) / some)
         x[:, c + 14] = np.log1p(kinds[:, 6] / some)
     return out
