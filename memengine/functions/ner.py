@@ -319,7 +319,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
             prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
         if min(row) > most:
             return most + 1
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def recover_facts(answer: str, default: float) -> list[tuple[str, float]]:

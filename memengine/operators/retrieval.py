@@ -80,7 +80,7 @@ def confidence(strength: Column, pinned: Column) -> Column:
 
 
 # What stands around the memories in a prompt.
-HEADER, FOOTER = "[Memory Context - use naturally in conversation]", "[End Memory Context]"
+HEADER, FOOTER = "[Memory Context — what you know about this user]", "[End Memory Context]"
 
 
 def format_block(rows: DataFrame) -> DataFrame:
