@@ -15,7 +15,8 @@ its words lies within word edit distance ``floor(max_edit * n)`` of the item's n
 
 The items are broadcast in slices of ``slice_mb`` at most; a larger benchmark takes several passes.
 
-Defined results: items of fewer than ``min_words`` words name nothing and take no part; null and empty
+Defined results: an item of 512 words or more is searched in parts of 256 words at least, and a leaked part
+leaks the item; items of fewer than ``min_words`` words name nothing and take no part; null and empty
 texts leak nothing; a pair of ids is reported once, with its least distance (ties: first place); an
 empty benchmark or table gives no rows.
 """
@@ -121,7 +122,7 @@ def repeats_for(items: list[np.ndarray], max_edit: float, bits: int, recall: flo
     return repeats
 
 
-def _search(items: list[tuple[object, np.ndarray]], id_col: str, max_edit: float, bits: int, recall: float, seed: int):
+def _search(items: list[tuple[object, np.ndarray]], max_edit: float, bits: int, recall: float, seed: int):
     repeats = repeats_for([h for _, h in items], max_edit, bits, recall, seed)
     sets = [np.unique(pair_hashes(h)) for _, h in items]
     known, inverse = np.unique(np.concatenate(sets), return_inverse=True)
@@ -182,59 +183,94 @@ def _search(items: list[tuple[object, np.ndarray]], id_col: str, max_edit: float
         ok = inside >= need[item]
         return item[ok], place[ok]
 
+    def find(texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, distance, first word, words of the item) of all leaks in an array of texts."""
+        out: list[tuple[int, int, int, int, int]] = []
+        for a, b in slices(texts):
+            w = byte_words(pc.utf8_lower(texts.slice(a, b - a)))
+            if w.starts.size < 2:
+                continue
+            h = range_hashes(w.data, w.starts, w.ends)
+            item, place = places_of(w, h)
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            for n in np.unique(size[item]).tolist():
+                d, walks, table, names = classes[n]
+                firsts = np.unique(place[size[item] == n])
+                # The stretch may start before its first shared pair, by what edits can hide.
+                grid = firsts[:, None] - np.arange(2 * d + 2)[None, :]
+                starts = np.unique(grid[grid >= w.first[w.row[firsts]][:, None]])
+                wide = np.concatenate((h, np.zeros(n, np.uint64)))
+                near: dict[tuple[int, int], list[int]] = defaultdict(list)
+                for c in range(0, starts.size, 4096):
+                    s = starts[c : c + 4096]
+                    keys = walks.keys(wide[s[:, None] + np.arange(n)[None, :]])
+                    slot = np.minimum(np.searchsorted(names, keys), names.size - 1)
+                    hit_w, hit_r = np.nonzero(names[slot] == keys)
+                    for i, key in zip(hit_w.tolist(), keys[hit_w, hit_r].tolist()):
+                        for k in table[key]:
+                            near[int(w.row[s[i]]), k].append(int(s[i]))
+                for (row, k), at in near.items():
+                    lo, hi = int(w.first[row]), int(w.first[row + 1])
+                    at = sorted(set(at))
+                    groups = [[at[0], at[0]]]
+                    for x in at[1:]:  # neighbouring windows are verified together
+                        if x - groups[-1][1] <= n:
+                            groups[-1][1] = x
+                        else:
+                            groups.append([x, x])
+                    for g0, g1 in groups:
+                        x0, x1 = max(lo, g0 - d), min(hi, g1 + n + d)
+                        dist, end = edit_distance(items[k][1], h[x0:x1], d)
+                        found = (dist, x0 + end - lo)
+                        if dist <= d and found < best.get((row, k), (n + 1, 0)):
+                            best[row, k] = found
+            out += [(a + row, k, dist, max(0, end - items[k][1].size), items[k][1].size) for (row, k), (dist, end) in best.items()]
+        return out
+
+    return find
+
+
+def _rows(find, items: list[tuple[object, np.ndarray]], id_col: str):
+    """mapInArrow form of ``find``: (id, item_id, edit_distance, first_word, item_words)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), string_array(batch.column(1))
-            out: list[tuple[int, int, int, int, int]] = []
-            for a, b in slices(texts):
-                w = byte_words(pc.utf8_lower(texts.slice(a, b - a)))
-                if w.starts.size < 2:
-                    continue
-                h = range_hashes(w.data, w.starts, w.ends)
-                item, place = places_of(w, h)
-                best: dict[tuple[int, int], tuple[int, int]] = {}
-                for n in np.unique(size[item]).tolist():
-                    d, walks, table, names = classes[n]
-                    firsts = np.unique(place[size[item] == n])
-                    # The stretch may start before its first shared pair, by what edits can hide.
-                    grid = firsts[:, None] - np.arange(2 * d + 2)[None, :]
-                    starts = np.unique(grid[grid >= w.first[w.row[firsts]][:, None]])
-                    wide = np.concatenate((h, np.zeros(n, np.uint64)))
-                    near: dict[tuple[int, int], list[int]] = defaultdict(list)
-                    for c in range(0, starts.size, 4096):
-                        s = starts[c : c + 4096]
-                        keys = walks.keys(wide[s[:, None] + np.arange(n)[None, :]])
-                        slot = np.minimum(np.searchsorted(names, keys), names.size - 1)
-                        hit_w, hit_r = np.nonzero(names[slot] == keys)
-                        for i, key in zip(hit_w.tolist(), keys[hit_w, hit_r].tolist()):
-                            for k in table[key]:
-                                near[int(w.row[s[i]]), k].append(int(s[i]))
-                    for (row, k), at in near.items():
-                        lo, hi = int(w.first[row]), int(w.first[row + 1])
-                        at = sorted(set(at))
-                        groups = [[at[0], at[0]]]
-                        for x in at[1:]:  # neighbouring windows are verified together
-                            if x - groups[-1][1] <= n:
-                                groups[-1][1] = x
-                            else:
-                                groups.append([x, x])
-                        for g0, g1 in groups:
-                            x0, x1 = max(lo, g0 - d), min(hi, g1 + n + d)
-                            dist, end = edit_distance(items[k][1], h[x0:x1], d)
-                            found = (dist, x0 + end - lo)
-                            if dist <= d and found < best.get((row, k), (n + 1, 0)):
-                                best[row, k] = found
-                out += [(a + row, k, dist, max(0, end - items[k][1].size), items[k][1].size) for (row, k), (dist, end) in best.items()]
+            out = find(string_array(batch.column(1)))
             if out:
-                rows_, ks, ds, ss, ns = zip(*out)
+                rows, ks, ds, ss, ns = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows_)), pa.array([items[k][0] for k in ks]), pa.array(ds, pa.int32()), pa.array(ss, pa.int64()), pa.array(ns, pa.int32())],
+                    [
+                        batch.column(0).take(pa.array(rows)),
+                        pa.array([items[k][0] for k in ks]),
+                        pa.array(ds, pa.int32()),
+                        pa.array(ss, pa.int64()),
+                        pa.array(ns, pa.int32()),
+                    ],
                     names=[id_col, "item_id", "edit_distance", "first_word", "item_words"],
                 )
 
     return run
 
 
+def _parts(h: np.ndarray) -> list[np.ndarray]:
+    """The words of an item, or of a long one its parts of 256 to 511 words."""
+    cuts = list(range(0, max(1, h.size - 255), 256)) if h.size >= 512 else [0]
+    return [h[a:b] for a, b in zip(cuts, [*cuts[1:], h.size])]
+
+
+def _passes(benchmark: DataFrame, min_words: int, slice_mb: int) -> Iterator[list[tuple[object, np.ndarray]]]:
+    """Items (id, word hashes) in slices of about ``slice_mb`` of text."""
+    items = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-int(total) // (slice_mb << 20)))
+    for k in range(passes):
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
+        hashes = word_hashes([r["text"] for r in part])
+        usable = [(r["item_id"], piece) for r, h in zip(part, hashes) if h.size >= min_words for piece in _parts(h)]
+        if usable:
+            yield usable
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -251,18 +287,11 @@ def leaks(
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"{id_col} {id_type}, item_id {item_type}, edit_distance int, first_word long, item_words int"
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-int(total) // (slice_mb << 20)))
     narrow = docs.select(id_col, F.col(text_col).cast("string").alias("__t"))
     out = None
-    for k in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        hashes = word_hashes([r["text"] for r in part])
-        usable = [(r["item_id"], h) for r, h in zip(part, hashes) if h.size >= min_words]
-        if usable:
-            got = narrow.mapInArrow(_search(usable, id_col, max_edit, bits, recall, seed), schema)
-            out = got if out is None else out.unionByName(got)
+    for usable in _passes(benchmark, min_words, slice_mb):
+        got = narrow.mapInArrow(_rows(_search(usable, max_edit, bits, recall, seed), usable, id_col), schema)
+        out = got if out is None else out.unionByName(got)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
     # Rows of a repeated document or item id become one.
@@ -270,7 +299,28 @@ def leaks(
     return out.groupBy(id_col, "item_id").agg(least).select(id_col, "item_id", "best.*")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that leak an item."""
-    bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def drop_leaking(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    max_edit: float = 0.2,
+    min_words: int = 5,
+    recall: float = 0.98,
+    bits: int = 2,
+    seed: int = 11,
+    slice_mb: int = 8,
+) -> DataFrame:
+    """docs without those that leak an item: the same search as a filter, so that no text is shuffled."""
+
+    def clean(find):
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                keep = np.ones(len(texts), bool)
+                keep[[row for row, *_ in find(string_array(texts))]] = False
+                yield pa.array(keep)
+
+        return F.arrow_udf(run, "boolean")
+
+    for usable in _passes(benchmark, min_words, slice_mb):
+        docs = docs.filter(clean(_search(usable, max_edit, bits, recall, seed))(F.col(text_col).cast("string")))
+    return docs
