@@ -16,7 +16,7 @@ from memengine.functions import ner, packs, scoring, text, vectors
 from memengine.operators import learning, lifecycle, query, retrieval
 from memengine.plans.sql import MEM, NOW, UTTER, duck_case, duck_regex
 from memengine.sources import store
-from memengine.sources.tables import NOW_MS, accesses, canonical, memories, read, utterances
+from memengine.sources.tables import NOW_MS, accesses, canonical, memories, read, utterances, utterances_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -339,6 +339,31 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 _add("events", _events, MEM + f", d AS (SELECT *, {_DECAY} AS cs FROM memories), f AS (SELECT id, status AS bs, CASE WHEN status = 'active' AND cs < 0.1 AND NOT pinned THEN 'faded' ELSE status END AS st, faded_at FROM d) SELECT CASE WHEN bs = 'faded' THEN 'MEMORY_DELETED' ELSE 'MEMORY_FADED' END AS event_type, id AS memory_id, {NOW} AS ts FROM f WHERE (bs = 'faded' AND faded_at < {NOW_MS - 30 * DAY_MS}) OR (bs <> 'faded' AND st = 'faded')")
 _add("session_windows", lambda s, d: read(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_millis("session_window.start").alias("start_ms"), "n"),
      "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM h GROUP BY user_id, s")
+
+
+def _learn_stream(s: SparkSession, d: str) -> DataFrame:
+    from memengine.streaming import replay, streams
+
+    said = utterances_of(replay.table_stream(s, d, "customer")).select("conv_id", F.col("pos").cast("long").alias("turn"), F.lit("user").alias("role"), "text")
+    return replay.replay(streams.learn_stream(said, NOW_MS))
+
+
+def _debounce_stream(s: SparkSession, d: str) -> DataFrame:
+    from memengine.streaming import replay, streams
+
+    e = replay.table_stream(s, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return replay.replay(streams.debounced(e))
+
+
+def _event_bridge(s: SparkSession, d: str) -> DataFrame:
+    """Changes of a sweep, per type, as the bridge hands them on."""
+    return _events(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("learn_stream", _learn_stream)
+_add("debounce_stream", _debounce_stream)
+_add("event_bridge", _event_bridge, f"SELECT event_type, count(*) AS n FROM ({ORACLE_SQL['events']}) GROUP BY event_type")
+_add("storage_health", lambda s, d: read(s, d, "documents").select("doc_id", store.error_kind(F.col("text")).alias("kind")), "SELECT doc_id, CASE WHEN contains(lower(text), 'quota') THEN 'quota' WHEN regexp_matches(lower(text), 'corrupt|invalid') THEN 'corruption' WHEN regexp_matches(lower(text), 'version|migrat|upgrade') THEN 'migration' ELSE 'unknown' END AS kind FROM documents")
 _mem("embed", lambda m: m.select("id", vectors_of(F.col("content")).alias("v")).select("id", F.size("v").alias("dims")), None)
 
 

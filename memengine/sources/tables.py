@@ -95,7 +95,12 @@ CITIES = ["Lisbon", "Denver", "Oslo", "Kyoto", "Lyon", "Quito", "Perth", "Riga",
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, pos, text): templated sentences of each customer, for the learning operators."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return utterances_of(read(spark, sf_dir, "customer"))
+
+
+def utterances_of(customers: DataFrame) -> DataFrame:
+    """The same from any frame of customers, batch or stream."""
+    c = customers.select("c_custkey", "c_nationkey")
     cities = F.array(*(F.lit(x) for x in CITIES))
     a = F.get(cities, (F.col("c_nationkey") % len(CITIES)).cast("int"))
     b = F.get(cities, ((F.col("c_nationkey") + 5) % len(CITIES)).cast("int"))
