@@ -21,14 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from memengine.llm._common import buffers, slices, string_array
+from memengine.llm._common import buffers, slices, string_array, text_batches
 
 REACH, MAX_BYTES, MIN_RUN_BYTES, WINDOW = 24, 512, 80, 32
 #: One random 32-bit number for each byte value, from a fixed generator.
@@ -169,6 +167,7 @@ def repeated_spans(
     run_starts/run_ends: passages that other documents have too; cut_starts/cut_ends: the parts of them
     that this document loses; n_chunks: chunks in the passages; removed_bytes: length of the parts.
     """
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     all_chunks = chunks(docs, id_col, text_col, reach, max_bytes)
     shared = (
@@ -184,28 +183,20 @@ def repeated_spans(
     return out.withColumn("removed_bytes", removed).withColumnRenamed("doc", id_col)
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    out = []
-    for t, a, b in zip(text, starts, ends):
-        if t is None or a is None or len(a) == 0:
-            out.append(t)
-            continue
-        raw, parts, at = t.encode(), [], 0
-        for s, e in zip(a, b):
-            parts.append(raw[at:s])
-            at = e
-        parts.append(raw[at:])
-        out.append(b"".join(parts).decode("utf-8", "replace"))
-    return pd.Series(out, dtype=object)
+def _without(text: Column, starts: Column, ends: Column) -> Column:
+    """The text without byte ranges, by substrings of its bytes."""
+    raw = text.cast("binary")
+    zero = F.array(F.lit(0))
+    kept = F.zip_with(F.concat(zero, ends), F.concat(starts, F.array(F.octet_length(text))), lambda a, b: F.substring(raw, a + 1, b - a).cast("string"))
+    return F.array_join(kept, "")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with repeated passages cut from the text; a text of which nothing is left becomes empty."""
+    text_batches(docs.sparkSession)
     spans = repeated_spans(docs, id_col, text_col, **options).filter("removed_bytes > 0")
     spans = spans.select(F.col(id_col).alias("__id"), F.col("cut_starts").alias("__a"), F.col("cut_ends").alias("__b"))
     joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
-    # Only rows that lose something go through Python.
-    hurt = joined.filter("__id is not null").withColumn(text_col, _without(F.col(text_col), "__a", "__b"))
-    same = joined.filter("__id is null")
-    return same.select(*docs.columns).unionByName(hurt.select(*docs.columns))
+    text = F.col(text_col)
+    cut = F.when(F.col("__id").isNull(), text).otherwise(_without(text.cast("string"), F.col("__a"), F.col("__b")))
+    return joined.withColumn(text_col, cut).select(*docs.columns)

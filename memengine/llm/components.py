@@ -32,9 +32,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
     before = None
+    rows = e.count()
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
+        # Few edges need few files a round.
+        e = cut(_small_star(_large_star(e)).coalesce(rows // 200_000 + 1))
         row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        rows = row[0]
         now = (row[0], row[1])
         if now == before:
             break

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import byte_words, mix, range_hashes, slices, string_array
+from memengine.llm._common import byte_words, mix, range_hashes, slices, string_array, text_batches
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -284,6 +284,7 @@ def leaks(
     slice_mb: int = 8,
 ) -> DataFrame:
     """(id, item_id, edit_distance, first_word, item_words): a row for each leaked item of each document."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"{id_col} {id_type}, item_id {item_type}, edit_distance int, first_word long, item_words int"
@@ -311,6 +312,7 @@ def drop_leaking(
     slice_mb: int = 8,
 ) -> DataFrame:
     """docs without those that leak an item: the same search as a filter, so that no text is shuffled."""
+    text_batches(docs.sparkSession)
 
     def clean(find):
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

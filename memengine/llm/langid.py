@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import bounded_sample, buffers, code_points, letter_table, slices, split_of, string_array
+from memengine.llm._common import bounded_sample, buffers, code_points, letter_table, slices, split_of, string_array, text_batches
 
 DIMS, ORDERS, ROWS = 1 << 15, 4, 256
 
@@ -131,6 +131,7 @@ def identify(
     sample_rows: int = 6000,
 ) -> DataFrame:
     """(id, lang_pred, score) for each row of docs, learned from the rows of ``training``."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     model = train(training, id_col, text_col, lang_col, landmarks, sample_rows)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import bounded_sample, buffers, byte_words, range_hashes, slices, split_of, string_array
+from memengine.llm._common import bounded_sample, buffers, byte_words, range_hashes, slices, split_of, string_array, text_batches
 from memengine.llm.toxicity import fit_logistic
 
 # Kinds of bytes: lower, upper, digit, space, line break, comma or stop, ! or ?, quotes and brackets, pipe,
@@ -222,6 +222,7 @@ def learn(x: np.ndarray, label: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, unlabelled: int) -> Model:
     """``labels`` and ``docs`` hold training rows only."""
+    text_batches(docs.sparkSession)
     known = labels.filter(f"{label_col} in (0, 1)").groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     marked = docs.select(id_col).join(known, id_col, "left").select(id_col, F.coalesce("y", F.lit(-1)).alias("y")).groupBy(id_col).agg(F.max("y").alias("y"))
     # Unlabelled rows are plenty; thin them by their own bound.

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import cut, string_array
+from memengine.llm._common import cut, string_array, text_batches
 from memengine.llm.components import connected_components
 
 BITS = 64
@@ -63,6 +63,7 @@ def fingerprint_text(text: bytes | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp long): the fingerprint's 64 bits as a signed long."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import SLICE_BYTES, bounded_sample, byte_words, code_points, range_hashes, slices, split_of, string_array
+from memengine.llm._common import SLICE_BYTES, bounded_sample, byte_words, code_points, range_hashes, slices, split_of, string_array, text_batches
 
 # Verbs that introduce a quotation, and words that address a reader.
 REPORTING = ("said says wrote writes called quoted quote quoting replied shouted reads dijo dice escribió cita sagte sagt schrieb zitat dit écrit citation a-dit").split()
@@ -343,6 +343,7 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_terms: int, min_g: float = 20.0
 ) -> tuple[Automaton | None, frozenset[int], np.ndarray]:
     """Lexicon automaton, plain look-alikes, weights; ``labels`` holds training rows only."""
+    text_batches(docs.sparkSession)
     known = labels.filter(f"{label_col} in (0, 1)").groupBy(id_col).agg(F.max(label_col).alias(label_col))
     picked = bounded_sample(known, id_col, label_col, per_class)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t"))
