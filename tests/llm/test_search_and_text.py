@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm_data import EDGES, make_docs, prose
 
-from memengine.llm import chat, decontam, pieces, topk
+from memengine.llm import cdc, chat, decontam, pieces, topk
 from memengine.llm.queries import CONTROL_TEXT, QUERIES, TOKENIZER
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -179,20 +179,67 @@ def test_top_k_of_few_rows(spark):
     assert [tuple(r) for r in topk.top_k(few).orderBy("rank").collect()] == [(0, 1, 3, 4096), (0, 2, 2, 2048)]
 
 
-def test_pipeline_keeps_clean_rows(spark):
+def cut_by_hand(texts):
+    """Texts without chunk runs that an earlier document has: the chunks of each row alone, in plain dicts."""
+    chunks = {}
+    for i, t in texts.items():
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        ends = cdc.cut_points(data, np.array([0, data.size]), cdc.REACH, cdc.MAX_BYTES)[0].tolist() if data.size else []
+        chunks[i] = [(a, b, bytes(data[a:b])) for a, b in zip([0, *ends], ends)]
+    first, last = {}, {}
+    for i in sorted(chunks):
+        for _, _, c in chunks[i]:
+            first.setdefault(c, i)
+            last[c] = i
+    out = {}
+    for i, parts in chunks.items():
+        runs = []
+        for a, b, c in parts:
+            if first[c] != last[c]:
+                if runs and runs[-1][-1][1] == a:
+                    runs[-1].append((a, b, c))
+                else:
+                    runs.append([(a, b, c)])
+        gone = {(a, b) for r in runs if r[-1][1] - r[0][0] >= cdc.MIN_RUN_BYTES for a, b, c in r if first[c] != i}
+        out[i] = b"".join(c for a, b, c in parts if (a, b) not in gone).decode("utf-8", "replace")
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from test_dedup import brute_components, brute_fingerprint
+
+    from memengine.llm import toxicity
+    from memengine.llm._common import cut
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, DATA)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns
-        from memengine.llm._common import cut
-
-        out = cut(out)
-        assert 0.75 * docs.count() <= out.count() <= docs.count()
-        docs = out
-    assert docs.filter("not lossless").count() == 0
-    assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "sentencepiece"]
+    as_dict = lambda f: {r.doc_id: r.text for r in f.select("doc_id", "text").collect()}
+
+    scores = toxicity.score_toxicity(docs, toxicity.training_rows(spark.read.parquet(f"{DATA}/labels.parquet")))
+    one = cut(stages["toxicity"](spark, docs, DATA))
+    assert set(as_dict(one)) == {r.doc_id for r in scores.collect() if r.score < 0.7}
+
+    two = cut(stages["simhash_near_dedup"](spark, one, DATA))
+    comp = brute_components({i: brute_fingerprint(t) for i, t in as_dict(one).items()})
+    assert set(as_dict(two)) == set(comp.values())
+
+    three = cut(stages["substring_dedup"](spark, two, DATA))
+    want = cut_by_hand(as_dict(two))
+    assert as_dict(three) == {i: t for i, t in want.items() if t.strip()}
+
+    four = cut(stages["benchmark_decontamination"](spark, three, DATA))
+    items = [decontam.word_hashes([r.text])[0] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    texts = as_dict(three)
+    words = dict(zip(texts, decontam.word_hashes([t or "" for t in texts.values()])))
+    bad = {i for i, w in words.items() for h in items if h.size >= 5 and len(set(h.tolist()) & set(w.tolist())) >= 0.5 * len(set(h.tolist())) and decontam.edit_distance(h, w, int(0.2 * h.size))[0] <= int(0.2 * h.size)}
+    assert set(as_dict(four)) == set(texts) - bad
+    assert all(f.columns == docs.columns for f in (one, two, three, four))
+
+    five = stages["sentencepiece"](spark, four, DATA).collect()
+    assert len(five) == four.count() and all(r.lossless for r in five)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == {r.doc_id for r in five}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
