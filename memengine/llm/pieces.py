@@ -4,8 +4,9 @@ Encoding. A text gets one space in front, spaces become U+2581, and its units (a
 follows up to the next, line breaks apart) are merged on their own: no piece of the vocabulary crosses
 them, which is checked when the model is read. Candidate merges wait in an agenda, best score first, ties
 to the left. With dropout, a candidate that comes up is skipped if a hash of (seed, variant, unit, its
-span and its split) falls below the rate; a later merge beside it can bring it up anew. ``variants``
-segmentations of each unit exist; a document's variant is a hash of its id. Without dropout the ids are
+span and its split) falls below the rate; a later merge beside it can bring it up anew. A document's
+variant, one of ``variants``, is a hash of its id; it counts for units of up to ``SHORT`` characters, while
+longer ones, which hardly come twice, have one segmentation for each seed. Without dropout the ids are
 those of the model's own library.
 
 Decoding is exact for any text: characters without a piece, and U+2581 itself, are written as bytes.
@@ -28,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import slices, string_array
+from memengine.llm._common import slices, string_array, text_batches
 
 SPACE = "▁"
 _UNITS = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 _RAW = ""  # stands for a literal U+2581 while units are split; itself written as bytes
 _MASK = (1 << 64) - 1
+SHORT = 7
 
 
 class Model:
@@ -209,31 +211,44 @@ class Model:
             a = b
         return out
 
-    def encoder(self, rate: float, seed: int, cache_size: int = 500_000) -> Callable[[list[str], list[int]], list[np.ndarray]]:
+    def encoder(self, rate: float, seed: int, cache_size: int = 600_000) -> Callable[[list[str], list[int]], list[np.ndarray]]:
         """Function of texts and their variants to ids; units are remembered up to about ``cache_size``."""
         known: dict[int, dict[str, bytes]] = {}
+        long: dict[str, bytes] = {}
+
+        def keyed(variant: int) -> int:
+            return xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), seed)
+
+        def segment(want: list[str], into: dict[str, bytes], key: int) -> None:
+            by_width: dict[int, list[str]] = {}
+            for u in want:
+                n = len(u)
+                by_width.setdefault(5 if n <= 5 else 7 if n <= 7 else 10 if n <= 10 else 14 if n <= 14 else 32 if n <= 32 else 1 << 60, []).append(u)
+            for width, units in by_width.items():
+                if width > 32:
+                    into.update((u, np.array(self.unit_ids(u, rate, key), np.int32).tobytes()) for u in units)
+                    continue
+                for c in range(0, len(units), 8192):
+                    some = units[c : c + 8192]
+                    into.update(zip(some, self._many(some, rate, key)))
 
         def encode(texts: list[str], variants: list[int]) -> list[np.ndarray]:
-            if sum(map(len, known.values())) > cache_size:
+            if sum(map(len, known.values())) + len(long) > cache_size:
                 known.clear()
+                long.clear()
             cut = [None if not t or _RAW in t or SPACE in t else _UNITS.findall(SPACE + t.replace(" ", SPACE)) for t in texts]
             missing: dict[int, set[str]] = {}
             for units, v in zip(cut, variants):
                 if units is not None:
                     missing.setdefault(v, set()).update(units)
-            for v, want in missing.items():
-                mine = known.setdefault(v, {})
-                key = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
-                by_width: dict[int, list[str]] = {}
-                for u in want.difference(mine):
-                    by_width.setdefault(min(n for n in (6, 10, 16, 32, 1 << 60) if len(u) <= n), []).append(u)
-                for width, units in by_width.items():
-                    for c in range(0, len(units), 8192):
-                        some = units[c : c + 8192]
-                        if width <= 32:
-                            mine.update(zip(some, self._many(some, rate, key)))
-                        else:
-                            mine.update((u, np.array(self.unit_ids(u, rate, key), np.int32).tobytes()) for u in some)
+            fresh = {v: want.difference(known.setdefault(v, {})) for v, want in missing.items()}
+            # Long units first, once for all variants.
+            wide = {u for want in fresh.values() for u in want if len(u) > SHORT}
+            segment(list(wide.difference(long)), long, keyed(0))
+            for v, want in fresh.items():
+                mine = known[v]
+                mine.update((u, long[u]) for u in want if len(u) > SHORT)
+                segment([u for u in want if len(u) <= SHORT], mine, keyed(v + 1))
             out = []
             for t, units, v in zip(texts, cut, variants):
                 if units is None:
@@ -246,7 +261,7 @@ class Model:
 
     def _encode_odd(self, text: str, variant: int, rate: float, seed: int) -> np.ndarray:
         """Texts that hold U+2581 or the stand-in: those characters are written as bytes."""
-        key = xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), seed)
+        short, wide = (xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed) for v in (variant + 1, 0))
         out: list[int] = []
         for k, part in enumerate(re.split(f"([{SPACE}{_RAW}])", text)):
             if k % 2:
@@ -254,7 +269,7 @@ class Model:
                 continue
             part = (SPACE if k == 0 else "") + part.replace(" ", SPACE)
             for unit in _UNITS.findall(part):
-                out += self.unit_ids(unit, rate, key)
+                out += self.unit_ids(unit, rate, short if len(unit) <= SHORT else wide)
         return np.array(out, np.int32)
 
     def decoder(self) -> Callable[[np.ndarray], str]:
@@ -283,6 +298,7 @@ def encode(
     docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, variants: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs with ``token_ids`` array<int> in place of a column of that name, if any."""
+    text_batches(docs.sparkSession)
     model = load_model(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
     keep = [c for c in docs.columns if c != "token_ids"]
@@ -292,7 +308,7 @@ def encode(
         enc = shared.value.encoder(rate, seed)
         for batch in batches:
             texts = string_array(batch.column(at_text))
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 2 << 20):
                 part = batch.slice(a, b - a)
                 ids = enc(texts.slice(a, b - a).to_pylist(), [_variant(i, variants) for i in part.column(at_id).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*keep, "token_ids"])
