@@ -83,7 +83,7 @@ def format_chats(chats: DataFrame, run: int = 64) -> DataFrame:
     safe = render(escape_role(F.col("role")), escape_text(F.col("text")))
     # A segment alone parses as it does among others only if it has no stray opener at all.
     clean = ~F.contains(F.col("text"), F.lit("<|")) & ~F.contains(F.col("role"), F.lit("<|"))
-    turns = turns.withColumn("segment", F.when(clean & same(parse(raw)), raw).otherwise(safe))
+    turns = turns.withColumn("plain", clean & same(parse(raw))).withColumn("segment", F.when(F.col("plain"), raw).otherwise(safe))
     assistant = F.col("role") == "assistant"
     got = parse(F.col("segment"))[0]
     turns = turns.select(
@@ -91,7 +91,7 @@ def format_chats(chats: DataFrame, run: int = 64) -> DataFrame:
         "turn",
         "role",
         "text",
-        "segment",
+        "plain",
         F.struct(
             F.length("segment").cast("long").alias("chars"),
             F.when(assistant, got["offset"]).otherwise(0).cast("long").alias("loss_offset"),
@@ -99,13 +99,18 @@ def format_chats(chats: DataFrame, run: int = 64) -> DataFrame:
         ).alias("mask"),
         F.sha2(F.concat("role", F.lit("\n"), "text", F.lit("\n")), 256).alias("turn_digest"),
     )
-    entry = F.struct("turn", "role", "text", "segment", "mask", "turn_digest")
+    # Only the source text is shuffled; its segment is rendered again after it.
+    entry = F.struct("turn", "role", "text", "plain", "mask", "turn_digest")
+
+    def segment_of(x: Column) -> Column:
+        return F.when(x["plain"], render(x["role"], x["text"])).otherwise(render(escape_role(x["role"]), escape_text(x["text"])))
+
     blocks = turns.groupBy("conv_id", F.floor(F.col("turn") / run).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("t"))
     blocks = blocks.select(
         "conv_id",
         F.struct(
             F.coalesce("block", F.lit(-(1 << 62))).alias("block"),
-            F.array_join(F.col("t.segment"), "").alias("part"),
+            F.array_join(F.transform("t", segment_of), "").alias("part"),
             F.col("t.mask").alias("masks"),
             F.col("t.turn_digest").alias("digests"),
         ).alias("b"),
