@@ -3,11 +3,11 @@
 Encoding. A text gets one space in front, spaces become U+2581, and its units (a run of U+2581 with what
 follows up to the next, line breaks apart) are merged on their own: no piece of the vocabulary crosses
 them, which is checked when the model is read. Candidate merges wait in an agenda, best score first, ties
-to the left. With dropout, a candidate that comes up is skipped if a hash of (seed, variant, unit, its
-span and its split) falls below the rate; a later merge beside it can bring it up anew. A document's
-variant, one of ``variants``, is a hash of its id; it counts for units of up to ``SHORT`` characters, while
-longer ones, which hardly come twice, have one segmentation for each seed. Without dropout the ids are
-those of the model's own library.
+to the left. With dropout, each candidate that comes up is skipped with probability ``rate``; a later merge
+beside it can bring it up anew. Each occurrence of a unit has draws of its own, a hash of the seed, the
+document's id and the unit's place in the text, whatever the unit's length. What is remembered is only what
+follows from a unit and the steps at which it was skipped. Without dropout the ids are those of the model's
+own library.
 
 Decoding is exact for any text: characters without a piece, and U+2581 itself, are written as bytes.
 
@@ -21,7 +21,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain, repeat, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,60 @@ SPACE = "▁"
 _UNITS = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 _RAW = ""  # stands for a literal U+2581 while units are split; itself written as bytes
 _MASK = (1 << 64) - 1
-SHORT = 7
+_GOLD = 0x9E3779B97F4A7C15
+WIDE = 32  # longer units are merged one by one
+_STEPS = 128  # more than the candidates that come up in WIDE characters: WIDE - 1 and two for each merge
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _mix_int(x: int) -> int:
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return x ^ (x >> 31)
+
+
+@cache
+def _tails(rate: float) -> np.ndarray:
+    """Chances, in 2^-32, that at least 1, 2, ... candidates pass before the next is skipped; ascending."""
+    out, left = [], 1.0
+    while len(out) < 1 << 16 and int((left := left * (1 - rate)) * (1 << 32)) > 0:
+        out.append(int(left * (1 << 32)))
+    return np.array(out[::-1], np.uint64)
+
+
+def _gaps(keys: np.ndarray, nth: int, rate: float) -> np.ndarray:
+    """For each key, how many candidates pass between its skip before the ``nth`` and that one."""
+    tails = _tails(rate)
+    u = _mix(keys + np.uint64(((nth + 1) * _GOLD) & _MASK)) >> np.uint64(32)
+    return tails.size - np.searchsorted(tails, u, side="right")
+
+
+def _skips(key: int, rate: float) -> Iterator[int]:
+    """Steps at which a candidate is skipped, ascending: _gaps of one key, summed up."""
+    if not rate:
+        return
+    tails = _tails(rate).tolist()
+    at = nth = 0
+    while True:
+        gap = len(tails) - bisect_right(tails, _mix_int((key + (nth + 1) * _GOLD) & _MASK) >> 32)
+        at, nth = at + gap, nth + 1
+        if gap < 1 << 16:  # else no skip within the table; the draws have no memory
+            yield at
+            at += 1
+
+
+def _places(doc_key: int, count: int) -> np.ndarray:
+    """Keys of the first ``count`` units of a document."""
+    return _mix(np.uint64(doc_key) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _doc_key(ident: object, seed: int) -> int:
+    return xxhash.xxh64_intdigest(str(ident).encode("utf-8", "surrogatepass"), seed)
 
 
 class Model:
@@ -66,7 +122,11 @@ class Model:
                 self.raw.append(piece.replace(SPACE, " ").encode())
 
     def unit_ids(self, unit: str, rate: float, key: int) -> list[int]:
-        """Ids of one unit; ``key`` names the seed and the variant."""
+        """Ids of one unit; ``key`` names the seed, the document and the place."""
+        return self._walk(unit, _skips(key & _MASK, rate))
+
+    def _walk(self, unit: str, skips: Iterator[int]) -> list[int]:
+        """Ids of one unit whose candidates are skipped at these steps."""
         symbols: list[str] = list(unit)
         n = len(symbols)
         score = self.score
@@ -78,19 +138,16 @@ class Model:
                 if s is not None:
                     agenda.append((-s, i, 1, 2))  # score, left symbol, its length, length of both
             heapq.heapify(agenda)
-            if rate:
-                base = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), key & _MASK)
-                limit = int(rate * (1 << 32))
+            step, skip = -1, next(skips, -1)
             while agenda:
                 _, i, a, both = heapq.heappop(agenda)
                 j = after[i]
                 if not symbols[i] or len(symbols[i]) != a or j >= n or a + len(symbols[j]) != both:
                     continue  # one side has grown meanwhile
-                if rate:
-                    x = (base + i * 0x9E3779B97F4A7C15 + a * 0xD6E8FEB86659FD93 + both * 0xA0761D6478BD642F) & _MASK
-                    x = ((x ^ (x >> 32)) * 0xE7037ED1A0B428DB) & _MASK
-                    if (x >> 32) < limit:
-                        continue
+                step += 1
+                if step == skip:
+                    skip = next(skips, -1)
+                    continue
                 symbols[i] += symbols[j]
                 symbols[j] = ""
                 k = after[i] = after[j]
@@ -137,19 +194,23 @@ class Model:
         return self._tables
 
     def _many(self, units: list[str], rate: float, key: int) -> list[bytes]:
-        """unit_ids of many units of like length at once, each step taking every unit's best candidate."""
+        """unit_ids of many units under one key."""
+        skips = list(takewhile(lambda x: x < 3 * max(map(len, units)), _skips(key & _MASK, rate)))
+        flat, count, _ = self._merge(units, np.tile(np.array(skips, np.int64), (len(units), 1)))
+        return [x.tobytes() for x in np.split(flat, np.cumsum(count)[:-1])]
+
+    def _merge(self, units: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of like length at once, each step taking every unit's best candidate.
+
+        ``skips``: for each unit, the steps at which the candidate is skipped. Ids in one array, their
+        number for each unit, and the number of candidates that came up.
+        """
         sym, keys, merged, rank, ident = self.tables()
         n_sym, never = len(sym), 1 << 40
         lens = np.fromiter(map(len, units), np.int64, len(units))
         width = int(lens.max())
         s = np.full((len(units), width + 1), -1, np.int64)
         s[np.arange(width + 1)[None, :] < lens[:, None]] = [sym.get(c, -1) for u in units for c in u]
-        at = np.broadcast_to(np.arange(width + 1), s.shape).copy()  # first character of each symbol
-        at[np.arange(width + 1)[None, :] >= lens[:, None]] = 0
-        at[np.arange(len(units)), lens] = lens
-        base = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), key & _MASK) for u in units), np.uint64, len(units))
-        limit = np.uint64(int(rate * (1 << 32)))
-
         def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             k = left * n_sym + right
             slot = np.minimum(np.searchsorted(keys, k), keys.size - 1)
@@ -160,6 +221,7 @@ class Model:
         count = lens.copy()
         live = np.arange(len(units))
         cols = np.arange(width + 1)
+        steps = np.zeros(len(units), np.int64)
         while live.size:
             rl = r[live]
             i = rl.argmin(axis=1)
@@ -167,21 +229,10 @@ class Model:
             live, i = live[has], i[has]
             if not live.size:
                 break
-            if rate:
-                start, split, end = at[live, i], at[live, i + 1], at[live, np.minimum(i + 2, width)]
-                with np.errstate(over="ignore"):
-                    x = (
-                        base[live]
-                        + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                        + (split - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                        + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-                    )
-                    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
-                skip = (x >> np.uint64(32)) < limit
-                r[live[skip], i[skip]] = never
-                go, i = live[~skip], i[~skip]
-            else:
-                go = live
+            skip = (skips[live] == steps[live, None]).any(axis=1)
+            steps[live] += 1
+            r[live[skip], i[skip]] = never
+            go, i = live[~skip], i[~skip]
             if not go.size:
                 continue
             made = m[go, i]
@@ -191,7 +242,6 @@ class Model:
             sl[np.arange(go.size), i] = made
             sl[:, -1] = -1
             s[go] = sl
-            at[go] = np.take_along_axis(at[go], take, 1)
             count[go] -= 1
             take = np.minimum(cols[None, :-1] + (cols[None, :-1] >= i[:, None]), width - 1)
             r[go], m[go] = np.take_along_axis(r[go], take, 1), np.take_along_axis(m[go], take, 1)
@@ -202,74 +252,45 @@ class Model:
                 r[g, k], m[g, k] = look(s[g, k], s[g, k + 1])
         ids = np.where(s >= 0, ident[s], -1)
         inside = cols[None, :] < count[:, None]
-        odd = ((ids < 0) & inside).any(axis=1)
-        flat = ids[inside].astype(np.int32).tobytes()
-        ends = (np.cumsum(count) * 4).tolist()
-        out, a = [], 0
-        for unit, b, strange in zip(units, ends, odd.tolist()):
-            out.append(np.array(self.unit_ids(unit, rate, key), np.int32).tobytes() if strange else flat[a:b])
-            a = b
-        return out
-
-    def encoder(self, rate: float, seed: int, cache_size: int = 600_000) -> Callable[[list[str], list[int]], list[np.ndarray]]:
-        """Function of texts and their variants to ids; units are remembered up to about ``cache_size``."""
-        known: dict[int, dict[str, bytes]] = {}
-        long: dict[str, bytes] = {}
-
-        def keyed(variant: int) -> int:
-            return xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), seed)
-
-        def segment(want: list[str], into: dict[str, bytes], key: int) -> None:
-            by_width: dict[int, list[str]] = {}
-            for u in want:
-                n = len(u)
-                by_width.setdefault(5 if n <= 5 else 7 if n <= 7 else 10 if n <= 10 else 14 if n <= 14 else 32 if n <= 32 else 1 << 60, []).append(u)
-            for width, units in by_width.items():
-                if width > 32:
-                    into.update((u, np.array(self.unit_ids(u, rate, key), np.int32).tobytes()) for u in units)
-                    continue
-                for c in range(0, len(units), 8192):
-                    some = units[c : c + 8192]
-                    into.update(zip(some, self._many(some, rate, key)))
-
-        def encode(texts: list[str], variants: list[int]) -> list[np.ndarray]:
-            if sum(map(len, known.values())) + len(long) > cache_size:
+        odd = np.flatnonzero(((ids < 0) & inside).any(axis=1))
+        if not odd.size:
+            return ids[inside].astype(np.int32), count, steps
+        rows = [ids[k, :c].astype(np.int32) for k, c in enumerate(count.tolist())]
+        for k in odd.tolist():
+            rows[k] = np.array(self._walk(units[k], iter(skips[k].tolist())), np.int32)
+            count[k] = rows[k].size
+        return np.concatenate(rows), count, steps
+
+    def encoder(self, rate: float, seed: int, cache_size: int = 600_000) -> Callable[[list[str], list[object]], list[np.ndarray]]:
+        """Function of texts and their ids to token ids; outcomes are remembered up to about ``cache_size``."""
+        known = _Outcomes(self, rate)
+
+        def encode(texts: list[str], idents: list[object]) -> list[np.ndarray]:
+            if known.size > cache_size:
                 known.clear()
-                long.clear()
-            cut = [None if not t or _RAW in t or SPACE in t else _UNITS.findall(SPACE + t.replace(" ", SPACE)) for t in texts]
-            missing: dict[int, set[str]] = {}
-            for units, v in zip(cut, variants):
-                if units is not None:
-                    missing.setdefault(v, set()).update(units)
-            fresh = {v: want.difference(known.setdefault(v, {})) for v, want in missing.items()}
-            # Long units first, once for all variants.
-            wide = {u for want in fresh.values() for u in want if len(u) > SHORT}
-            segment(list(wide.difference(long)), long, keyed(0))
-            for v, want in fresh.items():
-                mine = known[v]
-                mine.update((u, long[u]) for u in want if len(u) > SHORT)
-                segment([u for u in want if len(u) <= SHORT], mine, keyed(v + 1))
-            out = []
-            for t, units, v in zip(texts, cut, variants):
-                if units is None:
-                    out.append(self._encode_odd(t, v, rate, seed) if t else np.zeros(0, np.int32))
-                else:
-                    out.append(np.frombuffer(b"".join(map(known[v].__getitem__, units)), np.int32))
+            cut = [[] if not t or _RAW in t or SPACE in t else _UNITS.findall(SPACE + t.replace(" ", SPACE)) for t in texts]
+            places = [_places(_doc_key(i, seed), len(units)) for i, units in zip(idents, cut)]
+            flat, count = known.ids_of(list(chain.from_iterable(cut)), np.concatenate([np.zeros(0, np.uint64), *places]))
+            ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *map(len, cut)])]
+            out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            for k, (t, units) in enumerate(zip(texts, cut)):
+                if t and not units:
+                    out[k] = self._encode_odd(t, _doc_key(idents[k], seed), rate)
             return out
 
         return encode
 
-    def _encode_odd(self, text: str, variant: int, rate: float, seed: int) -> np.ndarray:
+    def _encode_odd(self, text: str, doc_key: int, rate: float) -> np.ndarray:
         """Texts that hold U+2581 or the stand-in: those characters are written as bytes."""
-        short, wide = (xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed) for v in (variant + 1, 0))
+        parts = re.split(f"([{SPACE}{_RAW}])", text)
+        cut = [[] if k % 2 else _UNITS.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE)) for k, part in enumerate(parts)]
+        places = iter(_places(doc_key, sum(map(len, cut))).tolist())
         out: list[int] = []
-        for k, part in enumerate(re.split(f"([{SPACE}{_RAW}])", text)):
+        for k, (part, units) in enumerate(zip(parts, cut)):
             if k % 2:
                 out += [self.byte_ids[b] for b in part.encode()]
-                continue
-            part = (SPACE if k == 0 else "") + part.replace(" ", SPACE)
-            for unit in _UNITS.findall(part):
-                out += self.unit_ids(unit, rate, short if len(unit) <= SHORT else wide)
+            for unit in units:
+                out += self.unit_ids(unit, rate, next(places))
         return np.array(out, np.int32)
 
     def decoder(self) -> Callable[[np.ndarray], str]:
@@ -285,17 +306,98 @@ class Model:
         return decode
 
 
+class _Outcomes:
+    """Ids of units by the steps that were skipped, as a tree: a node's child has one more step skipped."""
+
+    def __init__(self, model: Model, rate: float) -> None:
+        self.model, self.rate = model, rate
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = self.used = 0
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}  # node * _STEPS + step
+        self.units: list[str] = []
+        self.up, self.skip, self.steps, self.start, self.count = (np.zeros(1024, np.int64) for _ in range(5))
+        self.ids = np.zeros(4096, np.int32)
+
+    def _store(self, units: list[str], up: np.ndarray, skip: np.ndarray, flat: np.ndarray, count: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        a, b = self.size, self.size + len(units)
+        for name, values in (("up", up), ("skip", skip), ("steps", steps), ("start", self.used + np.cumsum(count) - count), ("count", count)):
+            had = getattr(self, name)
+            if had.size < b:
+                had = np.concatenate([had, np.zeros(b, np.int64)])
+                setattr(self, name, had)
+            had[a:b] = values
+        if self.ids.size < self.used + flat.size:
+            self.ids = np.concatenate([self.ids, np.zeros(self.used + flat.size, np.int32)])
+        self.ids[self.used : self.used + flat.size] = flat
+        self.units += units
+        self.size, self.used = b, self.used + flat.size
+        return np.arange(a, b)
+
+    def _grow(self, units: list[str], up: np.ndarray, skip: np.ndarray, depth: int) -> np.ndarray:
+        """New nodes of units at a depth: skipped are ``skip`` and the steps of the nodes above."""
+        path, node = np.zeros((len(units), depth), np.int64), up
+        for d in range(depth - 1, -1, -1):
+            path[:, d] = skip if d == depth - 1 else self.skip[node]
+            node = node if d == depth - 1 else self.up[node]
+        width = np.fromiter(map(len, units), np.int64, len(units))
+        out = np.zeros(len(units), np.int64)
+        group = np.searchsorted([5, 7, 10, 14], width)
+        for k in np.unique(group):
+            these = np.flatnonzero(group == k)
+            for c in range(0, these.size, 8192):
+                some = these[c : c + 8192]
+                named = [units[j] for j in some.tolist()]
+                out[some] = self._store(named, up[some], skip[some], *self.model._merge(named, path[some]))
+        return out
+
+    def ids_of(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all occurrences of units in one array, and their number for each."""
+        node = np.fromiter(map(self.roots.get, units, repeat(-1)), np.int64, len(units))
+        lost = np.flatnonzero(node < 0)
+        if lost.size:
+            new = [u for u in dict.fromkeys(units[k] for k in lost.tolist()) if len(u) <= WIDE]
+            none = np.full(len(new), -1)
+            self.roots.update(zip(new, self._grow(new, none, none, 0).tolist()))
+            node[lost] = np.fromiter((self.roots.get(units[k], -1) for k in lost.tolist()), np.int64, lost.size)
+            for k in np.flatnonzero(node < 0).tolist():  # long: each occurrence on its own
+                ids = np.array(self.model.unit_ids(units[k], self.rate, int(keys[k])), np.int32)
+                none = np.full(1, -1)
+                node[k] = self._store([units[k]], none, none, ids, np.array([ids.size]), np.zeros(1, np.int64))[0]
+        live, at, depth = np.arange(len(units)), np.zeros(len(units), np.int64), 0
+        while live.size and self.rate:
+            step = at + _gaps(keys[live], depth, self.rate)
+            here = node[live]
+            more = step < self.steps[here]
+            live, step, here = live[more], step[more], here[more]
+            depth += 1
+            if not live.size:
+                break
+            edge = here * _STEPS + step
+            child = np.fromiter(map(self.children.get, edge.tolist(), repeat(-1)), np.int64, edge.size)
+            lost = np.flatnonzero(child < 0)
+            if lost.size:
+                new, which = np.unique(edge[lost], return_inverse=True)
+                up, skip = new // _STEPS, new % _STEPS
+                made = self._grow([self.units[k] for k in up.tolist()], up, skip, depth)
+                self.children.update(zip(new.tolist(), made.tolist()))
+                child[lost] = made[which]
+            node[live], at = child, step + 1
+        count = self.count[node]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if ends.size else 0
+        return self.ids[np.repeat(self.start[node] - (ends - count), count) + np.arange(total)], count
+
+
 def load_model(path: str) -> Model:
     with open(path, "rb") as f:
         return Model(f.read())
 
 
-def _variant(ident: object, variants: int) -> int:
-    return xxhash.xxh64_intdigest(str(ident).encode()) % variants
-
-
 def encode(
-    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, variants: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs with ``token_ids`` array<int> in place of a column of that name, if any."""
     text_batches(docs.sparkSession)
@@ -310,7 +412,7 @@ def encode(
             texts = string_array(batch.column(at_text))
             for a, b in slices(texts, 2 << 20):
                 part = batch.slice(a, b - a)
-                ids = enc(texts.slice(a, b - a).to_pylist(), [_variant(i, variants) for i in part.column(at_id).to_pylist()])
+                ids = enc(texts.slice(a, b - a).to_pylist(), part.column(at_id).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*keep, "token_ids"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -349,10 +451,10 @@ def ids_digest(ids: np.ndarray) -> str:
 
 
 def round_trip(
-    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, variants: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_tokens, tokens_sha256, text_sha256, lossless) of the encoded and decoded documents."""
-    both = decode(encode(docs.select(id_col, text_col), model_path, rate, seed, variants, id_col, text_col), model_path)
+    both = decode(encode(docs.select(id_col, text_col), model_path, rate, seed, id_col, text_col), model_path)
     digest = F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256)
     return both.select(
         id_col,
