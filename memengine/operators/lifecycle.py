@@ -87,19 +87,31 @@ def tombstone(mem: DataFrame, now_ms: int, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def lineage(mem: DataFrame, depth: int = 32) -> DataFrame:
-    """(id, last_id, hops): where the chain of superseded_by ends; pointers double each round, cycles stop.
+def lineage(mem: DataFrame) -> DataFrame:
+    """(id, last_id, hops): where the chain of superseded_by ends, however long; pointers double each round.
 
-    A chain that meets a row that is not there ends at the last row that is.
+    A chain that meets a row that is not there ends at the last row that is. One that runs into a cycle has no
+    end: its last_id is the smallest id of the cycle, and hops is null.
     """
     known = mem.select(F.col("id").alias("next_id"))
     edge = mem.select("id", F.col("superseded_by").alias("next_id")).join(known, "next_id", "left_semi")
-    at = mem.select("id").join(edge, "id", "left").select("id", F.coalesce("next_id", "id").alias("last_id"), F.when(F.col("next_id").isNull(), 0).otherwise(1).alias("hops"))
-    rounds = max(1, depth.bit_length() - 1)
-    for _ in range(rounds):
-        step = at.select(F.col("id").alias("last_id"), F.col("last_id").alias("to_id"), F.col("hops").alias("more"))
-        at = at.join(step, "last_id").select("id", F.col("to_id").alias("last_id"), (F.col("hops") + F.col("more")).alias("hops"))
-    return at.withColumn("hops", F.least("hops", F.lit(2**rounds)))
+    at = mem.select("id").join(edge, "id", "left")
+    moves = F.when(F.col("next_id").isNull(), 0).otherwise(1).cast("long")
+    # low: the smallest id on the way.
+    at = _cut(at.select("id", F.coalesce("next_id", "id").alias("last_id"), moves.alias("hops"), F.col("id").alias("low")))
+    rows, reach = at.count(), 1
+    going = F.col("hops") == reach
+    while reach <= rows and at.filter(going).take(1):
+        step = at.select(F.col("id").alias("last_id"), F.col("last_id").alias("to_id"), F.col("hops").alias("more"), F.col("low").alias("lower"))
+        far = at.filter(going).join(step, "last_id").select("id", F.col("to_id").alias("last_id"), (F.col("hops") + F.col("more")).alias("hops"), F.least("low", "lower").alias("low"))
+        at = _cut(at.filter(~going).unionByName(far))
+        reach *= 2
+        going = F.col("hops") == reach
+    # More hops than rows: only pointers on cycles go that far, and they have seen the whole cycle.
+    endless = at.filter(F.col("hops") > rows)
+    ends = at.filter(F.col("hops") <= rows).select("id", "last_id", F.col("hops").cast("int").alias("hops"))
+    lows = endless.select(F.col("id").alias("last_id"), F.col("low").alias("least_id"))
+    return ends.unionByName(endless.join(lows, "last_id").select("id", F.col("least_id").alias("last_id"), F.lit(None).cast("int").alias("hops")))
 
 
 # --------------------------------------------------------------------------- clusters
