@@ -1,15 +1,18 @@
 """Operator 8: licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line. Paragraphs without a cue (``CUES``) are of class unknown by definition; all others
+A paragraph is a line, or a block of several lines up to a blank one, as licence texts are wrapped. All
 are described by their distinct words and word pairs. A multinomial logistic regression over these sparse
 features, fitted on licence notices built from ``NAMES``, ``CARRIERS`` and ``NOTICES`` and on sentences
 that use the same words otherwise, gives a probability to each licence family and to unknown. A
 temperature fitted on held-out notices calibrates it. A family is predicted if it is likelier than
-unknown and all others.
+unknown and all others. Before any shuffle a filter (``_could_be``) drops paragraphs whose terms can't
+outweigh the bias of unknown for any family, however they are weighed; it passes all others.
 
 A prediction is confirmed if a template of the family lies in the paragraph: at least ``similarity`` of
 its shingles of five words (a shorter template is one shingle).
 
+A block is given only where no line of it is confirmed for the same family.
+
 The weights are a table of a few thousand terms, bounded by the texts in this file; it alone is broadcast.
 
 Defined results: null and empty texts have no paragraph; a document may have several rows; rows that
@@ -26,8 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What a licence paragraph holds at least one of.
-CUES = ["licen", "copyright", "rights reserved", "warrant", "public domain", "creative commons", "permission", "gpl", "redistribut", "cc by", "cc0", "cc-by", "spdx"]
+from memengine.llm._common import cut
 
 # Names of the families.
 NAMES = {
@@ -83,6 +85,7 @@ OTHERS = [
     "The machine comes with a warranty of two years.", "Her rights reserved for citizens were taken away.", "The story has been in the public domain of gossip for years.", "The fishing licence costs ten crowns a year.",
     "They redistributed the grain among the villages.", "The restaurant lost its liquor license under the new mayor.", "The version of the general who held the license to act was published.", "A license plate was found under the bridge.",
     "The terms of the licence deal between the two clubs are secret.", "Software licensing is a large market.", "The copyright dispute between the publishers goes on.", "You need permission to use this road.",
+    "Er kam mit dem Zug nach Hause.", "Mit der Zeit und mit Geduld.", "Nicht mit uns.", "Sie ging mit ihm in den Garten.", "Die Stadt mit einem Hafen und mit vielen Kirchen.", "Das ist mit.", "Komm mit und lies.",
 ]
 UNKNOWN = "unknown"
 _TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
@@ -160,43 +163,91 @@ def model() -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
     return classes, terms, w, b, float(temperature)
 
 
-def _has_cue(text: Column) -> Column:
-    out = F.lit(False)
-    for cue in CUES:
-        out = out | F.contains(text, F.lit(cue))
-    return out
+def _leads() -> tuple[list[str], np.ndarray, float]:
+    """Terms, the lead of each over unknown for the family that it helps most, and the lead that a family needs."""
+    classes, terms, weights, bias, _ = model()
+    u = classes.index(UNKNOWN)
+    others = [k for k in range(len(classes)) if k != u]
+    w = weights.round(6)
+    return terms, (w[:, others] - w[:, [u]]).max(axis=1), float(bias[u] - bias[others].max())
+
+
+def _has_help(words: Column) -> Column:
+    """Whether a word is in a term that helps a family; without one, the bias of unknown decides."""
+    terms, lead, need = _leads()
+    helps = sorted({x for t, v in zip(terms, lead) if v > 0 for x in t.split()})
+    return F.exists(words, lambda x: x.isin(helps)) if need > 0 else F.size(words) > 0
+
+
+def _could_be(found: Column) -> Column:
+    """Whether paragraphs of these terms can be of a family: an upper bound of its lead over unknown.
+
+    A term's lead counts as the largest of its step, for the family that it helps most.
+    """
+    terms, lead, need = _leads()
+    if need <= 0:  # then even a paragraph without a known term has a family
+        return F.lit(True)
+    helps = [t for t, v in zip(terms, lead) if v > 0]
+    edges = [0.0, *np.quantile(lead[lead > 0], [0.2, 0.4, 0.6, 0.75, 0.85, 0.93, 0.97]), float(lead.max())]
+    steps = [([t for t, v in zip(terms, lead) if a < v <= b], float(b)) for a, b in zip(edges, edges[1:])]
+
+    def bound(x: Column) -> Column:
+        out = F.lit(0.0)
+        for some, most in reversed(steps):
+            if some:
+                out = F.when(x.isin(some), F.lit(most)).otherwise(out)
+        return out
+
+    most = F.aggregate(F.filter(found, lambda x: x.isin(helps)), F.lit(0.0), lambda a, x: a + bound(x))
+    return most + 1e-3 >= F.lit(need) * F.sqrt(F.size(found))
+
+
+def _paragraphs(t: Column) -> Column:
+    """Lines, and blocks of several lines, as (n: first line, lines, p)."""
+    lines = F.split(t, "\n")
+    singles = F.transform(lines, lambda x, i: F.struct(i.alias("n"), F.lit(1).alias("lines"), x.alias("p")))
+    full = F.transform(lines, lambda x: x.rlike(r"\S"))
+    starts = F.filter(F.transform(full, lambda x, i: F.when(x & ~F.coalesce(F.get(full, i - 1), F.lit(False)), i)), lambda x: x.isNotNull())
+    blocks = F.filter(F.split(t, r"\n(?:[^\S\n]*\n)+"), lambda x: x.rlike(r"\S"))
+    blocks = F.transform(blocks, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    several = F.transform(F.arrays_zip(starts.alias("n"), blocks.alias("p")), lambda x: F.struct(x["n"].alias("n"), F.size(F.split(x["p"], "\n")).alias("lines"), x["p"].alias("p")))
+    return F.concat(singles, F.filter(several, lambda x: x["lines"] > 1))
+
+
+def _terms_of(words: Column) -> Column:
+    pairs = F.transform(F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))).alias("a"), F.slice(words, 2, F.size(words)).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
+    return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(id, paragraph, family, probability, similarity, confirmed): a row for each licence paragraph."""
+    """(id, paragraph, lines, family, probability, similarity, confirmed): a row for each licence paragraph."""
     spark = docs.sparkSession
     classes, terms, weights, bias, temperature = model()
     table = spark.createDataFrame([(t, [float(v) for v in w]) for t, w in zip(terms, weights.round(6))], "term string, w array<double>")
-    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("t")).filter(_has_cue(F.col("t")))
-    lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("n"), x.alias("p")))
-    par = low.select("id", F.explode(F.filter(lines, lambda x: _has_cue(x["p"]))).alias("x")).select("id", F.col("x.n").alias("paragraph"), F.col("x.p").alias("p")).distinct()
+    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("t"))
+    par = low.select("id", F.explode(_paragraphs(F.col("t"))).alias("x")).select("id", F.col("x.n").alias("paragraph"), F.col("x.lines").alias("lines"), F.col("x.p").alias("p"))
+    # An array of one, exploded: computed once, where a projection would be computed anew in each filter.
     words = F.regexp_extract_all("p", F.lit(_TOKEN), F.lit(0))
-    par = par.select("id", "paragraph", words.alias("words")).filter(F.size("words") > 0)
-    pairs = F.transform(F.arrays_zip(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(1))).alias("a"), F.slice("words", 2, F.size("words")).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
-    found = F.array_distinct(F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>"))))
-    described = par.select("id", "paragraph", F.size(found).alias("n"), F.array_join("words", " ").alias("norm"), F.explode(found).alias("term"))
+    par = par.select("id", "paragraph", "lines", F.explode(F.array(words)).alias("words")).filter(_has_help(F.col("words")))
+    par = par.select("id", "paragraph", "lines", "words", F.explode(F.array(_terms_of(F.col("words")))).alias("found")).filter(_could_be(F.col("found")))
+    par = par.select("id", "paragraph", "lines", F.array_join("words", " ").alias("norm"), "found").distinct()
+    described = par.select("id", "paragraph", "lines", F.size("found").alias("n"), "norm", F.explode("found").alias("term"))
     sums = [F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(classes))]
-    scored = described.join(F.broadcast(table), "term", "left").groupBy("id", "paragraph").agg(F.first("n").alias("n"), F.first("norm").alias("norm"), *sums)
+    scored = described.join(F.broadcast(table), "term", "left").groupBy("id", "paragraph", "lines", "n", "norm").agg(*sums)
     logits = [((F.col(f"s{k}") / F.sqrt("n") + F.lit(float(bias[k]))) / F.lit(temperature)) for k in range(len(classes))]
-    scored = scored.select("id", "paragraph", "norm", F.array(*logits).alias("z"))
+    scored = scored.select("id", "paragraph", "lines", "norm", F.array(*logits).alias("z"))
     top = F.array_max("z")
     share = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - top))
     names = F.array(*(F.lit(c) for c in classes))
-    best = scored.select("id", "paragraph", "norm", F.get(names, F.array_position("z", top).cast("int") - 1).alias("family"), share.alias("probability"))
+    best = scored.select("id", "paragraph", "lines", "norm", F.get(names, F.array_position("z", top).cast("int") - 1).alias("family"), share.alias("probability"))
     best = best.filter(F.col("family") != UNKNOWN)
-    return best.select(
-        F.col("id").alias(id_col),
-        "paragraph",
-        "family",
-        F.round("probability", 6).alias("probability"),
-        F.round(_containment(F.col("family"), F.col("norm")), 6).alias("similarity"),
-        (_containment(F.col("family"), F.col("norm")) >= similarity).alias("confirmed"),
-    )
+    found = _containment(F.col("family"), F.col("norm"))
+    rows = best.select("id", "paragraph", "lines", "family", F.round("probability", 6).alias("probability"), F.round(found, 6).alias("similarity"), (found >= similarity).alias("confirmed"))
+    rows = cut(rows)  # read twice below
+    line = rows.filter("lines = 1 and confirmed").select(F.col("id").alias("__id"), F.col("paragraph").alias("__at"), F.col("family").alias("__family"))
+    said = F.col("id").eqNullSafe(F.col("__id")) & (F.col("family") == F.col("__family"))
+    said = said & (F.col("lines") > 1) & F.col("__at").between(F.col("paragraph"), F.col("paragraph") + F.col("lines") - 1)
+    return rows.join(line, said, "left_anti").withColumnRenamed("id", id_col)
 
 
 def _containment(family: Column, norm: Column) -> Column:

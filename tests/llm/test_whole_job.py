@@ -1,9 +1,9 @@
-"""Operators do the whole job: dropout by occurrence."""
+"""Operators do the whole job: dropout by occurrence, licences without a cue."""
 
 import numpy as np
-from llm_data import make_docs
+from llm_data import make_docs, prose
 
-from memengine.llm import pieces
+from memengine.llm import licenses, pieces
 from memengine.llm.queries import TOKENIZER
 
 
@@ -38,3 +38,38 @@ def test_dropout_frames_vary_between_documents(spark):
     docs = make_docs(spark, ["extraordinary circumstances " * 50] * 4)
     rows = pieces.round_trip(docs, TOKENIZER).collect()
     assert all(r.lossless for r in rows) and len({r.tokens_sha256 for r in rows}) == 4
+
+
+WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated
+documentation files, to deal in the
+Software without restriction"""
+
+
+def test_licences_without_a_cue_and_wrapped(spark):
+    texts = [(f, c.format(n)) for f, names in licenses.NAMES.items() for n in names for c in ("Released under the {}.", "Published under {}.", "{}")]
+    texts += [(f, t) for f, notices in licenses.NOTICES.items() for t in notices]
+    docs = make_docs(spark, [t for _, t in texts])
+    got = {(r.doc_id, r.family) for r in licenses.scan(docs).collect() if r.confirmed}
+    assert got == {(k, f) for k, (f, _) in enumerate(texts)}
+    more = make_docs(spark, [f"\n some text\n \n\n{WRAPPED}\n\t\nlast", "Mit und.", "Ein Haus mit Garten.", f"{WRAPPED}\n"])
+    found = licenses.scan(more).collect()
+    assert {(r.doc_id, r.paragraph, r.lines, r.family) for r in found if r.confirmed} == {(0, 4, 4, "mit"), (3, 0, 4, "mit")}
+    assert {r.doc_id for r in found} == {0, 3}
+
+
+def test_licence_filter_passes_all_that_the_classifier_names(spark, rng):
+    classes, terms, w, b, _ = licenses.model()
+    at = {t: k for k, t in enumerate(terms)}
+    words = sorted({x for t in terms for x in t.split()})
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) + " " + " ".join(rng.sample(terms, 3)) + " " + prose(rng, rng.randrange(9)) for _ in range(1500)]
+
+    def named(t):
+        s = sorted(licenses._terms(t))
+        z = sum((w[at[x]].round(6) for x in s if x in at), np.zeros(len(classes))) / np.sqrt(len(s)) + b
+        return classes[int(z.argmax())]
+
+    want = {(k, named(t)) for k, t in enumerate(texts)}
+    want = {(k, f) for k, f in want if f != licenses.UNKNOWN}
+    got = {(r.doc_id, r.family) for r in licenses.scan(make_docs(spark, texts)).collect()}
+    assert len(want) > 100 and got == want
