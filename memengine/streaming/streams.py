@@ -89,18 +89,22 @@ STATE = T.StructType([T.StructField("seen", T.StringType())])
 def learn_stream(turns: DataFrame, now_ms: int, cfg: Config = DEFAULT) -> DataFrame:
     """Stream (conv_id, turn, role, text) to decisions, in order within each conversation.
 
-    State of a conversation: the object last learned for each predicate, and its linker's mentions.
+    State of a conversation: the object last learned for each predicate, and its linker's tables. All turns of a
+    trigger are ordered before they are folded.
     """
     import json
 
     buckets = [(name, __import__("re").compile(p)) for name, p in text.BUCKETS]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
+        saved = json.loads(state.get[0]) if state.exists else {"known": {}, "linker": {}}
+        known: dict[str, str] = saved["known"]
         linker = learning.Linker()
+        vars(linker).update(saved["linker"])
         rows = []
-        for pdf in batches:
-            for turn, said in pdf[pdf["role"] == "user"].sort_values("turn")[["turn", "text"]].itertuples(index=False):
+        parts = [pdf[pdf["role"] == "user"] for pdf in batches]
+        if parts:  # a trigger's turns of a conversation may come in several Arrow batches
+            for turn, said in pd.concat(parts).sort_values("turn", kind="stable")[["turn", "text"]].itertuples(index=False):
                 a = ner.analyze_text(said, now_ms)
                 kinds = a["types"]
                 threshold = min([cfg.type_threshold.get(k, cfg.threshold) for k in kinds], default=cfg.threshold)
@@ -119,7 +123,7 @@ def learn_stream(turns: DataFrame, now_ms: int, cfg: Config = DEFAULT) -> DataFr
                     action = "SUPERSEDE" if bucket in ("transition", "past") else "UPDATE"
                 known[predicate] = what
                 rows.append((int(key[0]), int(turn), predicate, what, action, said))
-        state.update((json.dumps(known),))
+        state.update((json.dumps({"known": known, "linker": vars(linker)}),))
         yield pd.DataFrame(rows, columns=[f.name for f in LEARNED])
 
     return turns.groupBy("conv_id").applyInPandasWithState(step, LEARNED, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,6 @@
-"""Operators of the engine do the whole job: chains of any length."""
+"""Operators of the engine do the whole job: chains of any length, streams over several triggers."""
 
-from test_operators import by_id, row, table
+from test_operators import NOW, by_id, row, table
 
 from memengine.operators import lifecycle
 
@@ -14,3 +14,30 @@ def test_lineage_follows_long_chains_to_their_end(spark):
     assert all((got[f"m{k}"].last_id, got[f"m{k}"].hops) == ("m300", 300 - k) for k in range(301))
     assert all((got[f"m{500 + k}"].last_id, got[f"m{500 + k}"].hops) == ("m564", 64 - k) for k in range(65))
     assert all((got[f"m{k}"].last_id, got[f"m{k}"].hops) == ("m401", None) for k in range(395, 441))
+
+
+def test_learn_stream_does_not_depend_on_triggers_or_arrow_batches(spark, tmp_path):
+    from memengine.streaming import streams
+
+    schema = "conv_id long, turn long, role string, text string"
+    first = [(1, 1, "user", "My name is Katherine.")]
+    second = [(1, 3, "user", "I live in Riga."), (1, 2, "user", "I live in Oslo."), (1, 4, "user", "My name is Kathrine.")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    def decisions(name, *triggers):
+        q = None
+        for rows in triggers:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            if q is None:
+                stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+                q = streams.learn_stream(stream, NOW).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}_ck")).start()
+            q.processAllAvailable()
+        q.stop()
+        return [(r.turn, r.predicate, r.object, r.action) for r in spark.table(name).orderBy("turn").collect()]
+
+    try:
+        parted, whole = decisions("parted", first, second), decisions("whole", first + second)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert parted == whole and [x[3] for x in whole] == ["ADD", "ADD", "UPDATE", "IGNORE"] and whole[0][2] == whole[3][2]
