@@ -123,14 +123,22 @@ def novelty(mem: DataFrame, query: Sequence[float], now_ms: int, cfg: Config = D
 
 def augment(mem: DataFrame, turns: DataFrame, conv_id: int, query: Sequence[float], now_ms: int, cfg: Config = DEFAULT, max_tokens: int | None = None) -> DataFrame:
     """The turns of a conversation with the memories that fit its budget in front."""
-    mine = turns.filter(F.col("conv_id") == conv_id)
-    used = mine.agg(F.sum(scoring.tokens(F.coalesce("text", F.lit("")), cfg)).alias("t"), F.count(F.lit(1)).alias("n")).first()
-    spent = int(used["t"] or 0) + cfg.message_overhead * int(used["n"])
-    available = max(0, cfg.context_tokens - cfg.response_reserve - spent) if used["n"] else None
-    block = format_block(injection_preview(mem, query, now_ms, available, max_tokens, cfg))
-    with_block = mine.crossJoin(F.broadcast(block))
-    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
-    rows = with_block.withColumn("__lead", first)
+    return augment_all(mem, turns.filter(F.col("conv_id") == conv_id), query, now_ms, cfg, max_tokens)
+
+
+def augment_all(mem: DataFrame, turns: DataFrame, query: Sequence[float], now_ms: int, cfg: Config = DEFAULT, max_tokens: int | None = None) -> DataFrame:
+    """The turns of every conversation with the memories in front that fit its own budget."""
+    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = vector_search(mem, query, now_ms, cfg.k, (), True, cfg).withColumn("running", F.sum(scoring.tokens(F.col("content"), cfg)).over(w))
+    line = F.concat(F.lit("- "), F.col("content"), F.lit(" (confidence: "), confidence(F.col("current_strength"), F.col("pinned")), F.lit(")"))
+    hits = hits.agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line"), "running"))).alias("__hits"))  # k at most
+    mine = Window.partitionBy("conv_id")
+    spent = F.sum(scoring.tokens(F.coalesce("text", F.lit("")), cfg)).over(mine) + cfg.message_overhead * F.count(F.lit(1)).over(mine)
+    budget = F.lit(max(0, max_tokens)) if max_tokens is not None else F.greatest(F.lit(0), F.lit(cfg.context_tokens - cfg.response_reserve) - spent)
+    rows = turns.withColumn("__budget", budget).withColumn("__lead", F.row_number().over(mine.orderBy("turn")) == 1).crossJoin(F.broadcast(hits))
+    fit = F.transform(F.filter("__hits", lambda x: x["running"] <= F.col("__budget")), lambda x: x["line"])
+    body = F.array_join(F.concat(F.array(F.lit(HEADER)), fit, F.array(F.lit(FOOTER))), "\n")
+    rows = rows.withColumn("block", F.when(F.col("__lead") & (F.size(fit) > 0), body).otherwise(F.lit("")))
     told = F.when(F.col("__lead") & (F.col("role") == "system") & (F.col("block") != ""), F.concat("block", F.lit("\n\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
     new = rows.filter(F.col("__lead") & (F.col("role") != "system") & (F.col("block") != ""))
     new = new.select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit("system").alias("role"), F.col("block").alias("text"))

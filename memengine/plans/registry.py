@@ -157,7 +157,7 @@ _BLOCK = f"SELECT CASE WHEN count(*) = 0 THEN '' ELSE '{retrieval.HEADER}' || ch
 _add("format_block", lambda s, d: retrieval.format_block(retrieval.vector_search(memories(s, d), _vector(s, d), NOW_MS, 5)), _SEARCH + _BLOCK)
 _add("inject_system", lambda s, d: retrieval.inject_system(read(s, d, "conversations").select("conv_id", "turn", "role", "text"), F.lit("[block]")),
      "WITH f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS least FROM conversations), h AS (SELECT conv_id, turn, role FROM f WHERE turn = least) SELECT conv_id, turn, role, CASE WHEN turn = least AND role = 'system' THEN '[block]' || chr(10) || chr(10) || coalesce(text, '') ELSE text END AS text FROM f UNION ALL SELECT conv_id, turn - 1, 'system', '[block]' FROM h WHERE role <> 'system'")
-_add("augment", lambda s, d: retrieval.augment(memories(s, d), read(s, d, "conversations").select("conv_id", "turn", "role", "text"), 1, _vector(s, d), NOW_MS))
+_add("augment", lambda s, d: retrieval.augment_all(memories(s, d), read(s, d, "conversations").select("conv_id", "turn", "role", "text"), _vector(s, d), NOW_MS))
 _add("augment_debug", lambda s, d: retrieval.excluded(memories(s, d), retrieval.vector_search(memories(s, d), _vector(s, d), NOW_MS, 20).select("id"), _vector(s, d), NOW_MS), _SEARCH + "SELECT m.id, CASE WHEN fl.id IS NOT NULL THEN 'token_budget' ELSE 'below_floor' END AS reason FROM memories m LEFT JOIN fl ON fl.id = m.id WHERE m.status = 'active' AND m.id NOT IN (SELECT id FROM ranked WHERE rank <= 20)")
 _mem("semi_anti", lambda m: m.filter("status = 'active'").join(_third(m), "id", "left_anti").select("id"), "SELECT id FROM memories WHERE status = 'active' AND seq % 3 <> 0")
 

@@ -1,8 +1,9 @@
-"""Operators of the engine do the whole job: chains of any length, streams over several triggers."""
+"""Operators of the engine do the whole job: chains of any length, streams over several triggers, every conversation."""
 
 from test_operators import NOW, by_id, row, table
 
-from memengine.operators import lifecycle
+from memengine.config import DEFAULT
+from memengine.operators import lifecycle, retrieval
 
 
 def test_lineage_follows_long_chains_to_their_end(spark):
@@ -41,3 +42,20 @@ def test_learn_stream_does_not_depend_on_triggers_or_arrow_batches(spark, tmp_pa
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert parted == whole and [x[3] for x in whole] == ["ADD", "ADD", "UPDATE", "IGNORE"] and whole[0][2] == whole[3][2]
+
+
+def test_augment_covers_every_conversation_under_its_own_budget(spark):
+    mem = table(spark, *(row(k, content=f"fact {k} " + "x" * 400) for k in range(6)))
+    turns = spark.createDataFrame([(1, 1, "user", "hi"), (2, 1, "system", "be kind"), (2, 2, "user", "y" * 27_500), (3, 1, "user", "z" * 40_000)], "conv_id long, turn long, role string, text string")
+    hits = retrieval.vector_search(mem, [1.0, 0.0], NOW).orderBy("rank").collect()
+    got = {(r.conv_id, r.turn): r.text for r in retrieval.augment_all(mem, turns, [1.0, 0.0], NOW).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 1), (2, 2), (3, 1)} and len(hits) == 6
+    for conv, at, spent in ((1, 0, 1 + 4), (2, 1, 2 + 6875 + 8)):
+        left, want = DEFAULT.context_tokens - DEFAULT.response_reserve - spent, []
+        for h in hits:
+            left -= -(-len(h.content) // 4)
+            if left < 0:
+                break
+            want.append(h.content)
+        assert [x for x in (h.content for h in hits) if f"- {x} (" in got[conv, at]] == want and want
+    assert len([1 for h in hits if h.content in got[2, 1]]) < 6 and got[2, 1].endswith("be kind")
