@@ -211,6 +211,7 @@ class Model:
         width = int(lens.max())
         s = np.full((len(units), width + 1), -1, np.int64)
         s[np.arange(width + 1)[None, :] < lens[:, None]] = [sym.get(c, -1) for u in units for c in u]
+
         def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             k = left * n_sym + right
             slot = np.minimum(np.searchsorted(keys, k), keys.size - 1)
