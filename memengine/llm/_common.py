@@ -48,9 +48,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_bound(total: int, most: int = 1000) -> int:
+    """Rows that make a key hot among ``total``: at most ``most`` keys can have as many."""
+    return max(most, -(-total // most))
+
+
+def salted(many: DataFrame, one: DataFrame, keys: list[str], hot: Column, spread: str, salts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a salt, and the keys to join them on, so that no task gets all rows of a hot key.
+
+    ``one`` has a row for each key at most; ``hot`` picks those of its keys that ``hot_bound`` rows of ``many``
+    have, so they are few enough to broadcast. Their rows in ``many`` are dealt by a hash of ``spread``.
+    """
+    named = one.filter(hot).select(*(F.col(k).alias(f"__hot_{k}") for k in keys))
+    cond = F.col(keys[0]) == F.col(f"__hot_{keys[0]}")
+    for k in keys[1:]:
+        cond = cond & (F.col(k) == F.col(f"__hot_{k}"))
+    drop, is_hot = [f"__hot_{k}" for k in keys], F.col(f"__hot_{keys[0]}").isNotNull()
+    dealt = many.join(F.broadcast(named), cond, "left")
+    dealt = dealt.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop(*drop)
+    each = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = one.join(F.broadcast(named), cond, "left").withColumn("__salt", F.explode(each)).drop(*drop)
+    return dealt, copied, [*keys, "__salt"]
+
+
 def split_of(key: Column, buckets: int) -> Column:
-    """crc32(key as text) mod buckets: names the rows that are held out."""
-    return F.crc32(key.cast("string").cast("binary")) % F.lit(buckets)
+    """crc32(key as text) mod buckets: names the rows that are held out; -1 for a null key, which is in no split."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(buckets), F.lit(-1).cast("long"))
 
 
 def bounded_sample(df: DataFrame, key: str, cls: str, per_class: int, seed: int = 17) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm_data import EDGES, make_docs, prose
 
-from memengine.llm import cdc, chat, decontam, pieces, topk
+from memengine.llm import chat, decontam, pieces, topk
 from memengine.llm.queries import CONTROL_TEXT, QUERIES, TOKENIZER
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -179,35 +179,9 @@ def test_top_k_of_few_rows(spark):
     assert [tuple(r) for r in topk.top_k(few).orderBy("rank").collect()] == [(0, 1, 3, 4096), (0, 2, 2, 2048)]
 
 
-def cut_by_hand(texts):
-    """Texts without chunk runs that an earlier document has: the chunks of each row alone, in plain dicts."""
-    chunks = {}
-    for i, t in texts.items():
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        ends = cdc.cut_points(data, np.array([0, data.size]), cdc.REACH, cdc.MAX_BYTES)[0].tolist() if data.size else []
-        chunks[i] = [(a, b, bytes(data[a:b])) for a, b in zip([0, *ends], ends)]
-    first, last = {}, {}
-    for i in sorted(chunks):
-        for _, _, c in chunks[i]:
-            first.setdefault(c, i)
-            last[c] = i
-    out = {}
-    for i, parts in chunks.items():
-        runs = []
-        for a, b, c in parts:
-            if first[c] != last[c]:
-                if runs and runs[-1][-1][1] == a:
-                    runs[-1].append((a, b, c))
-                else:
-                    runs.append([(a, b, c)])
-        gone = {(a, b) for r in runs if r[-1][1] - r[0][0] >= cdc.MIN_RUN_BYTES for a, b, c in r if first[c] != i}
-        out[i] = b"".join(c for a, b, c in parts if (a, b) not in gone).decode("utf-8", "replace")
-    return out
-
-
 def test_pipeline_equals_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from test_dedup import brute_components, brute_fingerprint
+    from test_dedup import brute_components, brute_fingerprint, brute_left
 
     from memengine.llm import toxicity
     from memengine.llm._common import cut
@@ -226,7 +200,8 @@ def test_pipeline_equals_brute_force(spark):
     assert set(as_dict(two)) == set(comp.values())
 
     three = cut(stages["substring_dedup"](spark, two, DATA))
-    want = cut_by_hand(as_dict(two))
+    before = as_dict(two)
+    want = dict(zip(before, brute_left(spark, list(before.items()))))
     assert as_dict(three) == {i: t for i, t in want.items() if t.strip()}
 
     four = cut(stages["benchmark_decontamination"](spark, three, DATA))
