@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 No vertex, edge or label goes to the driver; each round is two aggregates and a checkpoint in the
-shared folder. Rounds are logarithmic in the size of a component.
+shared folder. Rounds are logarithmic in the size of a component. The edges of a hub (a vertex with a
+thousandth of all edges or more) are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -9,20 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import cut
+from memengine.llm._common import cut, hot_bound, salted
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(e: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): edges with the least neighbour of u; ``rows`` is the number of edges, or more."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    many, one, keys = salted(e, low, ["u"], F.col("n") >= hot_bound(rows), "v")
+    return many.join(one.drop("n"), keys).select("u", "v", "m")
+
+
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = _with_least(both, 2 * rows).filter("v > u")
+    return least.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    least = _with_least(down, rows)
+    moved = least.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.filter("v = m").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -35,7 +43,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     rows = e.count()
     for _ in range(max_rounds):
         # Few edges need few files a round.
-        e = cut(_small_star(_large_star(e)).coalesce(rows // 200_000 + 1))
+        e = cut(_small_star(_large_star(e, rows), rows).coalesce(rows // 200_000 + 1))
         row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         rows = row[0]
         now = (row[0], row[1])

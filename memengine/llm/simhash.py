@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import cut, string_array, text_batches
+from memengine.llm._common import cut, hot_bound, salted, string_array, text_batches
 from memengine.llm.components import connected_components
 
 BITS = 64
@@ -61,18 +61,19 @@ def fingerprint_text(text: bytes | None, shingle: int = 4) -> int:
     return value
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp long): the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, fp long): the fingerprint's 64 bits as a signed long."""
     text_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, *carry]
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = string_array(b.column(1)).cast(pa.binary())
+            texts = string_array(b.column(len(names))).cast(pa.binary())
             fp = np.fromiter((fingerprint_text(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("__t")).mapInArrow(run, f"{id_col} {id_type}, fp long")
+    return docs.select(*names, F.col(text_col).cast("string").alias("__t")).mapInArrow(run, f"{fields}, fp long")
 
 
 # --------------------------------------------------------------------------- plan of the search
@@ -116,7 +117,7 @@ def ball(width: int, radius: int) -> int:
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds t_i >= -1 with the given sum and the least cost; costs[i][t + 1]."""
+    """Thresholds t_i >= -1 with the given sum and the least cost; costs[i][t + 1]. Infinite cost where none have it."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in costs:
         nxt: dict[int, tuple[float, list[int]]] = {}
@@ -125,7 +126,7 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
                 if s + t <= total + len(costs) and (s + t not in nxt or c + row[t + 1] < nxt[s + t][0]):
                     nxt[s + t] = (c + row[t + 1], [*ts, t])
         best = nxt
-    return best[total]
+    return best.get(total, (float("inf"), []))
 
 
 def search_plan(sample: np.ndarray, n: int, distance: int, pair_cost: float = 4.0) -> list[tuple[list[int], int]]:
@@ -155,9 +156,10 @@ def search_plan(sample: np.ndarray, n: int, distance: int, pair_cost: float = 4.
         if total < -m:
             continue
         cost, ts = allocate(costs, total)
-        if best is None or cost < best[0]:
+        if cost < float("inf") and (best is None or cost < best[0]):
             best = (cost, [(g, t) for g, t in zip(groups, ts) if t >= 0])
-    assert best is not None
+    if best is None:
+        raise ValueError("a distance of this size has no search plan")
     return best[1]
 
 
@@ -233,8 +235,10 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], distance: int,
     entries = distinct.select("fp").mapInArrow(_file(plan), "part int, val long, fp long, home boolean")
     # Buckets of over ``block`` entries are cut; all others are one unit of work.
     hot = entries.groupBy("part", "val").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    hot = hot.select("part", "val", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    full = entries.join(hot, ["part", "val"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = cut(hot.select("part", "val", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    total = hot.agg(F.sum("n")).first()[0] or 0
+    many, one, keys = salted(entries, hot, ["part", "val"], F.col("n") >= hot_bound(total), "fp")
+    full = many.join(one.drop("n"), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     full = full.withColumn("slot", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
     # Each entry goes to its row of block pairs: (slot, k) for k >= slot and (k, slot) for k < slot.
     spread = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -283,21 +287,57 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], distance: int,
     return unit.select("p", "q", "members").mapInArrow(run, "src long, dst long").distinct()
 
 
+def classes(fp: DataFrame, id_col: str, distance: int, sample: int) -> DataFrame:
+    """fp (id, fp; cut off from its lineage) with root, component_id and members (rows of the class).
+
+    root is a fingerprint that names the class; component_id is the smallest id reachable over links.
+    """
+    distinct = cut(fp.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")))
+    row = distinct.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n, rows = row[0], row[1] or 0
+    seen = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
+    plan = search_plan(seen, n, distance)
+    linked = cut(links(distinct, plan, distance))
+    root = connected_components(linked, "src", "dst").withColumnRenamed("node", "fp")
+    # Fingerprints without a link are classes of their own; the others learn what their root's class has.
+    alone = distinct.join(root, "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("first_id").alias("component_id"), F.col("n").alias("members"))
+    some = cut(distinct.join(root, "fp"))
+    of_root = some.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("fps"))
+    many, one, keys = salted(some.select("fp", "n", "root"), of_root, ["root"], F.col("fps") >= hot_bound(n), "fp")
+    told = cut(alone.unionByName(many.join(one, keys).select("fp", "n", "root", "component_id", "members")))
+    many, one, keys = salted(fp, told, ["fp"], F.col("n") >= hot_bound(rows), id_col)
+    return many.join(one.drop("n"), keys).drop("__salt")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, sample: int = 4096
 ) -> DataFrame:
     """(id, fingerprint, component_id): component_id is the smallest id reachable over links."""
     # One fingerprint of all copies goes through the search; texts are read once.
-    fp = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = fp.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    n = distinct.count()
-    seen = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
-    plan = search_plan(seen, n, distance)
-    linked = cut(links(distinct, plan, distance))
-    root = connected_components(linked, "src", "dst")
-    labelled = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # Only fingerprints that are shared or linked go into the join with all documents.
-    classes = cut(labelled.join(smallest, "root").select("fp", "component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fp.join(classes, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
+    found = classes(cut(fingerprints(docs, id_col, text_col, shingle)), id_col, distance, sample)
+    return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, sample: int = 4096
+) -> DataFrame:
+    """docs with one row of each class of near duplicates: that of the smallest id, then of the least row hash.
+
+    A row is known by 128 bits of hash of all its columns, so rows that share an id, or have none, are judged
+    each by its own text; a row without an id stays only where no row of its class has one. Of rows equal in
+    every column one stays.
+    """
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.array(*(c.isNull() for c in every))
+    names = [F.xxhash64(F.lit(k), nulls, *every).alias(f"__k{k}") for k in (1, 2)]
+    whole = docs.select(F.struct(*every).alias("__doc"), *names)
+    short = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"), *names)
+    found = classes(cut(fingerprints(short, "id", "t", shingle, ("__k1", "__k2"))), "id", distance, sample)
+    found = cut(found.filter("members > 1").groupBy("root", "id", "__k1", "__k2").agg(F.count(F.lit(1)).alias("n")))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "__k1", "__k2", "n")).alias("x")).select("x.__k1", "x.__k2", "x.n")
+    gone = found.join(kept, ["__k1", "__k2"], "left_anti").select("__k1", "__k2")
+    several = kept.filter("n > 1").select("__k1", "__k2")
+    single = whole.join(gone.unionByName(several), ["__k1", "__k2"], "left_anti")
+    # Rows equal in every column, of which one stays; mostly none.
+    equal = whole.join(several, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return single.unionByName(equal).select("__doc.*")
