@@ -24,21 +24,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """One document of each group of near duplicates: that with the smallest id, of rows that share it the least by hash.
 
-    Texts without a word share fingerprint 0, so one of them stays.
+    Rows are told apart by a hash of all their columns, so rows that share an id, or have none, are judged
+    each by its own text; of rows equal in every column one stays. Texts without a word share fingerprint 0,
+    so one of them stays.
     """
-    classes = simhash.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id"))
-    gone = classes.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return simhash.drop_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; n_chars follows. Emptied documents go."""
-    kept = cdc.remove_repeats(docs)
-    had_text = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    kept = kept.filter(had_text | F.coalesce(F.col("n_chars") == 0, F.lit(True)))
-    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts without the passages that came elsewhere before; n_chars follows. A text that loses all goes."""
+    kept = cdc.remove_repeats(docs, changed_col="__changed")
+    left = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    kept = kept.filter(~F.col("__changed") | left)
+    size = F.when(F.col("__changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", size).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
