@@ -162,16 +162,41 @@ def brute_top_k(rows, k, mod):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [7, 64, 4096])
-def test_top_k_equals_brute_force(spark, rng, block):
+@pytest.mark.parametrize("ring", [7, 64, 4096])
+def test_top_k_equals_brute_force(spark, rng, ring):
     rows = [(i, [rng.gauss(0, 1) + (i % 3) for _ in range(8)]) for i in range(300)]
     rows += [(300 + i, [0.5] * 8) for i in range(100)]  # one vector of many rows
     rows += [(500, None), (501, [float("nan")] * 8), (502, [None] * 8), (503, [float("inf")] * 8), (520, [1.0, 2.0]), (540, []), (560, [3000.0] * 8)]
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, score long, label int")
-    got = topk.top_k(frame, k=20, query_mod=20, pivots=6, block=block, query_block=8)
+    got = topk.top_k(frame, k=20, query_mod=20, pivots=6, ring=ring, chunk=100)
     assert sorted(map(tuple, got.collect())) == brute_top_k(rows, 20, 20)
 
 
+@pytest.mark.parametrize("size", [3e4, 1e6, 2e8, 1e12, 1e160, 2e305])
+def test_top_k_of_wide_components(spark, rng, size):
+    rows = [(i, [round(rng.uniform(-size, size)) + 0.0 for _ in range(5)]) for i in range(60)]
+    rows += [(60 + i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(q, r, i, max(-(2**63 - 1), min(2**63 - 1, s))) for q, r, i, s in brute_top_k(rows, 9, 20)]
+    assert sorted(map(tuple, topk.top_k(frame, k=9, pivots=5, ring=8).collect())) == want
+
+
+def test_top_k_in_several_passes(spark, rng):
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame, k=5, query_mod=1, slice_bytes=1 << 15).collect())) == brute_top_k(rows, 5, 1)
+
+
+def test_top_k_bounds_stop_annuli_of_clustered_vectors(spark, rng):
+    centres = [[rng.gauss(0, 8) for _ in range(12)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 12]]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame, ring=64).collect())) == brute_top_k(rows, 20, 20)
+    told = topk.pruning(frame, ring=64).collect()
+    assert len(told) == 150 and all(r.compared + r.stopped == 3000 for r in told)
+    assert sum(r.stopped for r in told) > 0.5 * sum(r.compared + r.stopped for r in told)
+
+
 def test_top_k_of_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
