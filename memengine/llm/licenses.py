@@ -2,10 +2,15 @@
 
 A paragraph is a line, or a block of several lines up to a blank one, as licence texts are wrapped. All
 are described by their distinct words and word pairs. A multinomial logistic regression over these sparse
-features, fitted on licence notices built from ``NAMES``, ``CARRIERS`` and ``NOTICES`` and on sentences
-that use the same words otherwise, gives a probability to each licence family and to unknown. A
-temperature fitted on held-out notices calibrates it. A family is predicted if it is likelier than
-unknown and all others. Before any shuffle a filter (``_could_be``) drops paragraphs whose terms can't
+features, fitted on licence notices built from ``NAMES``, ``CARRIERS`` and ``NOTICES``, on notices of licences
+without a family here (``STRANGERS``) and on sentences that use the same words otherwise, gives a probability
+to each licence family and to unknown. Unknown has half of the weight.
+
+Calibration. Kin families are left out of the fit in turn, with the carriers of one remainder: their notices
+are what an unseen licence looks like, those of the other families under these carriers what a seen one does.
+A temperature is fitted to the margins, and the least probability at which a family is predicted is where the
+shares of seen notices that are named rightly and of unseen ones that are not named are best together. A family
+is predicted if it is as likely as that, and likelier than unknown and all others. Before any shuffle a filter (``_could_be``) drops paragraphs whose terms can't
 outweigh the bias of unknown for any family, however they are weighed; it passes all others.
 
 A prediction is confirmed if a template of the family lies in the paragraph: at least ``similarity`` of
@@ -22,7 +27,9 @@ gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -34,8 +41,8 @@ from memengine.llm._common import cut
 # Names of the families.
 NAMES = {
     "agpl-3.0": ["GNU Affero General Public License, version 3", "AGPL-3.0", "GNU AGPL version 3", "Affero General Public License v3.0"],
-    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 License", "Apache Software License"],
-    "bsd": ["BSD License", "BSD 3-Clause License", "BSD-3-Clause", "BSD 2-Clause License", "New BSD License", "Simplified BSD License"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 License", "Apache Software License", "Apache-Lizenz 2.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD-3-Clause", "BSD 2-Clause License", "New BSD License", "Simplified BSD License", "BSD-Lizenz"],
     "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0", "Creative Commons Attribution License"],
     "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0"],
     "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0", "CC BY-SA 3.0"],
@@ -44,7 +51,7 @@ NAMES = {
     "gpl-3.0": ["GNU General Public License, version 3", "GPL-3.0", "GNU GPL version 3", "GPLv3", "GNU General Public License v3.0"],
     "isc": ["ISC License", "ISC licence"],
     "lgpl": ["GNU Lesser General Public License, version 3", "LGPL-2.1", "GNU LGPL version 2.1", "LGPLv3"],
-    "mit": ["MIT License", "MIT licence", "MIT-style license", "MIT", "Expat License"],
+    "mit": ["MIT License", "MIT licence", "MIT-style license", "MIT", "Expat License", "MIT-Lizenz"],
     "mpl-2.0": ["Mozilla Public License, version 2.0", "MPL-2.0", "Mozilla Public License 2.0"],
     "unlicense": ["Unlicense", "public domain", "The Unlicense"],
 }
@@ -52,7 +59,9 @@ NAMES = {
 CARRIERS = [
     "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under the {}.", "This project is licensed under the terms of the {}.",
     "Distributed under the {}. See LICENSE for more information.", "SPDX-License-Identifier: {}", "License: {}", "Copyright (c) 2021 Jane Doe. Released under the {}.",
-    "This program is free software; you can redistribute it and/or modify it under the terms of the {}.", "Available under the {} license.", "Published under {}.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the {}.", "Available under the {} license.", "Published under {}.", "{}",
+    "Veröffentlicht unter der {}.", "Lizenziert unter {}.", "Dieses Werk steht unter der {}.", "Publié sous licence {}.", "Distribué sous les termes de la licence {}.", "Ce logiciel est régi par la {}.",
+    "Publicado bajo la licencia {}.", "Distribuido bajo los términos de la {}.", "Esta obra está bajo una licencia {}.",
 ]
 # Longer notices, by family (sentences of the public licence texts).
 NOTICES = {
@@ -87,8 +96,33 @@ OTHERS = [
     "The terms of the licence deal between the two clubs are secret.", "Software licensing is a large market.", "The copyright dispute between the publishers goes on.", "You need permission to use this road.",
     "Er kam mit dem Zug nach Hause.", "Mit der Zeit und mit Geduld.", "Nicht mit uns.", "Sie ging mit ihm in den Garten.", "Die Stadt mit einem Hafen und mit vielen Kirchen.", "Das ist mit.", "Komm mit und lies.",
 ]
+# Licences without a family here.
+STRANGERS = [
+    "Common Public License 1.0", "European Union Public Licence 1.2", "Microsoft Public License", "Lucent Public License 1.02", "Sun Public License 1.0", "Q Public License 1.0", "Common Development and Distribution License 1.0",
+    "zlib License", "PostgreSQL License", "SIL Open Font License 1.1", "Academic Free License 3.0", "Open Software License 3.0", "PHP License 3.01", "Ruby License", "Python Software Foundation License", "Server Side Public License, version 1",
+    "Business Source License 1.1", "Elastic License 2.0", "Reciprocal Public License 1.5", "Open Data Commons Attribution License", "GNU Free Documentation License 1.3", "NCSA License", "W3C Software Notice and License", "WTFPL",
+]
+# Plain sentences, which show common words without a licence.
+PLAIN = [
+    "It was the best of the days that they had spent by the sea, and all of them were free to go where they liked.", "The following morning he found a copy of the book in the public library, or so he said.",
+    "This is the first time that the two of us have been to the market in the general direction of the river.", "You can use this road for any purpose, but not for the transport of animals or of other goods.",
+    "He is a member of the commons, and she is a creative writer with a domain of her own in the south.", "We have been working on it for 3 years, and version 2 of the plan was finished in 2019 or 2020.",
+    "This is by far the best, and it was done by one of them, by the way, not by any of you, if this is what you can see.", "This house and this road were built by the same man, by hand, and this is how they are used to this day.",
+    "There are 4 or 5 ways to do it, with or without the help of the others, and each of them is as good as any.", "All of the rights and duties that come with the house were reserved for his eldest son, the founder.",
+    "The software that she wrote is distributed to all schools of the country and includes a file for each pupil.", "If you want to see it, you may obtain a ticket at the door, as is usual in this part of the town.",
+    "Es ist nicht unter der Brücke, sondern in der Stadt, und die Lizenz zum Angeln steht in diesem Werk.", "Die Kinder spielen unter den Bäumen, und das Buch wurde unter einem anderen Namen veröffentlicht.",
+    "Il est parti sous la pluie avec les enfants, et la licence de pêche est restée dans la maison.", "Ce livre a été publié sous un autre nom, et les termes de la lettre sont clairs pour tous.",
+    "El niño vive bajo el puente con su madre, y la licencia de conducir está en esta obra de teatro.", "Los términos de la carta son claros, y el libro fue publicado bajo otro nombre en la ciudad.",
+]
+# Common words of several languages, the commonest first.
+COMMON = (
+    "the of and to in a de is that it la for was on be as with by an this are at der les or los est una par not from his her he she have has had but all they which you one we were und die das von den des "
+    "el que las del se por con para un le et que du dans pour qui sur ist nicht ein eine auf zu im sich es any can may will no if its other than been there their who into out up only new some time these two then do"
+).split()
+# Kin families: one is mistaken for another, so they are left out of a fit together.
+KIN = [{"agpl-3.0", "gpl-2.0", "gpl-3.0", "lgpl"}, {"cc-by", "cc-by-nc", "cc-by-sa", "cc0"}, {"apache-2.0", "mpl-2.0", "isc"}, {"bsd", "mit", "proprietary", "unlicense"}]
 UNKNOWN = "unknown"
-_TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
+_TOKEN = r"[a-z0-9ß-ɏ]+(?:[.\-][a-z0-9ß-ɏ]+)*"
 
 
 def _tokens(text: str) -> list[str]:
@@ -109,74 +143,137 @@ def templates() -> dict[str, list[str]]:
     return out
 
 
-def training_set() -> list[tuple[str, str]]:
-    rows = [(f, c.format(n)) for f, names in NAMES.items() for n in names for c in CARRIERS]
-    rows += [(f, t) for f, texts in NOTICES.items() for t in texts for _ in range(6)]
-    rows += [(f, f"{a} {b}") for f, texts in NOTICES.items() for a in texts for b in texts if a != b]
-    rows += [(UNKNOWN, t) for t in OTHERS for _ in range(4)]
-    # Carriers alone, and around names that are no licence, tell nothing.
-    rows += [(UNKNOWN, c.format(n)) for c in CARRIERS for n in ("", "new mayor", "agreement between the parties", "Acme Example License 7")]
+def training_set() -> list[tuple[str, str, int]]:
+    """(family, text, number of the carrier, or -1)."""
+    rows = [(f, c.format(n), k) for f, names in NAMES.items() for n in names for k, c in enumerate(CARRIERS)]
+    rows += [(f, t, -1) for f, texts in NOTICES.items() for t in texts for _ in range(6)]
+    rows += [(f, f"{a} {b}", -1) for f, texts in NOTICES.items() for a in texts for b in texts if a != b]
+    rows += [(UNKNOWN, t, -1) for t in [*OTHERS, *PLAIN] for _ in range(4)]
+    # Carriers alone, around names that are no licence, and around those of other licences, tell nothing.
+    rows += [(UNKNOWN, c.format(n), k) for k, c in enumerate(CARRIERS) for n in ("", "new mayor", "agreement between the parties", "Acme Example License 7", *STRANGERS)]
     return rows
 
 
+def _weights(families: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Half of the weight to unknown, the other half in equal parts to the families."""
+    names, at = np.unique(families, return_inverse=True)
+    share = np.where(names == UNKNOWN, 0.5, 0.5 / max(1, len(names) - 1)) / np.bincount(at, times)
+    return (share[at] * times * len(families)).astype(np.float32)
+
+
+def _fit(gram: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic regression by gradient steps with momentum: weights as sums of rows, and the bias.
+
+    Weights lie in the span of the rows all the way, so that only products of rows are needed.
+    """
+    a, b = np.zeros(y.shape, np.float32), np.zeros(y.shape[1], np.float32)
+    va, vb = np.zeros_like(a), np.zeros_like(b)
+    for _ in range(250):
+        z = gram @ a + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - y) * weight[:, None] / len(y)
+        va = 0.9 * va - 4.0 * (g + 1e-5 * a)
+        vb = 0.9 * vb - 4.0 * g.sum(axis=0)
+        a, b = a + va, b + vb
+    return a, b
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 @cache
-def model() -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
-    """Classes, terms, weights (terms, classes), bias, temperature."""
-    rows = training_set()
-    classes = sorted({f for f, _ in rows})
-    sets = [_terms(t) for _, t in rows]
+def model() -> tuple[list[str], list[str], np.ndarray, np.ndarray, float, float]:
+    """Classes, terms, weights (terms, classes), bias, temperature, least probability of a prediction."""
+    counted = Counter(training_set())
+    rows, times = list(counted), np.array(list(counted.values()))
+    family, carrier = np.array([f for f, _, _ in rows]), np.array([k for _, _, k in rows])
+    classes = sorted(set(family.tolist()))
+    sets = [_terms(t) for _, t, _ in rows]
     terms = sorted(set().union(*sets))
     at = {t: k for k, t in enumerate(terms)}
     x = np.zeros((len(rows), len(terms)), np.float32)
-    for i, s in enumerate(sets):
-        x[i, [at[t] for t in s]] = 1 / np.sqrt(len(s))
-    y = np.zeros((len(rows), len(classes)), np.float32)
-    y[np.arange(len(rows)), [classes.index(f) for f, _ in rows]] = 1
-    weight = (1 / np.maximum(y.sum(axis=0), 1))[y.argmax(axis=1)]
-    weight /= weight.mean()
-
-    def fit(xs: np.ndarray, ys: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w, b = np.zeros((xs.shape[1], ys.shape[1])), np.zeros(ys.shape[1])
-        vw, vb = np.zeros_like(w), np.zeros_like(b)
-        for _ in range(250):
-            z = xs @ w + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            g = (p - ys) * ws[:, None] / len(xs)
-            vw = 0.9 * vw - 4.0 * (xs.T @ g + 1e-5 * w)
-            vb = 0.9 * vb - 4.0 * g.sum(axis=0)
-            w, b = w + vw, b + vb
-        return w, b
-
-    # Calibration: margins of a fit on the even rows, for the odd rows, under the best temperature.
-    odd = np.arange(len(rows)) % 2 == 1
-    w, b = fit(x[~odd], y[~odd], weight[~odd])
-    z = x[odd] @ w + b
+    for i, found in enumerate(sets):
+        x[i, [at[t] for t in found]] = 1 / np.sqrt(max(1, len(found)))
+    y = (family[:, None] == np.array(classes)[None, :]).astype(np.float32)
+    gram, u = x @ x.T, classes.index(UNKNOWN)
+
+    # Margins of notices that a fit has not seen: (logits, true class); families that it has not seen are unknown.
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for fold, kin in enumerate(KIN):
+        strange = np.isin(family, list(kin))
+        apart = carrier % len(KIN) == fold
+        train = np.flatnonzero(~strange & ~(apart & (carrier >= 0)))
+        test = np.flatnonzero(strange | (apart & (carrier >= 0)))
+        a, b = _fit(gram[np.ix_(train, train)], y[train], _weights(family[train], times[train]))
+        z = gram[np.ix_(test, train)] @ a + b
+        gone = [classes.index(f) for f in kin]
+        z[:, gone] = -1e9
+        held.append((z, np.where(strange[test], u, y[test].argmax(axis=1))))
+    z, true = np.vstack([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    known = true != u
+    share = np.where(known, 0.5 / known.sum(), 0.5 / (~known).sum())
 
     def loss(t: float) -> float:
-        s = z / t
-        s = s - s.max(axis=1, keepdims=True)
-        return float(-((s - np.log(np.exp(s).sum(axis=1, keepdims=True))) * y[odd]).sum())
+        return float(-(share * np.log(_softmax(z / t)[np.arange(len(z)), true] + 1e-12)).sum())
 
-    temperature = min(np.geomspace(0.3, 5, 40), key=loss)
-    w, b = fit(x, y, weight)
-    return classes, terms, w, b, float(temperature)
+    temperature = float(min(np.geomspace(0.1, 5, 60), key=loss))
+    p = _softmax(z / temperature)
+    best, top = p.argmax(axis=1), p.max(axis=1)
+
+    def worth(least: float) -> float:
+        named = (best != u) & (top >= least)
+        return float((named & (best == true))[known].mean() + (~named)[~known].mean())
+
+    least = float(max(np.linspace(0.2, 0.95, 76), key=worth))
+    a, b = _fit(gram, y, _weights(family, times))
+    return classes, terms, (x.T @ a).astype(np.float64), b.astype(np.float64), temperature, least
 
 
 def _leads() -> tuple[list[str], np.ndarray, float]:
     """Terms, the lead of each over unknown for the family that it helps most, and the lead that a family needs."""
-    classes, terms, weights, bias, _ = model()
+    classes, terms, weights, bias, _, _ = model()
     u = classes.index(UNKNOWN)
     others = [k for k in range(len(classes)) if k != u]
     w = weights.round(6)
     return terms, (w[:, others] - w[:, [u]]).max(axis=1), float(bias[u] - bias[others].max())
 
 
-def _has_help(words: Column) -> Column:
-    """Whether a word is in a term that helps a family; without one, the bias of unknown decides."""
-    terms, lead, need = _leads()
-    helps = sorted({x for t, v in zip(terms, lead) if v > 0 for x in t.split()})
-    return F.exists(words, lambda x: x.isin(helps)) if need > 0 else F.size(words) > 0
+@cache
+def _key_words() -> list[str] | None:
+    """Words of which a paragraph of any family has one at least; None if there is no such list.
+
+    All words of terms that help a family, but for words of ``COMMON`` that can't make a family alone: for
+    each family, the sum of the m largest leads among terms of such words stays below what m distinct terms
+    need, for every m.
+    """
+    classes, terms, weights, bias, _, _ = model()
+    u = classes.index(UNKNOWN)
+    lead = weights.round(6) - weights.round(6)[:, [u]]
+    need = bias[u] - bias
+    others = [k for k in range(len(classes)) if k != u]
+    if need[others].min() <= 0:  # then a paragraph without a known term can have a family
+        return None
+
+    def harmless(free: set[str]) -> bool:
+        some = [k for k, t in enumerate(terms) if all(x in free for x in t.split())]
+        best = np.sort(np.maximum(lead[np.ix_(some, others)], 0), axis=0)[::-1]
+        return bool((best.cumsum(axis=0) < 0.98 * need[others] * np.sqrt(np.arange(1, len(some) + 1))[:, None]).all())
+
+    free: set[str] = set()
+    for word in COMMON:
+        if harmless(free | {word}):
+            free.add(word)
+    helps = {x for k, t in enumerate(terms) if lead[k, others].max() > 0 for x in t.split()}
+    return sorted(helps - free)
+
+
+def _has_key(words: Column) -> Column:
+    """Whether the words can be of a family at all; passes all paragraphs that are."""
+    keys = _key_words()
+    return F.size(words) > 0 if keys is None else F.exists(words, lambda x: x.isin(keys))
 
 
 def _could_be(found: Column) -> Column:
@@ -222,13 +319,13 @@ def _terms_of(words: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(id, paragraph, lines, family, probability, similarity, confirmed): a row for each licence paragraph."""
     spark = docs.sparkSession
-    classes, terms, weights, bias, temperature = model()
+    classes, terms, weights, bias, temperature, least = model()
     table = spark.createDataFrame([(t, [float(v) for v in w]) for t, w in zip(terms, weights.round(6))], "term string, w array<double>")
     low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("t"))
     par = low.select("id", F.explode(_paragraphs(F.col("t"))).alias("x")).select("id", F.col("x.n").alias("paragraph"), F.col("x.lines").alias("lines"), F.col("x.p").alias("p"))
     # An array of one, exploded: computed once, where a projection would be computed anew in each filter.
     words = F.regexp_extract_all("p", F.lit(_TOKEN), F.lit(0))
-    par = par.select("id", "paragraph", "lines", F.explode(F.array(words)).alias("words")).filter(_has_help(F.col("words")))
+    par = par.select("id", "paragraph", "lines", F.explode(F.array(words)).alias("words")).filter(_has_key(F.col("words")))
     par = par.select("id", "paragraph", "lines", "words", F.explode(F.array(_terms_of(F.col("words")))).alias("found")).filter(_could_be(F.col("found")))
     par = par.select("id", "paragraph", "lines", F.array_join("words", " ").alias("norm"), "found").distinct()
     described = par.select("id", "paragraph", "lines", F.size("found").alias("n"), "norm", F.explode("found").alias("term"))
@@ -240,7 +337,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     share = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - top))
     names = F.array(*(F.lit(c) for c in classes))
     best = scored.select("id", "paragraph", "lines", "norm", F.get(names, F.array_position("z", top).cast("int") - 1).alias("family"), share.alias("probability"))
-    best = best.filter(F.col("family") != UNKNOWN)
+    best = best.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     found = _containment(F.col("family"), F.col("norm"))
     rows = best.select("id", "paragraph", "lines", "family", F.round("probability", 6).alias("probability"), F.round(found, 6).alias("similarity"), (found >= similarity).alias("confirmed"))
     rows = cut(rows)  # read twice below
@@ -252,14 +349,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
 
 def _containment(family: Column, norm: Column) -> Column:
     """Largest share, over the family's templates, of a template's shingles that the paragraph has."""
-    inside = F.concat(F.lit(" "), norm, F.lit(" "))
-    out = F.lit(0.0)
+    named = []
     for name, texts in templates().items():
-        shares = []
         for t in texts:
             w = t.split()
-            shingles = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
-            hits = sum((F.contains(inside, F.lit(f" {s} ")).cast("int") for s in shingles[1:]), F.contains(inside, F.lit(f" {shingles[0]} ")).cast("int"))
-            shares.append(hits / F.lit(float(len(shingles))))
-        out = F.when(family == name, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(out)
-    return out
+            named.append({"f": name, "s": [f" {' '.join(w[i : i + 5])} " for i in range(max(1, len(w) - 4))]})
+    # One constant, so that the expression stays small however many templates there are.
+    every = F.from_json(F.lit(json.dumps(named)), "array<struct<f string, s array<string>>>")
+    inside = F.concat(F.lit(" "), norm, F.lit(" "))
+    share = F.transform(F.filter(every, lambda x: x["f"] == family), lambda x: F.size(F.filter(x["s"], lambda v: F.contains(inside, v))) / F.size(x["s"]))
+    return F.coalesce(F.array_max(share), F.lit(0.0))
