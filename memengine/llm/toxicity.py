@@ -1,17 +1,20 @@
 """Operator 7: toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
-Lexicon. To a short list of insults come terms learned from labelled rows of the training split: whole words and word stems (prefixes
-of 4 to 7 letters) that mark label 1 by a G-test, one per group of near copies (rows whose rarest word
-hash agrees count once). At most ``max_terms`` are kept.
+Lexicon. To a short list of insults (a parameter) come terms learned from labelled rows of the training split:
+whole words and word stems (prefixes of 4 to 7 letters) that mark label 1 by a G-test, the strongest first, one
+per group of near copies (rows whose rarest word hash agrees count once).
 
-Matching. The Levenshtein automata of all terms (one edit from 5 letters on, two from 9) run against the
-trie of the terms and are determinised into one table, so that a pass over the bytes' characters follows
-all words of a slice at once. A word that the training rows labelled 0 also use is no misspelling.
+Matching. The Levenshtein automata of all terms (words: one edit from 5 letters on, two from 9; stems: one edit
+from 6 letters on, whatever follows) run against the trie of the terms and are determinised into one table, so
+that a pass over the bytes' characters follows all words of a slice at once. A lexicon whose table would pass
+``max_states`` is parted over several tables. A word that training rows labelled 0 also use is no misspelling.
 
 Scoring. Each hit is scored by a window of 8 words: quotation marks around it and verbs of reporting
 before it speak for quotation, second-person words for abuse. Per document the sums of exact, misspelled
 and quoted hits, their density and the best window feed a logistic regression, fitted on at most
-``per_class`` rows of each label.
+``per_class`` rows of each label. Rows labelled 1 count once more with their exact hits taken as misspelled,
+and rows are measured with the plain words of the other half of the sample, so that the fit sees misspellings
+as unseen texts have them.
 
 Defined results: null and empty texts, and all texts if no label was learned, get the score of a text
 without hits; repeated rows get a row each; an empty table gives no rows; extra columns are not read.
@@ -19,7 +22,6 @@ without hits; repeated rows get a row each; an empty table gives no rows; extra
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import SLICE_BYTES, bounded_sample, byte_words, code_points, range_hashes, slices, split_of, string_array, text_batches
+from memengine.llm._common import SLICE_BYTES, Words, bounded_sample, byte_words, code_points, range_hashes, slices, split_of, string_array, text_batches
 
 # Verbs that introduce a quotation, and words that address a reader.
 REPORTING = ("said says wrote writes called quoted quote quoting replied shouted reads dijo dice escribió cita sagte sagt schrieb zitat dit écrit citation a-dit").split()
@@ -39,55 +41,58 @@ SEED_TERMS = "idiot moron stupid loser scum trash worthless pathetic disgusting
 
 
 def edits_for(term: str) -> int:
+    """Edits that a whole word may have."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def stem_edits_for(stem: str) -> int:
+    """Edits that the beginning of a word may have against a stem."""
+    return 0 if len(stem) < 6 else 1
+
+
+class TooLarge(Exception):
+    """The table of a lexicon has more states than it may."""
+
+
+def automata(words: list[str], stems: list[str], max_states: int = 60_000) -> list[Automaton]:
+    """One automaton for the whole lexicon, or several for parts of it that fit."""
+    try:
+        return [Automaton(words, stems, max_states)] if words or stems else []
+    except TooLarge:
+        if len(words) + len(stems) < 2:  # one very long term
+            return [Automaton(words, stems, 1 << 30)]
+        w, s = (len(words) // 2, len(stems) // 2) if min(len(words), len(stems)) > 1 else (len(words), 0) if words and stems else (len(words) // 2, len(stems) // 2)
+        parts = [(words[:w], stems[:s]), (words[w:], stems[s:])]
+        return [a for part in parts for a in automata(*part, max_states)]
+
+
 class Automaton:
     """One deterministic table for the trie of all terms and their Levenshtein automata.
 
-    A state is the set of (trie node, edits left) reachable; letters outside the lexicon share a column.
-    ``accept`` gives for each state the best value: 0 none, 1 misspelled, 2 exact. Stems accept at once and
-    stay accepted; whole words only at their end.
+    A state is the set of (trie node, edits so far) reachable, and whether a misspelled stem was met; letters
+    outside the lexicon share a column. ``value`` gives for each state 0 none, 1 misspelled, 2 exact. Stems that
+    match exactly accept for good; whole words only at their end.
     """
 
     def __init__(self, words: list[str], stems: list[str], max_states: int = 60_000) -> None:
         children: list[dict[str, int]] = [{}]
-        depth, final = [0], [(0, 0)]  # per node: (word's edits + 1, stem + 1)
-        for term, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
-            at = 0
-            for c in term:
-                if c not in children[at]:
-                    children[at][c] = len(children)
-                    children.append({})
-                    depth.append(depth[at] + 1)
-                    final.append((0, 0))
-                at = children[at][c]
-            w, s = final[at]
-            final[at] = (w, 1) if stem else (1, s)
-        # Most edits that any word below a node allows; stems match exactly.
-        allow = [-1] * len(children)
-        exact = [False] * len(children)
-
-        def fill(node: int, text: str) -> None:
-            w, s = final[node]
-            if w:
-                allow[node] = max(allow[node], edits_for(text))
-            exact[node] = bool(s)
-            for c, kid in children[node].items():
-                fill(kid, text + c)
-                allow[node] = max(allow[node], allow[kid])
-                exact[node] |= exact[kid]
-
-        fill(0, "")
+        word: dict[int, int] = {}  # node -> edits that a word which ends here may have
+        stem: dict[int, int] = {}
+        for terms, ends, edits in ((words, word, edits_for), (stems, stem, stem_edits_for)):
+            for term in terms:
+                at = 0
+                for c in term:
+                    if c not in children[at]:
+                        children[at][c] = len(children)
+                        children.append({})
+                    at = children[at][c]
+                ends[at] = edits(term)
+        # Most edits that any term at or below a node allows. A child has a larger number than its parent.
+        allow = [max(word.get(n, -1), stem.get(n, -1)) for n in range(len(children))]
+        for n in range(len(children) - 1, -1, -1):
+            allow[n] = max([allow[n], *(allow[kid] for kid in children[n].values())])
         self.alphabet = sorted({c for kids in children for c in kids})
         col = {c: i + 1 for i, c in enumerate(self.alphabet)}
-        term_edits = {}
-        stack = [(0, "")]
-        while stack:
-            node, text = stack.pop()
-            if final[node][0]:
-                term_edits[node] = edits_for(text)
-            stack += [(kid, text + c) for c, kid in children[node].items()]
 
         def closure(items: dict[int, int]) -> dict[int, int]:
             # Deletions: a term's letter that the word lacks.
@@ -100,44 +105,43 @@ class Automaton:
                         todo.append((kid, e + 1))
             return items
 
+        dead, exact, near = 0, 2, 3  # rows for nothing, an exact stem, a misspelled stem and nothing else
+        width = len(col) + 1
+        rows: list[list[int]] = [[dead] * width, [dead] * width, [exact] * width, [near] * width]
+        values = [0, 0, 2, 1]
         start = closure({0: 0})
-        index = {frozenset(start.items()): 1}
-        table, accept, queue = [[0] * (len(col) + 1)], [0], [start]
-        stuck = 2  # accepted stem
-        rows: list[list[int]] = [[0] * (len(col) + 1), [0] * (len(col) + 1), [2] * (len(col) + 1)]
-        values = [0, 0, 2]
+        index, queue = {(frozenset(start.items()), False): 1}, [(start, False)]
         while queue:
-            state = queue.pop()
-            me = index[frozenset(state.items())]
-            values[me] = max([2 if e == 0 else 1 for n, e in state.items() if n in term_edits and e <= term_edits[n]], default=0)
-            for k in range(len(col) + 1):
+            items, met = queue.pop()
+            me = index[frozenset(items.items()), met]
+            values[me] = max([int(met), *(2 if e == 0 else 1 for n, e in items.items() if e <= word.get(n, -1))])
+            for k in range(width):
                 letter = self.alphabet[k - 1] if k else None
                 nxt: dict[int, int] = {}
-                accepted = False
-                for node, e in state.items():
+                for node, e in items.items():
                     for c, kid in children[node].items():
                         cost = e + (c != letter)
-                        if cost <= allow[kid] or (cost == 0 and exact[kid]):
+                        if cost <= allow[kid]:
                             nxt[kid] = min(nxt.get(kid, 99), cost)
-                            accepted |= cost == 0 and bool(final[kid][1])
                     if e + 1 <= allow[node]:  # a letter too many
                         nxt[node] = min(nxt.get(node, 99), e + 1)
-                if accepted:
-                    rows[me][k] = stuck
-                    continue
                 nxt = closure(nxt)
+                if any(e == 0 and n in stem for n, e in nxt.items()):
+                    rows[me][k] = exact
+                    continue
+                seen = met or any(e <= stem.get(n, -1) for n, e in nxt.items())
                 if not nxt:
+                    rows[me][k] = near if seen else dead
                     continue
-                name = frozenset(nxt.items())
+                name = (frozenset(nxt.items()), seen)
                 if name not in index:
                     if len(rows) >= max_states:
-                        raise ValueError("the lexicon's automaton is too large")
+                        raise TooLarge(len(words) + len(stems))
                     index[name] = len(rows)
-                    rows.append([0] * (len(col) + 1))
+                    rows.append([dead] * width)
                     values.append(0)
-                    queue.append(nxt)
+                    queue.append((nxt, seen))
                 rows[me][k] = index[name]
-        del table, accept
         self.next = np.array(rows, np.int32)
         self.value = np.array(values, np.int8)
         top = max([0x250, *(ord(c) + 1 for c in self.alphabet)])
@@ -161,15 +165,17 @@ class Automaton:
         return out
 
 
-def _chars(data: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of the characters of UTF-8 bytes, and the index of the character that each byte starts."""
-    code, first = code_points(data)
-    lead = np.zeros(data.size, bool)
+def word_values(lexicon: list[Automaton], w: Words) -> np.ndarray:
+    """Value of each word of a slice: the best over all tables."""
+    out = np.zeros(w.starts.size, np.int8)
+    code, first = code_points(w.data)
+    lead = np.zeros(w.data.size, bool)
     lead[first] = True
-    number = np.empty(data.size + 1, np.int64)
-    np.cumsum(lead, out=number[1:])
-    number[0] = 0
-    return column[np.minimum(code, column.size - 1)], number
+    number = np.concatenate(([0], np.cumsum(lead)))  # the character that each byte starts
+    starts, ends = number[w.starts], number[w.ends]
+    for auto in lexicon:
+        out = np.maximum(out, auto.run(auto.column[np.minimum(code, auto.column.size - 1)], starts, ends))
+    return out
 
 
 def _quote_depth(data: np.ndarray) -> np.ndarray:
@@ -184,10 +190,10 @@ def _quote_depth(data: np.ndarray) -> np.ndarray:
     return q
 
 
-def extractor(auto: Automaton | None, plain: frozenset[int], window: int = 8):
+def extractor(lexicon: list[Automaton], plain: frozenset[int], window: int = 8, blur: bool = False):
     """Function of a string array to a (rows, FEATURES) matrix.
 
-    ``plain``: hashes of words that look like misspellings and are none.
+    ``plain``: hashes of words that look like misspellings and are none; ``blur``: take exact hits as misspelled.
     """
     reporting = np.sort(np.unique(_hash_words(REPORTING)))
     second = np.sort(np.unique(_hash_words(SECOND_PERSON)))
@@ -202,10 +208,9 @@ def extractor(auto: Automaton | None, plain: frozenset[int], window: int = 8):
         out = np.zeros((len(texts), FEATURES))
         for a, b in slices(texts, SLICE_BYTES):
             w = byte_words(pc.utf8_lower(texts.slice(a, b - a)))
-            if not w.starts.size or auto is None:
+            if not w.starts.size or not lexicon:
                 continue
-            columns, number = _chars(w.data, auto.column)
-            value = auto.run(columns, number[w.starts], number[w.ends])
+            value = word_values(lexicon, w)
             hits = np.flatnonzero(value)
             if not hits.size:
                 continue
@@ -231,7 +236,7 @@ def extractor(auto: Automaton | None, plain: frozenset[int], window: int = 8):
             you = np.concatenate(([0], np.cumsum(you)))
             quoted = ((open_before > 0) & (close_after > 0)) * 0.6 + (said[hits] - said[lo] > 0) * 0.3
             abuse = np.clip(1 - quoted + 0.2 * (you[hi + 1] - you[lo] > 0), 0.1, 1.2)
-            exact = value[hits] == 2
+            exact = (value[hits] == 2) & (not blur)
             n = np.maximum(w.first[1:] - w.first[:-1], 1)[: b - a]
             sums = [np.bincount(row, x, b - a) for x in (abuse * exact, abuse * ~exact, quoted, exact * 1.0)]
             best = np.zeros(b - a)
@@ -284,9 +289,9 @@ def _g(k: float, n: float, p: float) -> float:
 
 
 def learn_lexicon(train: DataFrame, label_col: str, max_terms: int, min_g: float) -> tuple[list[str], list[str]]:
-    """(words, stems) that mark label 1; counting is distributed, the result is bounded."""
+    """(words, stems) that mark label 1, the strongest first; counting is distributed, the result is bounded."""
     low = F.lower("__t")
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]{4,24})"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]{3,})"), F.lit(1)))
     base = train.select(F.col(label_col).cast("int").alias("y"), words.alias("w"))
     # Near copies mostly share their least word hash; one of them counts.
     base = base.filter(F.size("w") > 0).withColumn("k", F.array_min(F.transform("w", lambda x: F.xxhash64(x))))
@@ -305,19 +310,22 @@ def learn_lexicon(train: DataFrame, label_col: str, max_terms: int, min_g: float
     counts = terms.groupBy("t.n", "t.term").agg(
         F.count_if(F.col("y") == 1).alias("k"), F.count(F.lit(1)).alias("all"), F.min("word").alias("lo"), F.max("word").alias("hi")
     )
-    # Words of label-1 rows by precision; a stem must stand for more than one word.
+    # Words of label-1 rows by their G statistic against the base rate; a stem must stand for more than one word.
     good = counts.filter((F.col("k") >= 4) & (F.col("k") >= 0.8 * F.col("all")) & ((F.col("n") == 0) | (F.col("lo") != F.col("hi"))))
-    top = good.orderBy(F.desc("k"), "term", "n").limit(20 * max_terms).collect()
-    scored = sorted(((_g(r["k"], r["all"], p), r["n"], r["term"], r["k"]) for r in top), key=lambda x: (-x[0], x[1], x[2]))
+    k, n = F.col("k").cast("double"), F.col("all").cast("double")
+    rest = F.when(k < n, (n - k) * F.log((1 - k / n) / (1 - p))).otherwise(F.lit(0.0))
+    good = good.withColumn("g", F.round(2 * (k * F.log(k / n / p) + rest), 6)).filter(F.col("g") >= min_g)
     words_, stems = [], []
-    for g, n, term, k in scored:
-        if g < min_g or len(words_) + len(stems) >= max_terms:
+    # Of several terms that stand for the same words the strongest is used, so some more are looked at.
+    for r in good.orderBy(F.desc("g"), "n", "term").limit(20 * max_terms).collect():
+        n, term = r["n"], r["term"]
+        if len(words_) + len(stems) >= max_terms:
             break
         if any(term.startswith(s) for s in stems):
             continue
         if n == 0:
             words_.append(term)
-        elif not any(w.startswith(term) and w in words_ for w in words_):
+        elif not any(w.startswith(term) for w in words_):
             stems.append(term)
     return words_, stems
 
@@ -339,93 +347,111 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60
     return w
 
 
+class Model:
+    """Lexicon, plain words and weights; ``score`` maps a string array to numbers from 0 to 1."""
+
+    def __init__(self, lexicon: list[Automaton], plain: frozenset[int], w: np.ndarray) -> None:
+        self.lexicon, self.plain, self.w = lexicon, plain, w
+
+    def scorer(self):
+        extract = extractor(self.lexicon, self.plain)
+
+        def score(texts: pa.Array) -> np.ndarray:
+            return 1 / (1 + np.exp(-np.clip(extract(texts) @ self.w[:-1] + self.w[-1], -30, 30)))
+
+        return score
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_terms: int, min_g: float = 20.0
-) -> tuple[Automaton | None, frozenset[int], np.ndarray]:
-    """Lexicon automaton, plain look-alikes, weights; ``labels`` holds training rows only."""
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    per_class: int = 4000,
+    max_terms: int = 400,
+    min_g: float = 20.0,
+    seeds: tuple[str, ...] = tuple(SEED_TERMS),
+) -> Model:
+    """``labels`` holds training rows only."""
     text_batches(docs.sparkSession)
-    known = labels.filter(f"{label_col} in (0, 1)").groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     picked = bounded_sample(known, id_col, label_col, per_class)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t"))
     # The sample is bounded by per_class, so its ids go to the texts, not the other way round.
-    rows = rows.join(F.broadcast(picked), id_col).select("__t", label_col).filter("__t is not null").persist()
+    rows = rows.join(F.broadcast(picked), id_col).filter("__t is not null")
+    rows = rows.select("__t", F.col(label_col).cast("int").alias("y"), F.pmod(F.xxhash64("__t"), F.lit(2)).cast("int").alias("half")).persist()
     try:
-        words, stems = learn_lexicon(rows, label_col, max_terms, min_g)
-        if not rows.filter(F.col(label_col) == 1).take(1) or not rows.filter(F.col(label_col) == 0).take(1):
+        both = {r[0] for r in rows.select("y").distinct().collect()}
+        if both != {0, 1}:
             none = np.zeros(FEATURES + 1)
             none[-1] = -8.0
-            return None, frozenset(), none
-        words += [t for t in SEED_TERMS if t not in words and not any(t.startswith(s) for s in stems)]
-        auto = Automaton(words, stems)
+            return Model([], frozenset(), none)
+        words, stems = learn_lexicon(rows, "y", max_terms, min_g)
+        words += [t for t in seeds if t not in words and not any(t.startswith(s) for s in stems)]
+        lexicon = automata(words, stems)
 
         def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = string_array(batch.column(0))
-                for a, b in slices(texts):
-                    w = byte_words(pc.utf8_lower(texts.slice(a, b - a)))
-                    if not w.starts.size:
-                        continue
-                    columns, number = _chars(w.data, auto.column)
-                    hit = np.flatnonzero(auto.run(columns, number[w.starts], number[w.ends]) == 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(range_hashes_of(w, hit)).view(np.int64))], names=["h"])
-
-        plain = rows.filter(f"{label_col} = 0").select("__t").mapInArrow(lookalikes, "h long").groupBy("h").count()
-        plain_set = frozenset(int(np.int64(r["h"]).view(np.uint64)) for r in plain.orderBy(F.desc("count"), "h").limit(50_000).collect())
-        extract = extractor(auto, plain_set)
+                for half in (0, 1):
+                    texts = string_array(batch.column(0).filter(pc.equal(batch.column(1), half)))
+                    for a, b in slices(texts):
+                        w = byte_words(pc.utf8_lower(texts.slice(a, b - a)))
+                        if w.starts.size:
+                            h = np.unique(range_hashes_of(w, np.flatnonzero(word_values(lexicon, w) == 1))).view(np.int64)
+                            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(h.size, half, np.int32))], names=["h", "half"])
+
+        # Words of the bounded sample that look like a term.
+        plain = rows.filter("y = 0").select("__t", "half").mapInArrow(lookalikes, "h long, half int").distinct().collect()
+        halves = [frozenset(int(np.int64(r["h"]).view(np.uint64)) for r in plain if r["half"] == k) for k in (0, 1)]
+        measures = [[extractor(lexicon, halves[1 - k], blur=blur) for blur in (False, True)] for k in (0, 1)]
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = extract(string_array(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
-
-        seen = rows.mapInArrow(measure, "y int, x array<double>").toArrow()
+                for half in (0, 1):
+                    part = batch.filter(pc.equal(batch.column(2), half))
+                    texts, y = string_array(part.column(0)), part.column(1)
+                    yield pa.RecordBatch.from_arrays([y, pa.array(list(measures[half][0](texts)), pa.list_(pa.float64()))], names=["y", "x"])
+                    bad = part.filter(pc.equal(y, 1))
+                    x = measures[half][1](string_array(bad.column(0)))
+                    x = x[x.any(axis=1)]  # a row without a hit has nothing to misspell
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+
+        seen = rows.select("__t", "y", "half").mapInArrow(measure, "y int, x array<double>").toArrow()
         y = seen.column("y").to_numpy().astype(float)
         x = np.array(seen.column("x").to_pylist())
-        w = fit_logistic(x, y)
-        # Misspelled hits are rare in any sample: they weigh half of what an exact hit does at least.
-        w[1], w[4], w[7] = max(w[1], 0.5 * w[0]), max(w[4], 0.5 * w[3]), max(w[7], 0.5 * w[6])
-        w[2] = min(w[2], 0.0)
-        return auto, plain_set, w
+        order = np.lexsort((*x.T[::-1], y))  # rows come in the order of tasks
+        return Model(lexicon, halves[0] | halves[1], fit_logistic(x[order], y[order]))
     finally:
         rows.unpersist()
 
 
 def score_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    per_class: int = 4000,
-    max_terms: int = 120,
-    threshold: float = 0.7,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, **options
 ) -> DataFrame:
-    """(id, score, predicted) for each row; ``labels`` (id, label) are the rows to learn from."""
+    """(id, score, predicted) for each row; ``labels`` (id, label) are the rows to learn from, ``options`` those of train."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    auto, plain, w = train(docs, labels, id_col, text_col, label_col, per_class, max_terms)
-    extract = extractor(auto, plain)
+    model = train(docs, labels, id_col, text_col, label_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
         for batch in batches:
-            x = extract(string_array(batch.column(1)))
-            score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"]
-            )
+            p = score(string_array(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("__t")).mapInArrow(run, f"{id_col} {id_type}, score double, predicted int")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("__t")).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
 
 
-def filter_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
+def filter_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, **options
+) -> DataFrame:
     """docs without the rows that score ``threshold`` or more; all columns stay, nothing is shuffled."""
-    label_col = options.pop("label_col", "toxic")
-    auto, plain, w = train(docs, labels, id_col, text_col, label_col, options.pop("per_class", 4000), options.pop("max_terms", 120))
-    extract = extractor(auto, plain)
+    model = train(docs, labels, id_col, text_col, label_col, **options)
 
     def reject(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = model.scorer()
         for texts in batches:
-            x = extract(string_array(texts))
-            yield pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+            yield pa.array(score(string_array(texts)))
 
     score = F.arrow_udf(reject, "double")
     return docs.filter(score(F.col(text_col).cast("string")) < threshold)

@@ -1,5 +1,6 @@
 """Toxicity, quality, language ID, licence scans."""
 
+import math
 import random
 import unicodedata
 
@@ -9,6 +10,7 @@ import pytest
 from llm_data import EDGES, make_docs, prose
 
 from memengine.llm import langid, licenses, quality, toxicity
+from memengine.llm._common import byte_words
 
 
 def edit_distance(a, b):
@@ -21,7 +23,7 @@ def edit_distance(a, b):
 
 
 def test_automaton_equals_edit_distance(rng):
-    terms, stems = ["idiot", "moron", "clown", "scum", "worthless", "disgusting"], ["lowe", "vequ"]
+    terms, stems = ["idiot", "moron", "clown", "scum", "worthless", "disgusting"], ["lowe", "vequ", "grobna"]
     auto = toxicity.Automaton(terms, stems)
     words = set(terms) | {"lowetum", "lowe", "vequé", "low", "x"}
     letters = "abdiotmrnsluwhegé1"
@@ -39,11 +41,66 @@ def test_automaton_equals_edit_distance(rng):
                     w.insert(p, rng.choice(letters))
             words.add("".join(w))
     for w in sorted(words):
-        data = np.frombuffer(w.encode(), np.uint8)
-        columns, number = toxicity._chars(data, auto.column)
-        got = auto.run(columns, number[[0]], number[[data.size]])[0]
-        want = 2 if w in terms or any(w.startswith(s) for s in stems) else int(any(edit_distance(w, t) <= toxicity.edits_for(t) for t in terms))
-        assert got == want, w
+        got = toxicity.word_values([auto], byte_words(pa.array([w])))[0]
+        assert got == value_by_hand(w, terms, stems), w
+    # A lexicon that is too large for one table is parted.
+    parts = toxicity.automata(terms, stems, max_states=40)
+    assert len(parts) > 2
+    for w in sorted(words):
+        assert toxicity.word_values(parts, byte_words(pa.array([w])))[0] == value_by_hand(w, terms, stems), w
+
+
+def value_by_hand(w, terms, stems):
+    if w in terms or any(w.startswith(s) for s in stems):
+        return 2
+    near = any(edit_distance(w, t) <= toxicity.edits_for(t) for t in terms)
+    return int(near or any(edit_distance(w[:k], s) <= toxicity.stem_edits_for(s) for s in stems for k in range(1, len(w) + 1)))
+
+
+def score_by_hand(text, terms, stems, plain, weights, window=8):
+    """Toxicity score of one text by plain Python."""
+    low = text.lower()
+    # Words: runs of letters, digits and other characters beyond ASCII that are no punctuation.
+    inside = [c.isascii() and c.isalnum() or ord(c) >= 0xC0 and not 0x2000 <= ord(c) < 0x2100 for c in low]
+    words, at = [], 0
+    while at < len(low):
+        if inside[at]:
+            end = at
+            while end < len(low) and inside[end]:
+                end += 1
+            words.append((at, end, low[at:end]))
+            at = end
+        at += 1
+    said = {w for w in toxicity.REPORTING}
+    sums, best = [0.0] * 3, 0.0
+    for i, (a, b, w) in enumerate(words):
+        v = value_by_hand(w, terms, stems)
+        if not v or v == 1 and w in plain:
+            continue
+        lo, hi = max(0, i - window), min(len(words) - 1, i + window)
+        mark = lambda x: any(c in '"«»‘’‚‛“”„‟' for c in x)
+        quoted = 0.6 * (mark(low[words[lo][0] : a]) and mark(low[b : words[hi][1]])) + 0.3 * any(x in said for _, _, x in words[lo:i])
+        abuse = min(1.2, max(0.1, 1 - quoted + 0.2 * any(x in toxicity.SECOND_PERSON for _, _, x in words[lo : hi + 1])))
+        sums[0 if v == 2 else 1] += abuse
+        sums[2] += quoted
+        best = max(best, abuse if v == 2 else 0.5 * abuse)
+    n = max(1, len(words))
+    x = [math.log1p(sums[0]), math.log1p(sums[1]), math.log1p(sums[2]), sums[0] > 0, sums[1] > 0, best, math.log1p(100 * sums[0] / n), math.log1p(100 * sums[1] / n)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights)) - weights[-1]))
+
+
+def test_toxicity_scores_equal_plain_python(rng):
+    terms, stems = ["idiot", "worthless", "scum"], ["grobna"]
+    plain = ["idiom", "grobne"]
+    texts = [*(t for t in EDGES if t), 'He said: "you idiot"!', "«grobnek» dit-il à toi", "an idiom of idiots, worthles grobnex", "SCUM scums scum " * 9, "é" * 9 + " idiot’s “worthless” quote"]
+    for _ in range(60):
+        words = prose(rng, rng.randrange(1, 60)).split() + rng.choices([*terms, "idiott", "grobnak", "grobxak", "idiom", "said", "you", '"', "«x»"], k=rng.randrange(5))
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    w = np.array([rng.uniform(-2, 3) for _ in range(toxicity.FEATURES + 1)])
+    hashed = frozenset(int(x) for x in toxicity._hash_words(plain))
+    got = toxicity.Model(toxicity.automata(terms, stems), hashed, w).scorer()(pa.array(texts))
+    assert np.allclose(got, [score_by_hand(t, terms, stems, plain, w) for t in texts], atol=1e-12)
 
 
 def labelled(spark, rows):
@@ -81,8 +138,7 @@ def test_toxicity_learns_and_catches_misspellings(spark, rng):
 
 
 def test_quotation_weighs_less(rng):
-    auto = toxicity.Automaton(["idiot"], [])
-    x = toxicity.extractor(auto, frozenset())(pa.array(['she said: "idiot" in the film', "you are an idiot of the worst kind", "«idiot» dit le film"]))
+    x = toxicity.extractor(toxicity.automata(["idiot"], []), frozenset())(pa.array(['she said: "idiot" in the film', "you are an idiot of the worst kind", "«idiot» dit le film"]))
     assert x[0, 5] < x[1, 5] and x[2, 5] < x[1, 5] and x[0, 2] > 0 and x[1, 2] == 0
 
 
