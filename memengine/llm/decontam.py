@@ -10,21 +10,26 @@ its words lies within word edit distance ``floor(max_edit * n)`` of the item's n
 2. Item-sized windows around these places are embedded by the CGK random walk, which maps edit distance
    to Hamming distance: step j writes the word under the cursor and moves on if hash(j, word) has its top
    bit set. Each repeat has a walk and a sample of ``bits`` steps of its own; equal samples make a
-   candidate. The number of repeats is set by simulated edits on the items to reach ``recall``.
+   candidate. The number of repeats is set for each class of sizes by simulated edits on its own items to
+   reach ``recall``; where that needs more than ``MOST`` repeats an error tells so.
 3. Candidates are verified by exact edit distance against the best aligned stretch.
 
+An item of 512 words or more is searched by parts of 256 words at least: of a stretch within distance of the
+whole item, one part at least is within distance of its own stretch. The whole item is verified around it.
+
 The items are broadcast in slices of ``slice_mb`` at most; a larger benchmark takes several passes.
 
-Defined results: an item of 512 words or more is searched in parts of 256 words at least, and a leaked part
-leaks the item; items of fewer than ``min_words`` words name nothing and take no part; null and empty
-texts leak nothing; a pair of ids is reported once, with its least distance (ties: first place); an
-empty benchmark or table gives no rows.
+Defined results: items of fewer than ``min_words`` words (five, the least shingle) name nothing and take no
+part; nor do items without an id or text; null and empty texts leak nothing; a pair of ids is reported once,
+with its least distance (ties: first place); an empty benchmark or table gives no rows; extra columns are not
+read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,17 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
         return mix(h[:-1] * _K + h[1:])
 
 
+@dataclass(frozen=True, eq=False)
+class Part:
+    """What is searched: an item, or a part of a long one."""
+
+    ident: object
+    number: int  # of the item in its slice
+    at: int  # place of the part in the item
+    words: np.ndarray
+    whole: np.ndarray
+
+
 def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
     """(least distance between the item and any stretch of the text, end of the stretch); exact."""
     prev = np.zeros(text.size + 1, np.int64)
@@ -65,18 +81,24 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
     return int(prev[end]), end
 
 
+#: Most repeats of the search.
+MOST = 2048
+
+
 class Walks:
     """``repeats`` CGK walks over windows of one size, each with its sample of steps."""
 
     def __init__(self, n: int, repeats: int, bits: int, seed: int) -> None:
-        rng = np.random.Generator(np.random.PCG64([seed, n]))
         # The cursor is near 0.8 n after 1.6 n steps, so it hardly ever passes the end.
         self.n, self.steps = n, max(bits, int(1.6 * n))
-        self.salt = rng.integers(0, 1 << 63, (256, self.steps), dtype=np.uint64)[:repeats]
-        order = np.tile(np.arange(self.steps), (256, 1))
-        picks = np.random.Generator(np.random.PCG64([seed, n, 1])).permuted(order, axis=1)[:repeats, :bits]
+        salts, picks = [], []
+        for block in range(-(-repeats // 256)):  # the first repeats are the same, however many follow
+            salts.append(np.random.Generator(np.random.PCG64([seed, n, block])).integers(0, 1 << 63, (256, self.steps), dtype=np.uint64))
+            order = np.tile(np.arange(self.steps), (256, 1))
+            picks.append(np.random.Generator(np.random.PCG64([seed, n, block, 1])).permuted(order, axis=1)[:, :bits])
+        self.salt = np.vstack(salts)[:repeats]
         self.picked = np.zeros((repeats, self.steps), bool)
-        self.picked[np.arange(repeats)[:, None], picks] = True
+        self.picked[np.arange(repeats)[:, None], np.vstack(picks)[:repeats]] = True
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
         """(windows, repeats) keys of a (windows, n) matrix of word hashes."""
@@ -96,34 +118,48 @@ class Walks:
         return key
 
 
-def repeats_for(items: list[np.ndarray], max_edit: float, bits: int, recall: float, seed: int) -> int:
-    """Repeats (a power of two from 16 to 256) that reach the recall on items edited as much as allowed."""
+def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The item with random word edits, and random words behind it up to its size."""
+    other = item.copy()
+    for _ in range(edits):
+        kind, p = rng.integers(3), rng.integers(max(other.size, 1))
+        new = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+        if kind == 0 and other.size:
+            other[p] = new[0]
+        elif kind == 1 and other.size:
+            other = np.delete(other, p)
+        else:
+            other = np.insert(other, p, new)
+    return np.resize(np.concatenate((other, rng.integers(0, 1 << 63, item.size, dtype=np.uint64))), item.size)
+
+
+def repeats_for(items: list[np.ndarray], max_edit: float, bits: int, recall: float, seed: int, trials: int = 128) -> int:
+    """Repeats (a power of two, 16 or more) that reach the recall on items edited as much as allowed."""
     rng = np.random.Generator(np.random.PCG64(seed + 1))
-    hit: list[np.ndarray] = []
-    some = items[:: max(1, len(items) // 64)][:64]
-    for item in some * -(-64 // len(some)):
-        n = item.size
-        other = item.copy()
-        for _ in range(int(max_edit * n)):
-            kind, p = rng.integers(3), rng.integers(max(other.size, 1))
-            new = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
-            if kind == 0 and other.size:
-                other[p] = new[0]
-            elif kind == 1 and other.size:
-                other = np.delete(other, p)
-            else:
-                other = np.insert(other, p, new)
-        other = np.resize(np.concatenate((other, rng.integers(0, 1 << 63, n, dtype=np.uint64))), n)
-        k = Walks(n, 256, bits, seed).keys(np.stack((item, other)))
-        hit.append(k[0] == k[1])
-    repeats = 16
-    while repeats < 256 and np.mean([h[:repeats].any() for h in hit]) < recall:
+    some = items[:: max(1, len(items) // trials)][:trials]
+    pairs = [np.stack((x, _edited(x, int(max_edit * x.size), rng))) for x in some * -(-trials // len(some))]
+    repeats, found = 16, np.zeros(len(pairs), bool)
+    while True:
+        made: dict[int, Walks] = {}
+        for k in np.flatnonzero(~found).tolist():
+            n = pairs[k].shape[1]
+            walks = made.setdefault(n, Walks(n, repeats, bits, seed)) if n not in made else made[n]
+            key = walks.keys(pairs[k])
+            found[k] = bool((key[0] == key[1]).any())
+        if found.mean() >= recall:
+            return repeats
+        if repeats >= MOST:
+            raise ValueError(f"{repeats} repeats find {found.mean():.3f} of edited items of up to {max(p.shape[1] for p in pairs)} words, not {recall}")
         repeats *= 2
-    return repeats
 
 
-def _search(items: list[tuple[object, np.ndarray]], max_edit: float, bits: int, recall: float, seed: int):
-    repeats = repeats_for([h for _, h in items], max_edit, bits, recall, seed)
+def _search(parts: list[Part], max_edit: float, bits: int, recall: float, seed: int):
+    items = [(p.ident, p.words) for p in parts]
+    # Classes of sizes within a factor of two have repeats of their own.
+    by_class: dict[int, list[np.ndarray]] = defaultdict(list)
+    for _, h in items:
+        by_class[h.size.bit_length()].append(h)
+    repeats_of = {c: repeats_for(hs, max_edit, bits, recall, seed) for c, hs in by_class.items()}
     sets = [np.unique(pair_hashes(h)) for _, h in items]
     known, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(items)), [x.size for x in sets])[np.argsort(inverse, kind="stable")]
@@ -135,14 +171,12 @@ def _search(items: list[tuple[object, np.ndarray]], max_edit: float, bits: int,
     need = np.maximum(1, size - 1 - 2 * edits)
     classes = {}
     for n in np.unique(size).tolist():
-        walks = Walks(n, repeats, bits, seed)
+        walks = Walks(n, repeats_of[int(n).bit_length()], bits, seed)
         members = np.flatnonzero(size == n)
         keys = walks.keys(np.stack([items[k][1] for k in members]))
-        table: dict[int, list[int]] = defaultdict(list)
-        for k, row in zip(members.tolist(), keys.tolist()):
-            for key in set(row):
-                table[key].append(k)
-        classes[n] = (int(max_edit * n), walks, dict(table), np.sort(np.fromiter(table, np.uint64, len(table))))
+        flat, who = np.unique(np.stack((keys.ravel(), np.repeat(members, keys.shape[1]).astype(np.uint64)), axis=1), axis=0).T
+        names, first = np.unique(flat, return_index=True)
+        classes[n] = (int(max_edit * n), walks, names, np.append(first, flat.size), who.astype(np.int64))
     # Coarse bins of sizes: the widest window with the least need of a bin.
     bins: list[tuple[int, int]] = []
     for n in sorted(classes):
@@ -194,7 +228,7 @@ def _search(items: list[tuple[object, np.ndarray]], max_edit: float, bits: int,
             item, place = places_of(w, h)
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for n in np.unique(size[item]).tolist():
-                d, walks, table, names = classes[n]
+                d, walks, names, first, who = classes[n]
                 firsts = np.unique(place[size[item] == n])
                 # The stretch may start before its first shared pair, by what edits can hide.
                 grid = firsts[:, None] - np.arange(2 * d + 2)[None, :]
@@ -206,8 +240,8 @@ def _search(items: list[tuple[object, np.ndarray]], max_edit: float, bits: int,
                     keys = walks.keys(wide[s[:, None] + np.arange(n)[None, :]])
                     slot = np.minimum(np.searchsorted(names, keys), names.size - 1)
                     hit_w, hit_r = np.nonzero(names[slot] == keys)
-                    for i, key in zip(hit_w.tolist(), keys[hit_w, hit_r].tolist()):
-                        for k in table[key]:
+                    for i, t in zip(hit_w.tolist(), slot[hit_w, hit_r].tolist()):
+                        for k in who[first[t] : first[t + 1]].tolist():
                             near[int(w.row[s[i]]), k].append(int(s[i]))
                 for (row, k), at in near.items():
                     lo, hi = int(w.first[row]), int(w.first[row + 1])
@@ -221,16 +255,26 @@ def _search(items: list[tuple[object, np.ndarray]], max_edit: float, bits: int,
                     for g0, g1 in groups:
                         x0, x1 = max(lo, g0 - d), min(hi, g1 + n + d)
                         dist, end = edit_distance(items[k][1], h[x0:x1], d)
-                        found = (dist, x0 + end - lo)
-                        if dist <= d and found < best.get((row, k), (n + 1, 0)):
-                            best[row, k] = found
-            out += [(a + row, k, dist, max(0, end - items[k][1].size), items[k][1].size) for (row, k), (dist, end) in best.items()]
+                        part = parts[k]
+                        if dist <= d and part.whole is not part.words:
+                            # A part was found: the whole item around it.
+                            most = int(max_edit * part.whole.size)
+                            start = x0 + end - n - part.at
+                            x0, x1 = max(lo, start - 2 * most - d), min(hi, start + part.whole.size + 2 * most + d)
+                            dist, end = edit_distance(part.whole, h[x0:x1], most)
+                            dist = dist if dist <= most else 1 << 40
+                        elif dist > d:
+                            continue
+                        found = (dist, x0 + end - lo, part.whole.size)
+                        if dist < 1 << 40 and found < best.get((row, part.number), (1 << 40, 0, 0)):
+                            best[row, part.number] = found
+            out += [(a + row, number, dist, max(0, end - size), size) for (row, number), (dist, end, size) in best.items()]
         return out
 
     return find
 
 
-def _rows(find, items: list[tuple[object, np.ndarray]], id_col: str):
+def _rows(find, names: list[object], id_col: str):
     """mapInArrow form of ``find``: (id, item_id, edit_distance, first_word, item_words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +285,7 @@ def _rows(find, items: list[tuple[object, np.ndarray]], id_col: str):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows)),
-                        pa.array([items[k][0] for k in ks]),
+                        pa.array([names[k] for k in ks]),
                         pa.array(ds, pa.int32()),
                         pa.array(ss, pa.int64()),
                         pa.array(ns, pa.int32()),
@@ -252,23 +296,23 @@ def _rows(find, items: list[tuple[object, np.ndarray]], id_col: str):
     return run
 
 
-def _parts(h: np.ndarray) -> list[np.ndarray]:
-    """The words of an item, or of a long one its parts of 256 to 511 words."""
+def _parts(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(place, words) of an item: itself, or of a long one its parts of 256 to 511 words."""
     cuts = list(range(0, max(1, h.size - 255), 256)) if h.size >= 512 else [0]
-    return [h[a:b] for a, b in zip(cuts, [*cuts[1:], h.size])]
+    return [(a, h if len(cuts) == 1 else h[a:b]) for a, b in zip(cuts, [*cuts[1:], h.size])]
 
 
-def _passes(benchmark: DataFrame, min_words: int, slice_mb: int) -> Iterator[list[tuple[object, np.ndarray]]]:
-    """Items (id, word hashes) in slices of about ``slice_mb`` of text."""
+def _passes(benchmark: DataFrame, min_words: int, slice_mb: int) -> Iterator[tuple[list[Part], list[object]]]:
+    """Parts of items, and the ids of the items by number, in slices of about ``slice_mb`` of text."""
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-int(total) // (slice_mb << 20)))
     for k in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        hashes = word_hashes([r["text"] for r in part])
-        usable = [(r["item_id"], piece) for r, h in zip(part, hashes) if h.size >= min_words for piece in _parts(h)]
-        if usable:
-            yield usable
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
+        hashes = word_hashes([r["text"] for r in rows])
+        parts = [Part(r["item_id"], number, at, piece, h) for number, (r, h) in enumerate(zip(rows, hashes)) if h.size >= min_words for at, piece in _parts(h)]
+        if parts:
+            yield parts, [r["item_id"] for r in rows]
 
 
 def leaks(
@@ -281,7 +325,7 @@ def leaks(
     recall: float = 0.98,
     bits: int = 2,
     seed: int = 11,
-    slice_mb: int = 8,
+    slice_mb: int = 32,
 ) -> DataFrame:
     """(id, item_id, edit_distance, first_word, item_words): a row for each leaked item of each document."""
     text_batches(docs.sparkSession)
@@ -290,8 +334,8 @@ def leaks(
     schema = f"{id_col} {id_type}, item_id {item_type}, edit_distance int, first_word long, item_words int"
     narrow = docs.select(id_col, F.col(text_col).cast("string").alias("__t"))
     out = None
-    for usable in _passes(benchmark, min_words, slice_mb):
-        got = narrow.mapInArrow(_rows(_search(usable, max_edit, bits, recall, seed), usable, id_col), schema)
+    for parts, names in _passes(benchmark, min_words, slice_mb):
+        got = narrow.mapInArrow(_rows(_search(parts, max_edit, bits, recall, seed), names, id_col), schema)
         out = got if out is None else out.unionByName(got)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -309,7 +353,7 @@ def drop_leaking(
     recall: float = 0.98,
     bits: int = 2,
     seed: int = 11,
-    slice_mb: int = 8,
+    slice_mb: int = 32,
 ) -> DataFrame:
     """docs without those that leak an item: the same search as a filter, so that no text is shuffled."""
     text_batches(docs.sparkSession)
@@ -323,6 +367,6 @@ def drop_leaking(
 
         return F.arrow_udf(run, "boolean")
 
-    for usable in _passes(benchmark, min_words, slice_mb):
-        docs = docs.filter(clean(_search(usable, max_edit, bits, recall, seed))(F.col(text_col).cast("string")))
+    for parts, _ in _passes(benchmark, min_words, slice_mb):
+        docs = docs.filter(clean(_search(parts, max_edit, bits, recall, seed))(F.col(text_col).cast("string")))
     return docs

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from llm_data import EDGES, make_docs, prose
 
 from memengine.llm import chat, decontam, pieces, topk
@@ -63,6 +64,31 @@ def test_leaks_equal_brute_force(spark, rng):
     assert {(r.doc_id, r.item_id) for r in sliced.collect()} >= {x for x in got if got[x] == 0}
 
 
+def test_long_items_leak_as_a_whole(spark, rng):
+    words = prose(rng, 700, 5000).split()
+    near = edits(rng, words, 60)
+    texts = [" ".join(words[256:560]), " ".join(prose(rng, 90).split() + near + prose(rng, 50).split()), " ".join(words[:600]), prose(rng, 900), " ".join(words)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (None, " ".join(words)), (2, None)], "item_id long, text string")
+    docs = make_docs(spark, texts).withColumn("item_id", F.lit(5)).withColumn("edit_distance", F.lit(6))
+    got = {r.doc_id: r for r in decontam.leaks(docs, bench).collect()}
+    want = {k: d for k, t in enumerate(texts) if (d := plain_distance(words, t.split())) <= 140}
+    assert set(want) == {1, 2, 4} and {k: r.edit_distance for k, r in got.items()} == want
+    assert all(r.item_words == 700 for r in got.values())
+    assert {r.doc_id for r in decontam.drop_leaking(docs, bench).collect()} == {0, 3}
+
+
+@pytest.mark.parametrize("n", [5, 40, 120, 256, 500])
+def test_repeats_reach_the_recall_at_every_size(rng, n):
+    items = decontam.word_hashes([prose(rng, n, 3000) for _ in range(40)])
+    repeats = decontam.repeats_for(items, 0.2, 2, 0.98, 11)
+    gen = np.random.default_rng(3)
+    walks, found = decontam.Walks(n, repeats, 2, 11), []
+    for item in items * 3:
+        key = walks.keys(np.stack((item, decontam._edited(item, int(0.2 * n), gen))))
+        found.append(bool((key[0] == key[1]).any()))
+    assert np.mean(found) >= 0.93
+
+
 def test_embedding_keeps_near_and_parts_far(rng):
     a = decontam.word_hashes([prose(rng, 30) for _ in range(60)])
     walks = decontam.Walks(30, 64, 2, 3)
