@@ -258,10 +258,7 @@ _LETTERS: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Whether each code point is a letter; the last place stands for all beyond."""
+    """Whether each code point is a letter."""
     if not _LETTERS:
-        table = np.zeros(0x10001, bool)
-        table[:0x10000] = [chr(c).isalpha() for c in range(0x10000)]
-        table[-1] = False
-        _LETTERS.append(table)
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _LETTERS[0]

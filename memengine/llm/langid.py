@@ -6,7 +6,7 @@ counts, summed over all lengths.
 
 Model. Nystroem: at most ``landmarks`` training texts, spread over the languages, give the map
 z(x) = K(x, L) K(L, L)^(-1/2); one ridge regression for each language against the rest is solved on at
-most ``sample_rows`` training texts. As k is linear in the presence vector, K(x, L) A = P(x) (P(L)' A)
+most about ``sample_rows`` training texts, as many of each language. As k is linear in the presence vector, K(x, L) A = P(x) (P(L)' A)
 up to norms, so a batch is scored by one matrix product with a (dims, languages) matrix.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so are all texts if no
@@ -100,7 +100,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, landmarks:
     count = known.select("lang").distinct().count()
     if not count:
         return None
-    picked = bounded_sample(known, "id", "lang", max(8, min(500, sample_rows // count)))
+    picked = bounded_sample(known, "id", "lang", max(1, sample_rows // count))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,8 @@ prior of the unlabelled is estimated from the two samples alone: the least ratio
 of the unlabelled to the positive tail, with confidence terms (best-bin estimate). Then a linear model
 minimises the non-negative unbiased risk  pi R_p(+) + max(0, R_u(-) - pi R_p(-))  by Adam. Last, a
 logistic map from margins to the chance of label 1 is fitted on labelled training rows of both kinds.
-Samples are bounded: ``per_class`` rows of each label, ``unlabelled`` rows without one.
+Samples are bounded: about ``per_class`` rows of each label, and ``unlabelled`` rows without one, picked by a
+hash of the id from all of them; the unlabelled sample serves the fit alone (its prior and its risk).
 
 Defined results: null and empty texts get the score of a text without characters; without positives or
 unlabelled rows all scores are the share of label 1 among training labels (0.5 if there are none);
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.llm._common import bounded_sample, buffers, byte_words, range_hashes, slices, split_of, string_array, text_batches
+from memengine.llm._common import bounded_sample, buffers, byte_words, cut, range_hashes, slices, split_of, string_array, text_batches
 from memengine.llm.toxicity import fit_logistic
 
 # Kinds of bytes: lower, upper, digit, space, line break, comma or stop, ! or ?, quotes and brackets, pipe,
@@ -225,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     text_batches(docs.sparkSession)
     known = labels.filter(f"{label_col} in (0, 1)").groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     marked = docs.select(id_col).join(known, id_col, "left").select(id_col, F.coalesce("y", F.lit(-1)).alias("y")).groupBy(id_col).agg(F.max("y").alias("y"))
+    marked = cut(marked)  # ids and labels, read several times below
     # Unlabelled rows are plenty; thin them by their own bound.
     picked = bounded_sample(marked.filter("y >= 0"), id_col, "y", per_class).unionByName(bounded_sample(marked.filter("y < 0"), id_col, "y", unlabelled))
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t")).join(F.broadcast(picked), id_col).select("__t", "y")

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 from llm_data import EDGES, make_docs, prose
 
+from pyspark.sql import functions as F
+
 from memengine.llm import langid, licenses, quality, toxicity
 from memengine.llm._common import byte_words
 
@@ -244,3 +246,120 @@ def test_licence_scan(spark):
     assert licenses.scan(docs.unionByName(docs)).count() == licenses.scan(docs).count()
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def grams_by_hand(text, dims=langid.DIMS, orders=langid.ORDERS):
+    """Hashed places of the n-grams of a text, one at a time."""
+    out, keep = [], []
+    for c in text.lower():
+        c = c if c.isalpha() else " "
+        if c != " " or not keep or keep[-1] != " ":
+            keep.append(c)
+    code, bits = [ord(c) for c in keep], int(dims).bit_length() - 1
+    for i in range(len(code)):
+        h = 0
+        for n in range(orders):
+            if i + n >= len(code):
+                break
+            h = (h * 0x01000193 + code[i + n] * 0x9E3779B1) % 2**32
+            out.append(((h ^ (h >> 15)) * (0x85EBCA77 + 2 * n)) % 2**32 >> (32 - bits))
+    return set(out)
+
+
+def test_language_scores_equal_kernel_regression(rng):
+    texts = [prose(rng, rng.randrange(3, 30)) for _ in range(24)] + ["die schöne Straße " * 3, "où êtes-vous, ça va", "𐌰𐌱 gothic 𐌲"]
+    langs = np.array(["aa", "bb", "cc"] * 9)
+    flags, has = langid.presence(pa.array(texts))
+    sets = [grams_by_hand(t) for t in texts]
+    assert has.all() and [set(np.flatnonzero(f).tolist()) for f in flags] == sets
+    model = langid.KernelModel(np.packbits(flags, axis=1), langs, landmarks=12, ridge=1e-2)
+
+    def kernel(a, b):
+        return len(a & b) / math.sqrt(len(a) * len(b))
+
+    marks = [sets[k] for x in "abc" for k in np.flatnonzero(langs == x * 2)[:4]]
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
+    z = np.hstack([np.array([[kernel(a, b) for b in marks] for a in sets]) @ root, np.ones((27, 1))])
+    y = np.where(langs[:, None] == np.array(["aa", "bb", "cc"])[None, :], 1.0, -1.0)
+    want = z @ np.linalg.solve(z.T @ z + 1e-2 * 27 * np.eye(13), z.T @ y)
+    assert np.allclose(model.margins(flags), want, atol=2e-3)
+
+
+def test_language_of_letters_beyond_the_first_plane_and_ties(spark):
+    docs = make_docs(spark, ["𐌰𐌱𐌲𐌳 𐌰𐌱", "𝟙𝟚😀", "123", "zzz", "x" * 300_000])
+    train = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate([("𐌰𐌱𐌲 𐌳𐌰", "got"), ("abc def", "xx"), ("zzz", "bb"), ("zzz", "aa")])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, train).collect()}
+    assert got[0].lang_pred == "got" and (got[1].lang_pred, got[1].score) == ("und", 0.0) and got[2].lang_pred == "und"
+    assert got[3].lang_pred == "aa" and got[4].lang_pred != "und"
+
+
+def quality_by_hand(text):
+    raw = text.encode()
+    kinds = np.bincount(quality.KINDS[np.frombuffer(raw, np.uint8)], minlength=12)
+    words, now = [], []
+    for c in [*text, " "]:
+        if c.isascii() and c.isalnum() or ord(c) >= 0xC0 and not 0x2000 <= ord(c) < 0x2100:
+            now.append(c)
+        elif now:
+            words.append("".join(now))
+            now = []
+    lines = text.split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    size = [len(w.encode()) for w in words]
+    n, pairs = max(1, len(words)), list(zip(words, words[1:]))
+    upper = [w[0].isascii() and w[0].isupper() and w[-1].isascii() and w[-1].isupper() and k > 1 for w, k in zip(words, size)]
+    return [
+        *(kinds / max(1, len(raw))), math.log1p(len(raw)), math.log1p(len(words)), sum(size) / n, sum(k <= 3 for k in size) / n, sum(k > 20 for k in size) / n, sum(upper) / n,
+        len(set(words)) / n, math.log1p(len(words)) - math.log1p(len(set(words))), sum(a == b for a, b in pairs) / n, (len(pairs) - len(set(pairs))) / max(1, len(pairs)),
+        math.log1p(len(lines)), math.log1p(len(raw) / max(1, len(lines))), (len(lines) - len(set(lines))) / max(1, len(lines)),
+        math.log1p((kinds[8] + kinds[9]) / n), math.log1p(kinds[6] / n),
+    ]
+
+
+def test_quality_scores_equal_plain_python(rng):
+    texts = [t for t in EDGES if t]
+    for _ in range(60):
+        words = prose(rng, rng.randrange(1, 80), 30).split() + rng.choices(["HTTP", "Ab", "#$%", "ÄÖÜ", "a|b", "!!", "x" * 30], k=rng.randrange(6))
+        rng.shuffle(words)
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "\n\n", ", "]) for w in words))
+    x = quality.features(pa.array(texts))
+    want = np.array([quality_by_hand(t) for t in texts])
+    assert np.allclose(x, want, atol=1e-9)
+    label = np.array([rng.choice([1, 0, -1]) for _ in texts])
+    model = quality.learn(x, label)
+    steps, w = model.steps, model.w
+    for row, got in zip(x, model.score(x)):
+        parts = [min(4, max(-4, (v - m) / s)) for v, m, s in zip(row, steps.mean, steps.sd)]
+        parts += [float(row[j] > c) for j in range(len(row)) for c in steps.cuts[j]]
+        g = sum(a * b for a, b in zip(parts, w)) + w[-1]
+        assert abs(got - 1 / (1 + math.exp(-(model.line[0] * g + model.line[1])))) < 1e-6
+
+
+def test_rows_without_an_id_are_in_no_split(spark):
+    from memengine.llm._common import split_of
+
+    rows = spark.createDataFrame([(None, "a"), (3, "b")], "doc_id long, t string")
+    assert [r[0] for r in rows.select(split_of(F.col("doc_id"), 4) == 2).collect()][0] is False
+
+
+def test_held_out_accuracy_of_the_registered_queries(spark):
+    from memengine.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+
+    def held(query, label):
+        rows = [(getattr(labels[r.doc_id], label), r.score, r.predicted) for r in query(spark, sf).collect() if r.held_out and r.doc_id in labels]
+        rows = [r for r in rows if r[0] in (0, 1)]
+        good, bad = [r for r in rows if r[0] == 1], [r for r in rows if r[0] == 0]
+        auc = np.mean([(a[1] > b[1]) + 0.5 * (a[1] == b[1]) for a in good for b in bad])
+        return auc, np.mean([r[2] for r in good]), np.mean([r[2] for r in bad])
+
+    auc, found, wrong = held(queries.op7_toxicity, "toxic")
+    assert auc >= 0.95 and found >= 0.9 and wrong <= 0.01  # some rows are marked toxic without a toxic word
+    auc, found, wrong = held(queries.op3_quality, "quality")
+    assert auc >= 0.97 and found >= 0.9 and wrong <= 0.2
+    said = [(langs[r.doc_id], r.lang_pred) for r in queries.op5_language_id(spark, sf).collect() if r.held_out and langs[r.doc_id]]
+    assert np.mean([a == b for a, b in said]) >= 0.97
