@@ -149,6 +149,8 @@ def training_set() -> list[tuple[str, str, int]]:
     rows += [(f, t, -1) for f, texts in NOTICES.items() for t in texts for _ in range(6)]
     rows += [(f, f"{a} {b}", -1) for f, texts in NOTICES.items() for a in texts for b in texts if a != b]
     rows += [(UNKNOWN, t, -1) for t in [*OTHERS, *PLAIN] for _ in range(4)]
+    # Common words tell nothing, one by one or several.
+    rows += [(UNKNOWN, " ".join(COMMON[a : a + n]), -1) for n in (1, 4) for a in range(0, len(COMMON), n)]
     # Carriers alone, around names that are no licence, and around those of other licences, tell nothing.
     rows += [(UNKNOWN, c.format(n), k) for k, c in enumerate(CARRIERS) for n in ("", "new mayor", "agreement between the parties", "Acme Example License 7", *STRANGERS)]
     return rows
