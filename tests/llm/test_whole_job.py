@@ -62,11 +62,15 @@ def test_licence_filter_passes_all_that_the_classifier_names(spark, rng):
     classes, terms, w, b, temperature, least = licenses.model()
     at = {t: k for k, t in enumerate(terms)}
     words = sorted({x for t in terms for x in t.split()})
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) + " " + " ".join(rng.sample(terms, 3)) + " " + prose(rng, rng.randrange(9)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) + " " + " ".join(rng.sample(terms, 3)) + " " + prose(rng, rng.randrange(9)) for _ in range(1500)]
+    # Notices with words lost and added.
+    for _, t, _ in rng.sample(licenses.training_set(), 600):
+        kept = [x for x in t.split() if rng.random() < 0.85] + rng.choices(words, k=rng.randrange(5))
+        texts.append(" ".join(rng.sample(kept, len(kept)) if rng.random() < 0.3 else kept))
 
     def named(t):
         s = sorted(licenses._terms(t))
-        z = sum((w[at[x]].round(6) for x in s if x in at), np.zeros(len(classes))) / np.sqrt(len(s)) + b
+        z = sum((w[at[x]].round(6) for x in s if x in at), np.zeros(len(classes))) / np.sqrt(max(1, len(s))) + b
         p = licenses._softmax(z[None] / temperature)[0]
         return classes[int(z.argmax())] if p.max() >= least else licenses.UNKNOWN
 
