@@ -15,10 +15,18 @@ from memengine.operators import retrieval
 # --------------------------------------------------------------------------- fusion and policy
 
 
-def fuse(candidates: DataFrame) -> DataFrame:
-    """One decision per canonical key from (canonical_key, source, score, threshold, accepted, confidence, ord)."""
+def fusion_pairs(candidates: DataFrame) -> DataFrame:
+    """(canonical_key, d, f): the first deterministic and the first fallback candidate of each key.
+
+    candidates: (canonical_key, source, score, threshold, accepted, confidence, ord).
+    """
     first = lambda source: F.min_by(F.when(F.col("source") == source, F.struct("accepted", "score", "threshold", "confidence")), F.when(F.col("source") == source, F.col("ord")))
-    g = candidates.groupBy("canonical_key").agg(first("deterministic").alias("d"), first("fallback").alias("f"))
+    return candidates.groupBy("canonical_key").agg(first("deterministic").alias("d"), first("fallback").alias("f"))
+
+
+def fuse(candidates: DataFrame) -> DataFrame:
+    """One decision per canonical key from the candidates of both sources."""
+    g = fusion_pairs(candidates)
     sure = F.coalesce(F.col("f.confidence"), F.lit(0.0)) >= 0.72
     f_loose = F.col("f.accepted") | (F.col("f.score") >= F.col("f.threshold") + 0.03) | sure
     f_strict = F.col("f.accepted") & ((F.col("f.score") >= F.col("f.threshold") + 0.08) | sure)
@@ -31,15 +39,21 @@ def fuse(candidates: DataFrame) -> DataFrame:
     )
 
 
-def decide(candidates: DataFrame, mem: DataFrame) -> DataFrame:
-    """(id, action, reason, target_id) of each candidate against the active rows, set-based.
+def policy_matches(candidates: DataFrame, mem: DataFrame) -> DataFrame:
+    """candidates with same_id (active row of the same key) and best (id, object: newest active row of the predicate).
 
-    Both sides have canonical_key, predicate, object, bucket; candidates of one batch do not see each other.
+    Both sides have scope, canonical_key and predicate; only rows of the candidate's own scope match, where a
+    scope is one user's store. Candidates of one batch do not see each other.
     """
     active = mem.filter("status = 'active' and canonical_key is not null")
-    by_key = active.groupBy("canonical_key").agg(F.min("id").alias("same_id"))
-    newest = active.groupBy("predicate").agg(F.max_by(F.struct("id", "object"), F.struct("updated_at", F.col("seq") * -1)).alias("best"))
-    j = candidates.join(by_key, "canonical_key", "left").join(newest, "predicate", "left")
+    by_key = active.groupBy("scope", "canonical_key").agg(F.min("id").alias("same_id"))
+    newest = active.groupBy("scope", "predicate").agg(F.max_by(F.struct("id", "object"), F.struct("updated_at", F.col("seq") * -1)).alias("best"))
+    return candidates.join(by_key, ["scope", "canonical_key"], "left").join(newest, ["scope", "predicate"], "left")
+
+
+def decide(candidates: DataFrame, mem: DataFrame) -> DataFrame:
+    """(id, action, reason, target_id) of each candidate (id, scope, canonical_key, predicate, object, bucket)."""
+    j = policy_matches(candidates, mem)
     none, moved = F.col("best").isNull(), F.col("bucket").isin("transition", "past")
     action = F.when(F.col("same_id").isNotNull(), "IGNORE").when(none, "ADD").when(moved, "SUPERSEDE").when(F.col("best.object") != F.col("object"), "UPDATE").otherwise("ADD")
     reason = (

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memengine.config import DAY_MS, DEFAULT, Config
 from memengine.functions import scoring, text, vectors
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memengine-"))
-    return df.checkpoint(eager=True)
+from memengine.functions.checkpoint import cut as _cut
 
 
 def decay(mem: DataFrame, now_ms: int, cfg: Config = DEFAULT) -> DataFrame:
@@ -164,11 +155,16 @@ def kmeans(mem: DataFrame, seed: int = 7, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def similarity_edges(mem: DataFrame, least: float = 0.7) -> DataFrame:
-    """(source, target, similarity) of active rows of one cluster at ``least`` or more, each pair once."""
-    a = mem.filter("status = 'active' and cluster_id is not null").select("cluster_id", F.col("id").alias("source"), F.col("embedding").alias("va"))
-    b = a.select("cluster_id", F.col("source").alias("target"), F.col("va").alias("vb"))
-    pairs = a.join(b, "cluster_id").filter("source < target")
-    return pairs.select("source", "target", vectors.cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") > least)
+    """(source, target, similarity) of active rows of one cluster at more than ``least``, each pair once."""
+    rows = mem.filter("status = 'active' and cluster_id is not null").select("id", "embedding", "cluster_id")
+    found = vectors.nearest_of_each(rows, rows, None, least, "cluster_id")
+    return found.filter((F.col("new_id") < F.col("id")) & (F.col("similarity") > least)).select(F.col("new_id").alias("source"), F.col("id").alias("target"), "similarity")
+
+
+def successors(mem: DataFrame) -> DataFrame:
+    """(id, next_id, next_status): one step of each supersession chain, to rows that are there."""
+    after = mem.select(F.col("id").alias("next_id"), F.col("status").alias("next_status"))
+    return mem.select("id", F.col("superseded_by").alias("next_id")).join(after, "next_id").select("id", "next_id", "next_status")
 
 
 def lifecycle_stats(mem: DataFrame, accesses: DataFrame, now_ms: int, interval_ms: int = 3_600_000) -> DataFrame:

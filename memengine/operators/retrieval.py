@@ -52,12 +52,24 @@ def lookup(hits: DataFrame, mem: DataFrame) -> DataFrame:
 
 def top_k_per_domain(new: DataFrame, mem: DataFrame, k: int, least: float) -> DataFrame:
     """(new_id, id, similarity, rank): for each new row its k nearest active rows of the same domain."""
-    a = new.select(F.col("id").alias("new_id"), F.col("conflict_domain").alias("new_domain"), F.col("embedding").alias("new_vec"))
-    b = mem.filter("status = 'active'").select("id", "conflict_domain", "embedding")
-    pairs = a.join(b, (F.col("new_domain") == F.col("conflict_domain")) & (F.col("new_id") != F.col("id")))
-    pairs = pairs.select("new_id", "id", vectors.cosine(F.col("new_vec"), F.col("embedding")).alias("similarity")).filter(F.col("similarity") >= least)
-    w = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return vectors.nearest_of_each(new, mem.filter("status = 'active'"), k, least, "conflict_domain")
+
+
+def domain_pairs(new: DataFrame, mem: DataFrame, least: float) -> DataFrame:
+    """(new_id, id, similarity): all active rows of a new row's domain that are as similar as ``least``."""
+    return vectors.nearest_of_each(new, mem.filter("status = 'active'"), None, least, "conflict_domain").drop("rank")
+
+
+def search_by_domain(mem: DataFrame, query: Sequence[float], domain: str, own_id: str | None, k: int, least: float) -> DataFrame:
+    """(id, similarity): the k nearest active rows of one domain, a row of its own id apart."""
+    rows = in_domain(mem, domain).filter(F.col("id") != own_id if own_id is not None else F.lit(True))
+    found = rows.select("id", vectors.cosine(F.col("embedding"), vectors.literal(query)).alias("similarity"))
+    return found.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k)
+
+
+def in_domain(mem: DataFrame, domain: str) -> DataFrame:
+    """Active rows of one conflict domain."""
+    return mem.filter((F.col("status") == "active") & (F.col("conflict_domain") == domain))
 
 
 def within_budget(ranked: DataFrame, budget: int, cfg: Config = DEFAULT) -> DataFrame:

@@ -138,17 +138,36 @@ _add("novelty", lambda s, d: retrieval.novelty(memories(s, d), _vector(s, d), NO
 
 
 def _many(s: SparkSession, d: str) -> DataFrame:
-    q = read(s, d, "embeddings").filter("vec_id < 16").orderBy("vec_id").collect()
-    hits = vectors.nearest(memories(s, d), [r["embedding"] for r in q], [str(r["vec_id"]) for r in q], 5)
-    return hits.select("query", "id", "rank", _r("similarity").alias("similarity"))
-
-
-_add("vector_cross_join", _many, MEM + "SELECT query, id, rank, round(sim, 6) AS similarity FROM (SELECT CAST(q.vec_id AS VARCHAR) AS query, m.id, greatest(0.0, least(1.0, list_inner_product(m.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS sim, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0.0, least(1.0, list_inner_product(m.embedding::DOUBLE[], q.embedding::DOUBLE[]))) DESC, m.id) AS INTEGER) AS rank FROM memories m, embeddings q WHERE q.vec_id < 16) WHERE rank <= 5")
-_PAIRS = "pairs AS (SELECT a.id AS new_id, b.id, greatest(0.0, least(1.0, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS sim, a.types AS ta, b.types AS tb, a.entities AS ea, b.entities AS eb, a.conflict_domain AS da, b.conflict_domain AS db, a.content AS ca FROM memories a JOIN memories b ON a.conflict_domain = b.conflict_domain AND a.id <> b.id AND b.status = 'active' WHERE a.seq % 10 = 3), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM pairs WHERE sim >= 0.05) "
-_newer = lambda m: m.filter("seq % 10 = 3")
-_domain_top = lambda m: retrieval.top_k_per_domain(_newer(m), m, 7, 0.05).select("new_id", "id", "rank", _r("similarity").alias("similarity"))
-for _name in ("topk_per_domain", "search_by_domain", "domain_equi_join", "predicate_domain"):
-    _mem(_name, _domain_top, ", " + _PAIRS + "SELECT new_id, id, rank, round(sim, 6) AS similarity FROM top WHERE rank <= 7")
+    """The stated set of questions of a search: vectors whose id is divisible by 100."""
+    asked = read(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("id"), "embedding")
+    return vectors.nearest_of_each(asked, memories(s, d), 5, 0.0).select(F.col("new_id").alias("query"), "id", "rank", _r("similarity").alias("similarity"))
+
+
+_add(
+    "vector_cross_join",
+    _many,
+    MEM + """SELECT query, id, rank, round(sim, 6) AS similarity FROM (
+        SELECT query, id, sim, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS INTEGER) AS rank
+        FROM (SELECT 'q' || CAST(q.vec_id AS VARCHAR) AS query, m.id, greatest(0.0, least(1.0, list_inner_product(m.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS sim FROM memories m, embeddings q WHERE q.vec_id % 100 = 0)
+    ) WHERE rank <= 5""",
+)
+_PAIRS = "pairs AS (SELECT a.id AS new_id, b.id, greatest(0.0, least(1.0, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS sim, a.types AS ta, b.types AS tb, a.entities AS ea, b.entities AS eb, a.conflict_domain AS da, b.conflict_domain AS db, a.content AS ca FROM memories a JOIN memories b ON a.conflict_domain = b.conflict_domain AND a.id <> b.id AND b.status = 'active'), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM pairs WHERE sim >= 0.05) "
+_mem(
+    "topk_per_domain",
+    lambda m: retrieval.top_k_per_domain(m, m, 7, 0.05).select("new_id", "id", "rank", _r("similarity").alias("similarity")),
+    ", " + _PAIRS + "SELECT new_id, id, rank, round(sim, 6) AS similarity FROM top WHERE rank <= 7",
+)
+_mem(
+    "domain_equi_join",
+    lambda m: retrieval.domain_pairs(m, m, 0.35).select("new_id", "id", _r("similarity").alias("similarity")),
+    ", " + _PAIRS + "SELECT new_id, id, round(sim, 6) AS similarity FROM pairs WHERE sim >= 0.35",
+)
+_add(
+    "search_by_domain",
+    lambda s, d: retrieval.search_by_domain(memories(s, d), _vector(s, d), "profession", "m000000000", 7, 0.05).select("id", _r("similarity").alias("similarity")),
+    MEM + f"SELECT id, round({_COS}, 6) AS similarity FROM memories WHERE status = 'active' AND conflict_domain = 'profession' AND id <> 'm000000000' AND {_COS} >= 0.05 ORDER BY {_COS} DESC, id LIMIT 7",
+)
+_mem("predicate_domain", lambda m: retrieval.in_domain(m, "location").select(*BASIC), f"SELECT {B} FROM memories WHERE status = 'active' AND conflict_domain = 'location'")
 _BUDGET = 4000
 _add("greedy_budget_prefix", lambda s, d: retrieval.within_budget(retrieval.vector_search(memories(s, d), _vector(s, d), NOW_MS), _BUDGET).select("id", "rank", F.col("tokens").cast("long").alias("tokens"), F.col("running_tokens").cast("long").alias("running_tokens")), _SEARCH + f"SELECT id, rank, CAST(tokens AS BIGINT) AS tokens, CAST(running AS BIGINT) AS running_tokens FROM (SELECT id, rank, ceil(length(content) / 4.0) AS tokens, sum(ceil(length(content) / 4.0)) OVER (ORDER BY rank) AS running FROM ranked WHERE rank <= 50) WHERE running <= {_BUDGET}")
 _add("injection_preview", lambda s, d: retrieval.injection_preview(memories(s, d), _vector(s, d), NOW_MS, max_tokens=9000).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("used_tokens")), _SEARCH + "SELECT count(*) AS n, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS used_tokens FROM (SELECT ceil(length(content) / 4.0) AS tokens, sum(ceil(length(content) / 4.0)) OVER (ORDER BY rank) AS running FROM ranked WHERE rank <= 50) WHERE running <= 9000")
@@ -195,8 +214,8 @@ _OLD = f"(status = 'superseded' AND superseded_at < {NOW_MS - 30 * DAY_MS} AND d
 _mem("tombstone", lambda m: lifecycle.tombstone(m, NOW_MS).select("id", F.length("content").alias("n"), "base_strength", "deleted_at", F.col("embedding").isNull().alias("bare")), f"SELECT id, CASE WHEN {_OLD} THEN 0 ELSE length(content) END AS n, CASE WHEN {_OLD} THEN 0.0 ELSE base_strength END AS base_strength, CASE WHEN {_OLD} THEN {NOW} END AS deleted_at, {_OLD} AS bare FROM memories")
 _CHAIN = "c AS (SELECT id, seq, CASE WHEN seq % 7 <> 6 AND seq + 1 < (SELECT count(*) FROM embeddings) THEN 'm' || lpad(CAST(seq + 1 AS VARCHAR), 9, '0') END AS nxt FROM memories), r AS (SELECT id, id AS last_id, 0 AS hops FROM c UNION ALL SELECT r.id, c.nxt, r.hops + 1 FROM r JOIN c ON c.id = r.last_id WHERE c.nxt IS NOT NULL) SELECT id, last_id, CAST(hops AS INTEGER) AS hops FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS rn FROM r) WHERE rn = 1"
 _chain = lambda m: lifecycle.lineage(m.withColumn("superseded_by", F.when(F.col("seq") % 7 != 6, F.concat(F.lit("m"), F.lpad((F.col("seq") + 1).cast("string"), 9, "0")))))
-for _name in ("supersession_chain", "lineage_self_join"):
-    _mem(_name, _chain, ", " + _CHAIN, MEM.replace("WITH ", "WITH RECURSIVE ", 1))
+_mem("supersession_chain", _chain, ", " + _CHAIN, MEM.replace("WITH ", "WITH RECURSIVE ", 1))
+_mem("lineage_self_join", lifecycle.successors, "SELECT a.id, b.id AS next_id, b.status AS next_status FROM memories a JOIN memories b ON b.id = a.superseded_by")
 _cents = lambda s, d: [(f"cluster-{i}", _vector(s, d, i)) for i in range(5)]
 _add("kmeans_assign_join", lambda s, d: lifecycle.assign(memories(s, d).select("id", "embedding"), _cents(s, d)).select("id", "cluster_id"), MEM + "SELECT id, cluster_id FROM (SELECT m.id, 'cluster-' || CAST(q.vec_id AS VARCHAR) AS cluster_id, row_number() OVER (PARTITION BY m.id ORDER BY list_distance(m.embedding::DOUBLE[], q.embedding::DOUBLE[]), q.vec_id) AS rn FROM memories m, embeddings q WHERE q.vec_id < 5) WHERE rn = 1")
 _mem("centroid_mean", lambda m: lifecycle.centroids_of(m.select("cluster_id", "embedding")).select("cluster_id", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", "pos", _r("x", 5).alias("mean")), "SELECT cluster_id, CAST(pos - 1 AS INTEGER) AS pos, round(avg(x), 5) AS mean FROM (SELECT cluster_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM memories) GROUP BY cluster_id, pos")
@@ -208,7 +227,7 @@ _MATCH = "least(1.0, CASE WHEN ta[1] = tb[1] THEN 0.3 ELSE 0.0 END + least(0.5,
 _MARKED = f"regexp_matches(ca, '(?i)' || '{duck_regex('|'.join(rf'\b{p}\b' for p, _, _ in text.MARKERS))}')"
 _RES = f"CASE WHEN marked AND ta[1] IN ('identity', 'location') THEN 'supersede' WHEN match > 0.7 THEN CASE WHEN marked THEN 'supersede' ELSE 'pending' END ELSE 'parallel' END"
 _low = DEFAULT.__class__(contradiction_cos=0.05)
-_mem("detect_contradictions", lambda m: learning.contradictions(_newer(m), m, cfg=_low).select("new_id", "id", _r("similarity").alias("similarity"), _r("match").alias("match"), "resolution"), ", " + _PAIRS + f", x AS (SELECT *, {_MATCH} AS match, {_MARKED} AS marked FROM top WHERE rank <= 7), y AS (SELECT *, {_RES} AS resolution FROM x) SELECT new_id, id, round(sim, 6) AS similarity, round(match, 6) AS match, resolution FROM y WHERE resolution <> 'parallel'")
+_mem("detect_contradictions", lambda m: learning.contradictions(m, m, cfg=_low).select("new_id", "id", _r("similarity").alias("similarity"), _r("match").alias("match"), "resolution"), ", " + _PAIRS + f", x AS (SELECT *, {_MATCH} AS match, {_MARKED} AS marked FROM top WHERE rank <= 7), y AS (SELECT *, {_RES} AS resolution FROM x) SELECT new_id, id, round(sim, 6) AS similarity, round(match, 6) AS match, resolution FROM y WHERE resolution <> 'parallel'")
 
 
 def _neighbours(m: DataFrame) -> DataFrame:
@@ -234,23 +253,45 @@ f AS (SELECT *, accepted OR score >= 0.45 + 0.03 OR coalesce(confidence, 0) >= 0
 SELECT coalesce(d.canonical_key, f.canonical_key) AS canonical_key, CASE WHEN d.canonical_key IS NOT NULL AND f.canonical_key IS NOT NULL THEN d.accepted OR f.loose WHEN d.canonical_key IS NOT NULL THEN d.accepted ELSE f.strict END AS accepted,
 CASE WHEN d.canonical_key IS NOT NULL AND f.canonical_key IS NOT NULL THEN CASE WHEN d.accepted THEN 'deterministic' ELSE 'fallback' END WHEN d.canonical_key IS NOT NULL THEN 'deterministic' ELSE 'fallback' END AS source,
 CASE WHEN d.canonical_key IS NOT NULL AND f.canonical_key IS NOT NULL THEN d.accepted AND f.loose ELSE false END AS agreement FROM d FULL OUTER JOIN f ON d.canonical_key = f.canonical_key"""
-for _name in ("candidate_fusion", "fusion_self_join"):
-    _mem(_name, lambda m: learning.fuse(_candidates(m)), _FUSE)
-
-
-def _policy(m: DataFrame) -> DataFrame:
-    key = lambda c: c.withColumn("canonical_key", F.concat_ws("|", "predicate", "object", (F.col("seq") % 5).cast("string")))
-    base = key(m.withColumn("predicate", text.predicate(F.col("types"))).withColumn("object", F.array_join(F.array_sort("entities"), "+")).withColumn("bucket", text.temporal_bucket(F.col("content"))))
-    return learning.decide(base.filter("seq % 10 = 3").select("id", "canonical_key", "predicate", "object", "bucket"), base.filter("seq % 10 <> 3"))
+_mem("candidate_fusion", lambda m: learning.fuse(_candidates(m)), _FUSE)
+_mem(
+    "fusion_self_join",
+    lambda m: learning.fusion_pairs(_candidates(m)).select("canonical_key", F.col("d.score").alias("d_score"), F.col("d.accepted").alias("d_accepted"), F.col("f.score").alias("f_score"), F.col("f.confidence").alias("f_confidence")),
+    _FUSE.split("SELECT coalesce(d.canonical_key")[0]
+    + "SELECT coalesce(d.canonical_key, f.canonical_key) AS canonical_key, d.score AS d_score, d.accepted AS d_accepted, f.score AS f_score, f.confidence AS f_confidence FROM d FULL OUTER JOIN f ON d.canonical_key = f.canonical_key",
+)
 
 
-_POLICY = f""", b AS (SELECT *, {duck_case('types[1]', PREDICATE)} AS predicate, array_to_string(list_sort(entities), '+') AS object, {duck_case('lower(content)', dict(text.BUCKETS), "'unspecified'", True)} AS bucket FROM memories),
-k AS (SELECT *, predicate || '|' || object || '|' || CAST(seq % 5 AS VARCHAR) AS canonical_key FROM b), a AS (SELECT * FROM k WHERE seq % 10 <> 3 AND status = 'active'),
-s AS (SELECT canonical_key, min(id) AS same_id FROM a GROUP BY canonical_key), n AS (SELECT * FROM (SELECT predicate, id AS best_id, object AS best_object, row_number() OVER (PARTITION BY predicate ORDER BY updated_at DESC, seq) AS rn FROM a) WHERE rn = 1),
-j AS (SELECT k.id, k.object, k.bucket, same_id, best_id, best_object, CASE WHEN same_id IS NOT NULL THEN 'IGNORE' WHEN best_id IS NULL THEN 'ADD' WHEN bucket IN ('transition', 'past') THEN 'SUPERSEDE' WHEN best_object <> object THEN 'UPDATE' ELSE 'ADD' END AS action FROM k LEFT JOIN s USING (canonical_key) LEFT JOIN n ON n.predicate = k.predicate WHERE k.seq % 10 = 3)
-SELECT id, action, CASE WHEN same_id IS NOT NULL THEN 'EXACT_CANONICAL_DUPLICATE' WHEN best_id IS NULL THEN 'NO_ACTIVE_MATCH' WHEN bucket IN ('transition', 'past') THEN 'TRANSITIONAL_REPLACEMENT' WHEN best_object <> object THEN 'SAME_PREDICATE_NEW_VALUE' ELSE 'LOW_CONFIDENCE_MATCH' END AS reason, CASE WHEN same_id IS NOT NULL THEN same_id WHEN action IN ('SUPERSEDE', 'UPDATE') THEN best_id END AS target_id FROM j"""
-for _name in ("write_policy", "policy_match_join"):
-    _mem(_name, _policy, _POLICY)
+def _policy(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row as stored, and as a candidate whose key ends one further, so that some keys meet and others don't."""
+    scope = F.get("source_conversation_ids", F.lit(0)).alias("scope")
+    base = m.select("*", scope, text.predicate(F.col("types")).alias("predicate"), F.array_join(F.array_sort("entities"), "+").alias("object"), text.temporal_bucket(F.col("content")).alias("bucket"))
+    key = lambda n: F.concat_ws("|", "predicate", "object", ((F.col("seq") + n) % 3).cast("string"))
+    asked = base.select("id", "scope", key(60).alias("canonical_key"), "predicate", F.concat("object", F.when(F.col("seq") % 4 == 0, "").otherwise("x")).alias("object"), "bucket")
+    return asked, base.withColumn("canonical_key", key(1))
+
+
+_POLICY = f""", b AS (SELECT *, source_conversation_ids[1] AS scope, {duck_case('types[1]', PREDICATE)} AS predicate, array_to_string(list_sort(entities), '+') AS object,
+    {duck_case('lower(content)', dict(text.BUCKETS), "'unspecified'", True)} AS bucket FROM memories),
+k AS (SELECT id, seq, scope, predicate, object || CASE WHEN seq % 4 = 0 THEN '' ELSE 'x' END AS object, bucket, predicate || '|' || object || '|' || CAST((seq + 60) % 3 AS VARCHAR) AS canonical_key FROM b),
+a AS (SELECT *, predicate || '|' || object || '|' || CAST((seq + 1) % 3 AS VARCHAR) AS canonical_key FROM b WHERE status = 'active'),
+s AS (SELECT scope, canonical_key, min(id) AS same_id FROM a GROUP BY scope, canonical_key),
+n AS (SELECT * FROM (SELECT scope, predicate, id AS best_id, object AS best_object, row_number() OVER (PARTITION BY scope, predicate ORDER BY updated_at DESC, seq) AS rn FROM a) WHERE rn = 1),
+j AS (SELECT k.id, k.object, k.bucket, same_id, best_id, best_object,
+    CASE WHEN same_id IS NOT NULL THEN 'IGNORE' WHEN best_id IS NULL THEN 'ADD' WHEN bucket IN ('transition', 'past') THEN 'SUPERSEDE' WHEN best_object <> k.object THEN 'UPDATE' ELSE 'ADD' END AS action
+    FROM k LEFT JOIN s ON s.scope = k.scope AND s.canonical_key = k.canonical_key LEFT JOIN n ON n.scope = k.scope AND n.predicate = k.predicate)
+"""
+_mem(
+    "write_policy",
+    lambda m: learning.decide(*_policy(m)),
+    _POLICY + """SELECT id, action, CASE WHEN same_id IS NOT NULL THEN 'EXACT_CANONICAL_DUPLICATE' WHEN best_id IS NULL THEN 'NO_ACTIVE_MATCH' WHEN bucket IN ('transition', 'past') THEN 'TRANSITIONAL_REPLACEMENT'
+    WHEN best_object <> object THEN 'SAME_PREDICATE_NEW_VALUE' ELSE 'LOW_CONFIDENCE_MATCH' END AS reason, CASE WHEN same_id IS NOT NULL THEN same_id WHEN action IN ('SUPERSEDE', 'UPDATE') THEN best_id END AS target_id FROM j""",
+)
+_mem(
+    "policy_match_join",
+    lambda m: learning.policy_matches(*_policy(m)).select("id", "same_id", F.col("best.id").alias("best_id"), F.col("best.object").alias("best_object")),
+    _POLICY + "SELECT id, same_id, best_id, best_object FROM j",
+)
 
 # --------------------------------------------------------------------------- text
 _docs = lambda s, d: read(s, d, "documents").select("doc_id", "text")
