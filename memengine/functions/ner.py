@@ -42,11 +42,21 @@ def _fine(pack: str, kind: str, value: str, raw: str, text: str, span: tuple[int
     if pack == "names":
         words = low.split()
         bad = head in packs.NO_NAME or any(w in packs.PROFESSIONS for w in words) or low.endswith("ing")
+        bad = bad or low in packs.PEOPLES
         return not bad and (kind != "bigram" or head not in packs.NO_PLACE)
     if pack == "places":
-        return head not in packs.NO_PLACE and len(low) > 1 and not low.isdigit()
+        idiom = low in packs.NO_LOCATION.get(kind, ()) or low in packs.COMPANIES
+        return not idiom and head not in packs.NO_PLACE and len(low) > 1 and not low.isdigit()
     if pack == "preferences":
+        if kind == "into" and head in ("trouble", "debt", "fights"):
+            return False
+        if kind in ("hate", "love") and re.match(r"to (?:say|admit|break|be|tell)\b", low):
+            return False
         return low not in packs.NO_SUBJECT and head not in ("it", "that", "this", "you", "your")
+    if pack == "education" and kind in packs.INSTITUTION_KINDS:
+        return not any(x in low if " " in x else head == x for x in packs.NO_SCHOOL)
+    if pack == "contact" and kind in ("userName", "relationship"):
+        return low not in packs.PEOPLES and head not in packs.NO_NAME and not low.endswith("ing")
     if pack == "identity":
         if kind == "age":
             return 5 <= int(value) <= 120
@@ -66,14 +76,27 @@ def _fine(pack: str, kind: str, value: str, raw: str, text: str, span: tuple[int
     if pack == "temporal" and kind == "dateIso":
         return _date(value, None) is not None
     if pack == "negation":
-        if kind in ("cessationNegation", "retraction", "replacementNegation"):
-            return True
-        return re.search(packs.STRONG_CUE, _around(text, span, 8), re.IGNORECASE) is not None
+        return kind not in packs.NEEDS_CUE or re.search(packs.STRONG_CUE, _around(text, span, 8), re.IGNORECASE) is not None
     if pack == "jobs":
         return head not in ("home", "my", "it") and len(low) > 1
     return True
 
 
+#: What the values of contact rules are; the others are persons.
+CONTACT_ENTITY = {"phoneNumber": "number", "phoneInternational": "number", "streetAddress": "place", "cityStateZip": "place", "employment": "organization", "preferredContactMethod": None, "contactMethodAvoid": None}
+
+
+def _contact(kind: str, value: str) -> str:
+    """A contact value in one form: numbers with the country's code, short forms of streets."""
+    if kind == "phoneNumber":
+        return "+1" + re.sub(r"\D", "", value)[-10:]
+    if kind == "phoneInternational":
+        return "+" + re.sub(r"\D", "", value)
+    if kind == "streetAddress":
+        return " ".join(packs.STREETS.get(w.rstrip("."), w) for w in value.split())
+    return value
+
+
 def _around(text: str, span: tuple[int, int], words: int) -> str:
     before, after = text[: span[0]].split()[-words:], text[span[1] :].split()[:words]
     return " ".join(before + after)
@@ -181,6 +204,8 @@ def analyze_text(text: str | None, now_ms: int, only: str | None = None) -> dict
         for kind, pattern, confidence in _compiled(pack):
             for m in pattern.finditer(text):
                 raw = (m.group(1) or "").strip().rstrip(".;,")
+                if pack == "education" and kind in packs.INSTITUTION_KINDS:
+                    raw = (m.group(m.lastindex) or "").strip().rstrip(".;,")
                 if pack == "names":
                     raw = re.sub(r"\s+(?:and|or|but)\b.*$", "", raw, flags=re.IGNORECASE)
                 if not raw or not _fine(pack, kind, raw, m.group(0), text, m.span()):
@@ -188,12 +213,18 @@ def analyze_text(text: str | None, now_ms: int, only: str | None = None) -> dict
                 value = resolve_time(kind, raw, now) if pack == "temporal" else re.sub(r"\s+", " ", raw.lower())
                 if pack == "numbers":
                     value = raw.replace(",", "")
+                if pack == "contact":
+                    value = _contact(kind, value)
                 signals.setdefault((pack, kind, value), {"pack": pack, "kind": kind, "value": value})
                 features.add(feature)
                 mine = entity if (pack, kind) not in {("relational", k) for k in ("relationMention", "relationStatus", "relationCount")} else None
                 if pack == "routines" and kind == "temporalChange":
                     features.add("temporalChanges")
                     mine = None
+                if pack == "education" and kind not in packs.INSTITUTION_KINDS:
+                    mine = None
+                if pack == "contact":
+                    mine = CONTACT_ENTITY.get(kind, entity)
                 add(pack, mine, value, raw, confidence)
                 if pack == "places" and m.lastindex == 2 and m.group(2):
                     second = m.group(2).strip().lower()
@@ -205,8 +236,16 @@ def analyze_text(text: str | None, now_ms: int, only: str | None = None) -> dict
                         features.add("preferenceComparisons")
                         add(pack, entity, f"{value} over {other[1].strip().lower()}", m.group(0), confidence)
                 said = packs.PACK_TYPES.get(pack)
+                if pack == "contact":
+                    said = {"streetAddress": "location", "cityStateZip": "location", "employment": "profession", "relationship": "relational"}.get(kind, said)
+                if (pack, kind) == ("routines", "temporalChange"):
+                    said = "temporal"
                 if said and said not in types:
                     types.append(said)
+                if pack == "routines" and kind != "temporalChange":
+                    # A habit is a preference that comes at times.
+                    features.add("preferenceSignals")
+                    types.extend(x for x in ("temporal",) if x not in types)
     for pack, feature in (("preferences", "preferenceSignals"), ("routines", "routineSignals"), ("negation", "negationSignals")):
         if any(s[0] == pack for s in signals):
             features.add(feature)

@@ -65,6 +65,8 @@ CONTACT = [
     ("cityStateZip", r"(?-i:\b([A-Z][a-z]+(?: [A-Z][a-z]+)*,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?)\b)", 0.9),
     ("socialHandle", r"\b(?:twitter|x\.com|instagram|ig|github)(?:\s+(?:handle|is|at|account))*\s*:?\s*@?/?([A-Za-z0-9_]{2,30})\b", 0.85),
     ("website", r"(?<![@\w])((?:https?://)?(?:www\.)?[a-z0-9\-]+\.(?:com|org|net|io|dev|me|co|edu)(?:/\S*)?)", 0.85),
+    ("userName", r"(?:my name is|i['’]?m)\s+(?-i:([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}))(?=$|[,.!?])", 0.9),
+    ("relationship", rf"(?-i:([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?))\s+is\s+my\s+(?:best\s+)?(?:{'|'.join(RELATIONS)}|spouse|cousin|uncle|aunt|nephew|niece|grand(?:parent|father|mother))\b", 0.9),
     ("employment", rf"i work (?:at|for)\s+{CAP}", 0.9),
     ("contactBirthday", rf"(?-i:([A-Z][a-z]+))['’]s birthday is (?:on )?{MONTH}\s+\d{{1,2}}", 0.9),
     ("preferredContactMethod", r"(?:i prefer|best way) to (?:be )?(?:contact(?:ed)?|reach(?:ed)?)(?: me)?(?: is)? (?:via|by|through)\s+(\w+)", 0.85),
@@ -72,9 +74,11 @@ CONTACT = [
 ]
 EDUCATION = [
     ("degreeMajorInstitution", rf"i (?:have|got|earned|received|hold) an?\s+{DEGREE}\s+(?:in|of)\s+[\w ]+?\s+(?:from|at)\s+{PHRASE}{END}", 0.95),
+    ("degreeInstitution", rf"i (?:have|got|earned|received|hold) (?:an?|my)\s+{DEGREE}\s+(?:from|at)\s+{PHRASE}{END}", 0.9),
     ("degreeMajor", rf"i (?:have|got|earned|received|hold) an?\s+{DEGREE}\s+(?:in|of)\s+{PHRASE}{END}", 0.9),
     ("majorInstitution", rf"i studied\s+[\w ]+?\s+at\s+{PHRASE}{END}", 0.9),
     ("currentStudent", rf"{I_AM}\s+(?:currently\s+)?an?\s+{LEVEL}\s+student\b", 0.9),
+    ("studyingAt", rf"{I_AM}\s+(?:currently\s+)?studying\s+[\w ]+?\s+at\s+{PHRASE}{END}", 0.88),
     ("studying", rf"{I_AM}\s+(?:currently\s+)?studying\s+{PHRASE}(?:\s+at\b|{END})", 0.86),
     ("institution", rf"i (?:went|go|attended)(?: to)?\s+((?:[A-Z]\w*\s+)*(?:university|college|institute|school|academy)[\w ]*?){END}", 0.85),
     ("graduated", rf"i graduated from\s+{PHRASE}(?:\s+in\s+\d{{4}})?{END}", 0.92),
@@ -109,6 +113,8 @@ HEALTH = [
     ("mentalHealthProvider", r"my\s+(therapist|psychiatrist|psychologist|counselor)\b", 0.86),
     ("therapy", rf"(?:{I_AM}\s+in|i go to|i started)\s+((?:couples |group )?therapy|counseling)\b", 0.86),
     ("familyHistory", r"my\s+(?:mother|father|mom|dad|grandmother|grandfather|sister|brother)\s+(?:has|had)\s+((?:[a-z]+\s+)?(?:diabetes|cancer|asthma|heart disease|alzheimer['’]?s|dementia))", 0.86),
+    ("scheduledProcedure", rf"{I_AM}\s+scheduled for\s+(?:an?\s+)?{PHRASE}{END}", 0.85),
+    ("healthcareProvider", r"my\s+(doctor|physician|dentist|cardiologist|dermatologist|neurologist|surgeon)\s+(?:is|said|says|told)\b", 0.82),
     ("healthcareVisit", r"i (?:see|visit) an?\s+(dentist|cardiologist|dermatologist|neurologist|therapist|doctor|specialist)\b", 0.84),
     ("medicalAppointment", r"i have an?\s+((?:doctor['’]?s\s+|dentist\s+|medical\s+)appointment)", 0.85),
 ]
@@ -156,6 +162,7 @@ PREFERENCE = [
     ("love", rf"i (?:really |absolutely |just )?love\s+{SUBJECT}{END}", 0.92),
     ("love", rf"(?:in love with|obsessed with|passionate about)\s+{SUBJECT}{END}", 0.88),
     ("favorite", rf"my favou?rite\s+\w+\s+is\s+{SUBJECT}{END}", 0.95),
+    ("favoriteColor", rf"my favou?rite colou?r is\s+{SUBJECT}{END}", 0.95),
     ("favorite", rf"{SUBJECT}\s+is my favou?rite\b", 0.86),
     ("like", rf"i (?:really )?like\s+(?!to\b){SUBJECT}{END}", 0.86),
     ("enjoy", rf"i (?:really )?enjoy\s+{SUBJECT}{END}", 0.87),
@@ -182,6 +189,7 @@ ROUTINE = [
     ("frequentActivity", rf"i {ALWAYS}\s+{ACTIVITY}{END}", 0.86),
     ("occasionalActivity", rf"i {SOMETIMES}\s+{ACTIVITY}{END}", 0.8),
     ("dailyActivity", rf"i\s+{ACTIVITY}\s+(?:every day|daily|each day)\b", 0.88),
+    ("exerciseFrequency", r"i\s+(work out|exercise|train|run|swim|go to the gym)\s+(?:once|twice|\d+ times|\d+ days)\s+(?:a|per)\s+week", 0.88),
     ("countedFrequency", rf"i\s+{ACTIVITY}\s+(?:once|twice|\d+ times|two times|three times)\s+(?:a|per)\s+(?:day|week|month|year)", 0.88),
     ("scheduledActivity", rf"i\s+{ACTIVITY}\s+(?:at|around)\s+\d{{1,2}}(?::\d{{2}})?\s*(?:am|pm)", 0.84),
     ("anchoredActivity", rf"i\s+{ACTIVITY}\s+(?:after|before)\s+(?:work|school|breakfast|lunch|dinner|bed)\b", 0.84),
@@ -204,13 +212,26 @@ NEGATION = [
     ("negativeAdverb", r"\b(rarely|seldom|hardly|scarcely|barely)\b", 0.72),
     ("implicitNegation", r"\b(without|lacking|absent|devoid of|free from)\b", 0.66),
     ("replacementNegation", r"\b(instead of|rather than|as opposed to)\b", 0.76),
-    ("correctionMarker", r"\b(actually|in fact|honestly|to be honest)\b", 0.6),
+    ("correctionMarker", r"\b(actually|in fact|in reality|truth is|to be honest|honestly)\b", 0.6),
+    ("explicitCorrection", r"\b(correction|correcting|correct that|let me correct)\b", 0.86),
     ("retraction", r"\b((?:scratch|forget|ignore|disregard) that)\b", 0.9),
-    ("clarification", r"\b(i mean|to clarify)\b", 0.6),
-    ("exceptionMarker", r"\b(except(?: for)?|aside from|apart from|other than)\b", 0.65),
+    ("clarification", r"\b(i mean|what i mean is|to clarify|let me clarify)\b", 0.6),
+    ("contradictionMarker", r"\b(but|however|nevertheless|nonetheless|yet|still|though|although|even though|despite|in spite of)\b", 0.6),
+    ("contrastMarker", r"\b(on the contrary|on the other hand|conversely|in contrast)\b", 0.64),
+    ("exceptionMarker", r"\b(except(?: for)?|excluding|aside from|apart from|other than)\b", 0.65),
+    ("uncertaintyMarker", r"\b(maybe|perhaps|possibly|probably|likely|unlikely|might|may|could)\b", 0.55),
+    ("doubtMarker", r"\b(not sure|unsure|uncertain|unclear|doubtful|questionable)\b", 0.6),
+    ("speculationMarker", r"\b(i (?:think|believe|guess|suppose|assume|imagine))\b", 0.55),
+    ("conditionalMarker", r"\b(if|unless|provided that|assuming that|supposing that)\b", 0.55),
+    ("hypotheticalMarker", r"\b((?:would|could|should)(?: have)?|might have)\b", 0.55),
+    ("desireMarker", r"\b(wish|hope|want|desire|prefer)\b", 0.5),
 ]
-# Negations of these kinds count only beside a strong cue.
-STRONG_CUE = r"\b(live|living|work|working|like|love|prefer|drink|eat|smoke|have|own|want|use|believe|married|single|anymore)\b"
+# Kinds that count only with one of these cues within eight words.
+NEEDS_CUE = {"correctionMarker", "explicitCorrection", "retraction", "clarification", "contradictionMarker", "contrastMarker", "conditionalMarker", "hypotheticalMarker", "desireMarker"}
+STRONG_CUE = (
+    r"(?<!\S)\W*(?:not|never|no|none|nothing|nowhere|(?:do|does|did|wo|ca|is|are|was|were|has|have|had)n?['’]?n?['’]t|don['’]t|won['’]t|can['’]t|cannot|"
+    r"without|lacking|absent|rarely|seldom|hardly|barely|no longer|not anymore)\W*(?!\S)"
+)
 TEMPORAL = [
     ("absoluteDate", rf"\b(\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{MONTH}(?:\s+\d{{4}})?)\b", 0.92),
     ("absoluteDate", rf"\b({MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?)\b", 0.92),
@@ -229,6 +250,10 @@ TEMPORAL = [
     ("duration", rf"\bfor\s+(?:about\s+)?(\d+\s+{UNIT})\b", 0.82),
     ("recurringEvent", r"\b(christmas|easter|thanksgiving|halloween|hanukkah|diwali|ramadan|new year['’]?s(?: eve| day)?|valentine['’]?s day)\b", 0.8),
     ("futurePlan", r"((?:planning|going)\s+to\s+[\w ]{2,40}?\s+(?:in|on|next)\s+\w+)", 0.8),
+    ("durationSince", rf"since\s+({MONTH}|\d{{4}}|yesterday|last\s+\w+){END}", 0.9),
+    ("timeRange", r"((?:from|between)\s+[\w: ]*\d[\w: ]*?\s+(?:to|until|and)\s+[\w: ]*\d[\w: ]*?)(?=$|[,.!?])", 0.87),
+    ("pastEvent", r"(?:back\s+)?in\s+((?:19|20)\d{2}|the\s+\d{2,4}s)\s+i\s+\w+", 0.82),
+    ("temporalRelationship", rf"\b((?:before|after)\s+(?:{MONTH}|{WEEKDAY[3:-1]}|\d{{4}}))\b", 0.78),
     ("season", r"\b(?:in|this|last|next)\s+((?:spring|summer|autumn|fall|winter)(?:\s+of\s+\d{4})?)\b", 0.76),
     ("period", r"\b((?:first|second|third|fourth|1st|2nd|3rd|4th)\s+quarter(?:\s+of\s+\d{4})?)\b", 0.8),
 ]
@@ -245,6 +270,8 @@ NUMBERS = [
     ("percent", r"(\d+(?:\.\d+)?)\s*%", 0.95),
     ("plain", r"\b(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\b", 0.5),
 ]
+# Short forms of street names.
+STREETS = {"street": "st", "avenue": "ave", "road": "rd", "boulevard": "blvd", "lane": "ln", "drive": "dr", "court": "ct", "place": "pl"}
 EMAIL = r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b"
 NAMED = r"\b(?:named|called)\s+([A-Z][a-z]+(?:\s+(?:and\s+)?[A-Z][a-z]+)*)"
 POSSESSIONS = [r"\bmy\s+([a-z]+(?:\s+[a-z]+)?)\b", r"\bour\s+([a-z]+(?:\s+[a-z]+)?)\b", r"\bi\s+(?:have|own)\s+([^.!?]+)"]
@@ -259,6 +286,27 @@ NO_PLACE = set("the a an my your our their this that it peace fear general love
 }
 NO_SUBJECT = {"it", "that", "this", "them", "him", "her", "you", "me", "to", "the way", "how you", "your help", "if you could"}
 
+# Rules of the education pack whose value names an institution; the others tell of a degree, field or level.
+INSTITUTION_KINDS = {"degreeMajorInstitution", "degreeInstitution", "majorInstitution", "studyingAt", "institution", "graduated", "dropout"}
+# Schools that are none.
+NO_SCHOOL = ("school of hard knocks", "school of life", "university of life", "sleep", "bed", "work")
+# What is no place after these words, by kind, and companies.
+NO_LOCATION = {
+    "residence": ["fear", "hope", "moment", "head", "denial", "pain", "peace", "chaos", "luxury", "misery"],
+    "origin": ["mars", "outer space", "the future", "the past", "nowhere"],
+    "birthplace": ["january", "february", "march", "april", "may", "june", "july"],
+    "pastResidence": ["poverty", "wealth", "chaos"],
+    "workLocation": ["tech", "technology", "finance", "sales", "marketing"],
+    "movedTo": ["sleep", "bed", "work"],
+    "visited": ["sleep", "bed", "work", "hell", "heaven"],
+    "currentLocation": ["trouble", "love", "pain", "shock", "denial"],
+}
+COMPANIES = ["google", "microsoft", "apple", "amazon", "meta", "openai", "anthropic"]
+# Peoples, which are no names.
+PEOPLES = set(
+    "american british english irish scottish welsh canadian australian german french spanish italian portuguese dutch danish swedish norwegian finnish polish czech greek "
+    "russian ukrainian turkish iranian persian iraqi indian pakistani chinese japanese korean thai vietnamese mexican brazilian argentinian egyptian nigerian european asian african".split()
+)
 # pack -> (rules, entity kind, feature of the score)
 PACKS = {
     "identity": (IDENTITY, None, "identitySignals"),
@@ -281,7 +329,7 @@ WEIGHTS = {
     "possessions": 0.1, "contactSignals": 0.26, "healthSignals": 0.22, "educationSignals": 0.24, "identitySignals": 0.2, "relationalSignals": 0.22,
 }
 # What a pack's hit says about the memory types.
-PACK_TYPES = {"names": "identity", "places": "location", "jobs": "profession", "preferences": "preference", "temporal": "temporal", "routines": "temporal", "relational": "relational", "identity": "identity", "contact": "identity", "education": "identity", "health": "identity"}
+PACK_TYPES = {"names": "identity", "places": "location", "jobs": "profession", "preferences": "preference", "temporal": "temporal", "routines": "preference", "relational": "relational", "identity": "identity", "contact": "identity", "education": "identity", "health": "identity"}
 CLASSIFY = [
     ("profession", r"\b(?:i\s+work\s+as|i\s+work\s+at|i\s+am\s+a|i\s+am\s+an|i\s+am\s+the|i['’]?m\s+a|i['’]?m\s+an)\b"),
     ("project", r"\b(?:plan|goal|task|project|deadline|reminder|todo|schedule)\b|\bi\s+need\s+to\b|\bi'm\s+going\s+to\b"),

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memengine.config import DEFAULT, Config
-from memengine.functions import ner, scoring, text
-from memengine.operators import retrieval
+from memengine.functions import ner, scoring, text, vectors
+from memengine.functions.checkpoint import cut
+from memengine.functions.embed import hashed_vector
+from memengine.operators import lifecycle, retrieval
 
 # --------------------------------------------------------------------------- fusion and policy
 
@@ -155,7 +157,14 @@ def link_entities(mentions: DataFrame, scope: str = "scope") -> DataFrame:
 
 
 def evaluate(utterances: DataFrame, now_ms: int, cfg: Config = DEFAULT, novelty: Column | None = None) -> DataFrame:
-    """Each utterance (conv_id, pos, text) with its facts: types, entities, score, threshold, canonical form, signals."""
+    """Each utterance (conv_id, pos, text) with its facts: types, entities, score, threshold, canonical form, signals.
+
+    The scope of an utterance is ``c`` and its conversation. A small input is dealt over the cores first, since the
+    rules run in Python.
+    """
+    cores = utterances.sparkSession.sparkContext.defaultParallelism
+    if not utterances.isStreaming and utterances.rdd.getNumPartitions() < cores:
+        utterances = utterances.repartition(cores, "conv_id", "pos")
     a = utterances.withColumn("clean", text.extraction_form(F.col("text"), ascii_only=False))
     a = a.withColumn("ner", ner.analyze(F.col("clean"), F.lit(now_ms)))
     # The UDF's struct is used many times below; the barrier keeps Catalyst from running it each time.
@@ -167,7 +176,8 @@ def evaluate(utterances: DataFrame, now_ms: int, cfg: Config = DEFAULT, novelty:
     ids = F.array_sort(F.transform("entities", lambda e: text.entity_id(e["kind"], text.mention_form(e["kind"], e["value"]))))
     a = a.withColumn("predicate", text.predicate(F.col("types")))
     a = a.withColumn("object", F.when(F.size("entities") > 0, F.array_join(ids, "+")).otherwise(text.canonical_token(F.col("clean"))))
-    a = a.withColumn("canonical_key", text.canonical_key(F.col("conv_id").cast("string"), F.lit("user"), F.col("predicate"), F.col("object"), F.col("bucket")))
+    a = a.withColumn("scope", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    a = a.withColumn("canonical_key", text.canonical_key(F.col("scope"), F.lit("user"), F.col("predicate"), F.col("object"), F.col("bucket")))
     signals = text.risk_signals(F.col("clean"), F.col("score"), F.col("threshold"), F.size("entities"), F.size("types"), F.col("bucket"))
     a = a.withColumn("risks", signals)
     ok = (F.col("score") >= F.col("threshold")) & (F.col("novelty") >= cfg.min_novelty) & (F.size("risks") == 0)
@@ -199,24 +209,98 @@ def model_fallback(asked: DataFrame, complete: Callable[[str], str | None], conf
     return asked.select(F.col("conv_id").cast("long"), F.col("pos").cast("long"), "text").mapInPandas(run, "conv_id long, pos long, text string, confidence double")
 
 
+def novelty(said: DataFrame, mem: DataFrame) -> DataFrame:
+    """said (conv_id, pos, text) with novelty: 1 - the similarity to the nearest active row of its scope; 1 without one."""
+    scope = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    known = mem.filter("status = 'active' and embedding is not null").select("id", "scope", "embedding")
+    # Only utterances of scopes that have a memory are embedded and compared.
+    asked = said.withColumn("scope", scope).join(known.select("scope").distinct(), "scope", "left_semi")
+    asked = asked.select(F.concat_ws(" ", "conv_id", "pos").alias("id"), "scope", hashed_vector(text.extraction_form(F.col("text"), ascii_only=False)).alias("embedding")).dropDuplicates(["id"])
+    near = vectors.nearest_of_each(cut(asked), known, 1, 0.0, "scope").select(F.col("new_id").alias("__id"), "similarity")
+    out = said.withColumn("__id", F.concat_ws(" ", "conv_id", "pos")).join(near, "__id", "left").drop("__id")
+    return out.withColumn("novelty", F.lit(1.0) - F.coalesce("similarity", F.lit(0.0))).drop("similarity")
+
+
 def learn(utterances: DataFrame, mem: DataFrame, now_ms: int, cfg: Config = DEFAULT) -> DataFrame:
-    """Decisions of a batch: one row for each candidate (conv_id, pos, origin, text, accepted, action, target).
+    """Decisions of a batch: one row for each candidate, and whether it is written.
 
-    Candidates of a batch are deduplicated by origin and key (best score), fused over origins and held
-    against the stored rows; the newest candidate of a conversation and predicate is the one that is written.
+    mem has scope and canonical form (``tables.canonical``). Utterances are scored with their novelty against the
+    store of their own scope. Candidates of a batch are deduplicated by origin and key (best score), fused over
+    origins and held against the stored rows of their scope; of those that are not ignored, the newest of a
+    conversation and predicate is written.
     """
-    direct = evaluate(utterances, now_ms, cfg).withColumn("origin", F.lit("deterministic")).withColumn("confidence", F.lit(None).cast("double"))
+    direct = evaluate(novelty(utterances.select("conv_id", "pos", "text"), mem), now_ms, cfg, F.col("novelty"))
+    direct = cut(direct.withColumn("origin", F.lit("deterministic")).withColumn("confidence", F.lit(None).cast("double")))  # read three times
     again = fallbacks(direct)
-    extra = evaluate(again.select("conv_id", "pos", "text"), now_ms, cfg).withColumn("origin", F.lit("fallback"))
+    extra = evaluate(novelty(again.select("conv_id", "pos", "text"), mem), now_ms, cfg, F.col("novelty")).withColumn("origin", F.lit("fallback"))
     sure = again.groupBy("conv_id", "pos", "text").agg(F.max("confidence").alias("confidence"))
     extra = extra.join(sure, ["conv_id", "pos", "text"])
     extra = extra.withColumn("accepted", F.col("accepted") | ((F.col("confidence") >= 0.80) & (F.size("risks") == 0)))
-    cols = ["conv_id", "pos", "text", "clean", "origin", "confidence", "score", "threshold", "accepted", "types", "predicate", "object", "bucket", "canonical_key", "risks", "reasons"]
+    cols = ["conv_id", "pos", "text", "clean", "origin", "confidence", "score", "novelty", "threshold", "accepted", "types", "entities", "scope", "predicate", "object", "bucket", "canonical_key", "risks"]
     every = direct.select(*cols).unionByName(extra.select(*cols))
     w = Window.partitionBy("origin", "canonical_key").orderBy(F.desc("score"), "pos")
-    best = every.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    best = cut(every.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn"))
     fused = fuse(best.select("canonical_key", F.col("origin").alias("source"), "score", "threshold", "accepted", "confidence", F.col("pos").alias("ord")))
     chosen = best.join(fused.select("canonical_key", F.col("source").alias("origin"), F.col("accepted").alias("fused")), ["canonical_key", "origin"])
     kept = chosen.filter("fused and accepted").withColumn("id", F.concat(F.col("canonical_key"), F.lit("_"), F.col("conv_id").cast("string")))
-    decided = decide(kept.select("id", "canonical_key", "predicate", "object", "bucket"), mem)
-    return kept.join(decided, "id").select("id", "conv_id", "pos", "text", "origin", "score", "predicate", "object", "bucket", "canonical_key", "action", "reason", "target_id")
+    decided = decide(kept.select("id", "scope", "canonical_key", "predicate", "object", "bucket"), mem)
+    out = kept.join(decided, "id")
+    newest = Window.partitionBy("conv_id", "predicate", F.col("action") == "IGNORE").orderBy(F.desc("pos"), "id")
+    out = out.withColumn("written", (F.col("action") != "IGNORE") & (F.row_number().over(newest) == 1))
+    return out.select(
+        "id", "conv_id", "pos", "text", "origin", "score", "novelty", "scope", "types", F.transform("entities", lambda e: e["value"]).alias("entities"), "predicate", "object", "bucket", "canonical_key",
+        "action", "reason", "target_id", "written",
+    )
+
+
+def new_rows(decided: DataFrame, mem: DataFrame, now_ms: int) -> DataFrame:
+    """The written decisions as rows of the memory table; columns of mem that they don't tell are null."""
+    told = {
+        "id": F.col("id"), "content": F.col("text"), "types": F.col("types"), "status": F.lit("active"), "created_at": F.lit(now_ms), "updated_at": F.lit(now_ms), "valid_from": F.lit(now_ms),
+        "base_strength": F.lit(1.0), "current_strength": F.lit(1.0), "pinned": F.lit(False), "mention_count": F.lit(1), "last_accessed_at": F.lit(now_ms), "entities": F.col("entities"),
+        "source_conversation_ids": F.array("scope"), "conflict_domain": scoring.domain(F.col("types")), "embedding": hashed_vector(F.col("text")), "scope": F.col("scope"),
+        "predicate": F.col("predicate"), "object": F.col("object"), "bucket": F.col("bucket"), "canonical_key": F.col("canonical_key"),
+    }
+    return decided.filter("written").select(*(told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in mem.schema))
+
+
+def conflicts(fresh: DataFrame, mem: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Contradictions of new rows with stored rows of their own scope."""
+    own = lambda f: f.withColumn("conflict_domain", F.concat_ws("|", "scope", "conflict_domain"))
+    return contradictions(own(fresh), own(mem), cfg=cfg)
+
+
+def write(decided: DataFrame, mem: DataFrame, now_ms: int, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(the next snapshot of mem, contradictions found): new rows, then what policy and contradictions supersede."""
+    fresh = cut(new_rows(decided, mem, now_ms))
+    marked = decided.filter("written and action in ('SUPERSEDE', 'UPDATE')")
+    by_policy = marked.select(F.col("target_id").alias("old_id"), F.col("id").alias("new_id"), text.has_marker(F.col("text")).alias("temporal"))
+    gone = by_policy.select(F.col("old_id").alias("id")).distinct()
+    # Contradictions are looked for among rows that the policy has left active.
+    found = cut(conflicts(fresh, mem.join(gone, "id", "left_anti"), cfg))
+    told = fresh.select(F.col("id").alias("new_id"), text.has_marker(F.col("content")).alias("temporal"))
+    by_conflict = found.filter("resolution = 'supersede'").select(F.col("id").alias("old_id"), "new_id").join(told, "new_id").select("old_id", "new_id", "temporal")
+    links = by_policy.unionByName(by_conflict).groupBy("old_id").agg(F.min_by(F.struct("new_id", "temporal"), "new_id").alias("x")).select("old_id", "x.*")
+    return lifecycle.supersede(mem.unionByName(fresh), links, now_ms), found
+
+
+def chained(asked: DataFrame, extractors: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Facts (conv_id, pos, text, confidence) of the first extractor that has any for an utterance; none without extractors."""
+    out, rest = None, asked
+    for extract in extractors:
+        got = cut(extract(rest))
+        out = got if out is None else out.unionByName(got)
+        rest = rest.join(got.select("conv_id", "pos").distinct(), ["conv_id", "pos"], "left_anti")
+    return noop(asked) if out is None else out
+
+
+def noop(asked: DataFrame) -> DataFrame:
+    """The extractor that never finds a fact."""
+    return asked.limit(0).select(F.col("conv_id").cast("long"), F.col("pos").cast("long"), "text", F.lit(0.0).alias("confidence"))
+
+
+def pattern_fallback(asked: DataFrame) -> DataFrame:
+    """Facts that the sentence patterns give."""
+    clean = text.extraction_form(F.col("text"), ascii_only=False)
+    found = asked.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("pos").cast("long").alias("pos"), F.explode(text.fallback_facts(clean)).alias("x"))
+    return found.select("conv_id", "pos", F.col("x.text").alias("text"), F.col("x.confidence").alias("confidence"))

@@ -16,7 +16,7 @@ from memengine.functions import ner, packs, scoring, text, vectors
 from memengine.operators import learning, lifecycle, query, retrieval
 from memengine.plans.sql import MEM, NOW, UTTER, duck_case, duck_regex
 from memengine.sources import store
-from memengine.sources.tables import NOW_MS, accesses, canonical, memories, read, utterances, utterances_of
+from memengine.sources.tables import NOW_MS, accesses, canonical, memories, read, sayings, utterances, utterances_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -362,12 +362,39 @@ _add("basic_specificity", lambda s, d: _utter(s, d).select("conv_id", "pos", _r(
 # --------------------------------------------------------------------------- packs, learning, streams: no SQL
 _analyzed = lambda s, d: _utter(s, d).withColumn("a", ner.analyze(F.col("text"), F.lit(NOW_MS)))
 _add("specificity_score", lambda s, d: _analyzed(s, d).select("conv_id", "pos", _r("a.specificity").alias("specificity"), F.array_join("a.types", ",").alias("kinds")))
+def _signals(s: SparkSession, d: str, pack: str) -> DataFrame:
+    """What a rule pack finds in its own sentences and in all documents."""
+    said = sayings(s, d, pack).select(F.concat_ws(":", F.lit("said"), "conv_id", "pos").alias("source_id"), "text")
+    texts = said.unionByName(_docs(s, d).select(F.concat_ws(":", F.lit("doc"), "doc_id").alias("source_id"), "text"))
+    found = texts.select("source_id", ner.analyze(F.col("text"), F.lit(NOW_MS), pack).alias("a"))
+    return found.select("source_id", F.explode("a.signals").alias("x")).select("source_id", "x.kind", "x.value")
+
+
 for _pack in packs.PACKS:
-    _add(f"ner_{_pack}" if _pack != "numbers" else "ner_number_signals", lambda s, d, p=_pack: _docs(s, d).select("doc_id", ner.analyze(F.col("text"), F.lit(NOW_MS), p).alias("a")).select("doc_id", F.explode("a.signals").alias("x")).select("doc_id", "x.kind", "x.value"))
+    _add(f"ner_{_pack}" if _pack != "numbers" else "ner_number_signals", lambda s, d, p=_pack: _signals(s, d, p))
 _add("evaluate_candidate", lambda s, d: learning.evaluate(_utter(s, d), NOW_MS).select("conv_id", "pos", _r("score").alias("score"), "predicate", "object", "bucket", "canonical_key", "accepted"))
 _add("entity_link", lambda s, d: learning.link_entities(_analyzed(s, d).select(F.col("conv_id").alias("scope"), "conv_id", "pos", F.explode("a.entities").alias("e")).select("scope", "conv_id", "pos", "e.kind", "e.value")))
-_add("learn", lambda s, d: learning.learn(_utter(s, d), canonical(memories(s, d)), NOW_MS))
+_add("learn", lambda s, d: learning.learn(_utter(s, d), canonical(memories(s, d)), NOW_MS).drop("types", "entities"))
+
+
+def _learned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memory table, the table after learning all utterances, contradictions)."""
+    m = canonical(memories(s, d))
+    return m, *learning.write(learning.learn(_utter(s, d), m, NOW_MS), m, NOW_MS, _low)
+
+
+def _learn_events(s: SparkSession, d: str) -> DataFrame:
+    from memengine.streaming.streams import all_changes
+
+    return all_changes(*_learned(s, d), NOW_MS).select("event_type", "memory_id", "ts")
+
+
+_add("learn_write", lambda s, d: _learned(s, d)[1].select("id", "status", "created_at", "superseded_by", "superseded_at", "valid_to", "scope", "predicate", "object"))
+_add("learn_events", _learn_events)
 _add("fallback_llm", lambda s, d: learning.model_fallback(_utter(s, d), lambda said: '```json\n{"facts": [{"text": "said"}]}\n```' if said.startswith("I live") else "none"))
+_LIVES = lambda said: '{"facts": ["lives there"]}' if said.startswith("I live") else "no"
+_add("fallback_chained", lambda s, d: learning.chained(_utter(s, d), [lambda f: learning.model_fallback(f, _LIVES), learning.pattern_fallback]))
+_add("fallback_noop", lambda s, d: learning.noop(_utter(s, d)), "SELECT CAST(0 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS pos, '' AS text, CAST(0 AS DOUBLE) AS confidence WHERE false")
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:

@@ -83,11 +83,11 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical(mem: DataFrame) -> DataFrame:
-    """memories with predicate, object, bucket and canonical key in the scope of their first conversation."""
+    """memories with scope (their first conversation), predicate, object, bucket and canonical key."""
     out = mem.withColumn("predicate", text.predicate(F.col("types")))
     out = out.withColumn("object", F.array_join(F.array_sort("entities"), "+")).withColumn("bucket", text.temporal_bucket(F.col("content")))
-    scope = F.get("source_conversation_ids", F.lit(0))
-    return out.withColumn("canonical_key", text.canonical_key(scope, F.lit("user"), F.col("predicate"), F.col("object"), F.col("bucket")))
+    out = out.withColumn("scope", F.get("source_conversation_ids", F.lit(0)))
+    return out.withColumn("canonical_key", text.canonical_key(F.col("scope"), F.lit("user"), F.col("predicate"), F.col("object"), F.col("bucket")))
 
 
 CITIES = ["Lisbon", "Denver", "Oslo", "Kyoto", "Lyon", "Quito", "Perth", "Riga", "Cairo", "Turin", "Leeds", "Accra", "Bern"]
@@ -112,3 +112,33 @@ def utterances_of(customers: DataFrame) -> DataFrame:
         F.lit("thanks thanks thanks thanks"),
     )
     return c.select(F.col("c_custkey").alias("conv_id"), F.posexplode(said).alias("pos", "text"))
+
+
+# Sentences for each rule pack, with a number or a city in place of {n} and {c}.
+SAYINGS = {
+    "identity": ["I'm {n} years old.", "My pronouns are they/them.", "My native language is german."],
+    "contact": ["My email is user{n}@example.com.", "My address is {n} Main Street.", "You can call me at (415) 628-12{n}."],
+    "education": ["I earned a BS in computer science from {c} University.", "I'm currently studying law at {c} College."],
+    "health": ["I'm allergic to penicillin.", "I have diabetes and I take metformin daily.", "My heart rate was 8{n}."],
+    "relational": ["My wife's name is Parastoo.", "John Smith is my colleague.", "I have 3 kids."],
+    "places": ["I live in {c}.", "I moved to {c} last year."],
+    "jobs": ["I work at Company{n}.", "I work as a software engineer."],
+    "numbers": ["It costs $ {n}.50 or 1,2{n} in total, 7% off."],
+    "preferences": ["I prefer tea over coffee no {n}.", "My favorite color is green."],
+    "temporal": ["My event is on January 15, 2024 at 3:30pm.", "We met on 2023-11-{n}."],
+    "routines": ["I drink coffee every morning.", "I wake up at 7am."],
+    "negation": ["I don't eat peanuts, but actually I like almonds.", "I never smoke."],
+    "names": ["My name is Customer{n}.", "You can call me Alex."],
+}
+
+
+def sayings(spark: SparkSession, sf_dir: str, pack: str | None = None) -> DataFrame:
+    """(conv_id, pos, text): each customer says the sentences of a rule pack, or those of all."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    # The table is one small file: its rows are dealt over the cores before they become many.
+    c = c.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    city = F.get(F.array(*(F.lit(x) for x in CITIES)), (F.col("c_nationkey") % len(CITIES)).cast("int"))
+    number = (F.lit(20) + F.col("c_custkey") % 9).cast("string")
+    texts = [t for name, some in SAYINGS.items() if pack in (None, name) for t in some]
+    said = F.array(*(F.replace(F.replace(F.lit(t), F.lit("{n}"), number), F.lit("{c}"), city) for t in texts))
+    return c.select(F.col("c_custkey").alias("conv_id"), F.posexplode(said).alias("pos", "text"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from memengine.config import DEFAULT, Config
+from memengine.config import DEFAULT, STATUSES, Config
 from memengine.functions import ner, text
 from memengine.operators import learning, lifecycle
 
@@ -37,6 +37,19 @@ def changes(before: DataFrame, after: DataFrame, now_ms: int, verbose: bool = Fa
     return j.select(kind.alias("event_type"), F.coalesce("id", "bid").alias("memory_id"), F.lit(now_ms).alias("ts"), told.alias("payload")).filter("event_type is not null")
 
 
+def all_changes(before: DataFrame, after: DataFrame, contradictions: DataFrame, now_ms: int, verbose: bool = False) -> DataFrame:
+    """changes, with an event for each contradiction, and one of the counts by status if anything changed."""
+    told = changes(before, after, now_ms, verbose)
+    found = contradictions.select(
+        F.lit("CONTRADICTION_DETECTED").alias("event_type"), F.col("new_id").alias("memory_id"), F.lit(now_ms).alias("ts"), F.to_json(F.struct("id", "similarity", "resolution")).alias("payload")
+    )
+    counts = after.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
+    stats = counts.join(told.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_semi").select(
+        F.lit("STATS_CHANGED").alias("event_type"), F.lit(None).cast("string").alias("memory_id"), F.lit(now_ms).alias("ts"), F.to_json(F.struct("*")).alias("payload")
+    )
+    return told.unionByName(found).unionByName(stats)
+
+
 def bridge(events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], path: str):
     """Hand each micro-batch of events on to the sink of its type; a sink that fails does not stop others."""
 

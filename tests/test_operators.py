@@ -16,6 +16,7 @@ from memengine.functions import embed, ner, scoring, text, vectors
 from memengine.operators import learning, lifecycle, query, retrieval
 from memengine.sources import store
 from memengine.sources.tables import MEMORY_SCHEMA, empty_memories
+from memengine.streaming import streams
 
 NOW = 1_706_745_600_000
 HOUR = 3_600_000
@@ -183,7 +184,7 @@ SENTENCES = [
     ("I work as a nurse.", "profession", ("organization", "nurse")),
     ("I prefer tea over coffee.", "preference", ("preference", "tea over coffee")),
     ("I was born in 1990 and moved to Berlin", "location", ("place", "berlin")),
-    ("Call me at 212-456-7890.", "identity", ("person", "212-456-7890")),
+    ("Call me at 212-456-7890.", "identity", ("number", "+12124567890")),
     ("I'm allergic to peanuts.", "preference", ("preference", "peanuts")),
     ("My sister's name is Ana.", "relational", ("person", "ana")),
     ("See you at 5:30 pm", "temporal", ("date", "17:30")),
@@ -229,20 +230,34 @@ def test_linking_frame_is_ordered_within_scopes(spark):
 
 
 def test_policy(spark):
-    schema = "id string, canonical_key string, predicate string, object string, bucket string, status string, updated_at long, seq long"
-    stored = spark.createDataFrame([("a", "k1", "is", "x", "current", "active", 1, 1), ("b", "k2", "is", "y", "current", "active", 2, 2), ("c", "k3", "feels", "z", "current", "faded", 3, 3)], schema)
-    new = spark.createDataFrame([("n1", "k1", "is", "x", "current"), ("n2", "k9", "is", "q", "current"), ("n3", "k9", "is", "y", "past"), ("n4", "k9", "is", "y", "current"), ("n5", "k9", "feels", "z", "current")], "id string, canonical_key string, predicate string, object string, bucket string")
+    schema = "id string, canonical_key string, predicate string, object string, bucket string, status string, updated_at long, seq long, scope string"
+    stored = spark.createDataFrame([("a", "k1", "is", "x", "current", "active", 1, 1, "u"), ("b", "k2", "is", "y", "current", "active", 2, 2, "u"), ("c", "k3", "feels", "z", "current", "faded", 3, 3, "u")], schema)
+    new = spark.createDataFrame([("n1", "k1", "is", "x", "current"), ("n2", "k9", "is", "q", "current"), ("n3", "k9", "is", "y", "past"), ("n4", "k9", "is", "y", "current"), ("n5", "k9", "feels", "z", "current")], "id string, canonical_key string, predicate string, object string, bucket string").withColumn("scope", F.lit("u"))
     got = {r.id: (r.action, r.target_id) for r in learning.decide(new, stored).collect()}
     assert got == {"n1": ("IGNORE", "a"), "n2": ("UPDATE", "b"), "n3": ("SUPERSEDE", "b"), "n4": ("ADD", None), "n5": ("ADD", None)}
+    # Another user's rows are no targets.
+    assert {(r.action, r.target_id) for r in learning.decide(new.withColumn("scope", F.lit("v")), stored).collect()} == {("ADD", None)}
 
 
 def test_learning_end_to_end(spark):
     said = spark.createDataFrame([(1, 0, "My name is Maria Lopez."), (1, 1, "I live in Lisbon."), (1, 2, "thanks thanks thanks thanks"), (1, 3, "I used to live in Oslo but now I live in Riga."), (2, 0, None), (2, 1, "")], "conv_id long, pos int, text string")
     from memengine.sources.tables import canonical
 
-    mem = canonical(table(spark, row(1, types=["location"], content="I live in Oslo", entities=["ent_place_x"])).withColumn("seq", F.lit(1)))
+    mine = dict(types=["location"], content="I live in Oslo", entities=["ent_place_x"], conflict_domain="location")
+    mem = canonical(table(spark, row(1, **mine, source_conversation_ids=["c1"]), row(2, **mine, source_conversation_ids=["c9"])).withColumn("seq", F.when(F.col("id") == "m1", 1).otherwise(2)))
     got = {(r.conv_id, r.pos): r for r in learning.learn(said, mem, NOW).collect() if r.origin == "deterministic"}
     assert got[1, 0].action == "ADD" and got[1, 1].action == "UPDATE" and got[1, 3].action == "SUPERSEDE" and (1, 2) not in got and (2, 0) not in got
+    decided = learning.learn(said, mem, NOW)
+    own = mem.filter("scope = 'c1'").first().id
+    assert {r.target_id for r in decided.collect()} <= {None, own}
+    after, found = learning.write(decided, mem, NOW)
+    rows = {r.id: r for r in after.collect()}
+    new = [r for r in rows.values() if r.created_at == NOW and r.content != "I live in Oslo"]
+    assert {r.content for r in new} >= {"My name is Maria Lopez.", "I used to live in Oslo but now I live in Riga."} and "I live in Lisbon." not in {r.content for r in new}
+    assert (rows[own].status, rows[own].superseded_at) == ("superseded", NOW) and rows[own].superseded_by in {r.id for r in new}
+    assert [r.status for r in rows.values() if r.scope == "c9"] == ["active"]
+    kinds = [r.event_type for r in streams.all_changes(mem, after, found, NOW).collect()]
+    assert kinds.count("MEMORY_ADDED") == len(new) and kinds.count("MEMORY_SUPERSEDED") == 1 and kinds.count("STATS_CHANGED") == 1
 
 
 def test_model_answers():
