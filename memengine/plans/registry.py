@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memengine.config import DAY_MS, DEFAULT, LAMBDA, PREDICATE, REINFORCE, TYPE_THRESHOLD, TYPES
+from memengine.config import DAY_MS, DEFAULT, LAMBDA, PREDICATE, REINFORCE, TYPE_THRESHOLD, TYPES, validate_lambdas
 from memengine.functions import ner, packs, scoring, text, vectors
 from memengine.operators import learning, lifecycle, query, retrieval
 from memengine.plans.sql import MEM, NOW, UTTER, duck_case, duck_regex
@@ -417,22 +417,75 @@ def _learn_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def _debounce_stream(s: SparkSession, d: str) -> DataFrame:
+    """The same windows as ``debounce``, from a stream; a last row far ahead closes all windows."""
     from memengine.streaming import replay, streams
 
-    e = replay.table_stream(s, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return replay.replay(streams.debounced(e))
+    rows = read(s, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    e = replay.stream_of(rows.repartition(4, "id"), rows.agg(F.lit("").alias("id"), (F.max("ts") + F.expr("interval 1 day")).alias("ts")))
+    return replay.replay(streams.debounced(e)).select("id", F.col("window_ms").cast("long").alias("window_ms"), "n")
 
 
 def _event_bridge(s: SparkSession, d: str) -> DataFrame:
-    """Changes of a sweep, per type, as the bridge hands them on."""
-    return _events(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Changes of a sweep as a stream, handed on by type; what each sink got."""
+    from memengine.streaming import replay, streams
+
+    folder = replay.shared_folder(s)
+    sinks = {name: (lambda batch, name=name: batch.write.mode("append").parquet(f"{folder}/{name}")) for name in streams.EVENTS}
+    q = streams.bridge(replay.stream_of(_events(s, d)), sinks, f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [s.read.schema("event_type string, memory_id string, ts long").parquet(f"{folder}/{name}") for name in streams.EVENTS]
+    out = got[0]
+    for more in got[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _periodic_sweep(s: SparkSession, d: str) -> DataFrame:
+    """Two ticks of a clock, a day apart: the table after the second sweep."""
+    from memengine.streaming import replay, streams
+
+    folder = replay.shared_folder(s)
+    memories(s, d).write.parquet(f"{folder}/table-0")
+    done = []
+
+    def store_next(after: DataFrame) -> None:
+        after.write.parquet(f"{folder}/table-{len(done) + 1}")
+        done.append(1)
+
+    ticks = [s.range(1).select(F.timestamp_millis(F.lit(NOW_MS + k * DAY_MS)).alias("timestamp")) for k in (0, 1)]
+    clock = replay.stream_of(*ticks)
+    q = streams.periodic_sweep(clock, lambda: s.read.parquet(f"{folder}/table-{len(done)}"), store_next, f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{folder}/table-{len(done)}").select("id", "status", _r("current_strength").alias("current_strength"), "faded_at")
 
 
 _add("learn_stream", _learn_stream)
-_add("debounce_stream", _debounce_stream)
+_add("debounce_stream", _debounce_stream, "SELECT CAST(user_id AS VARCHAR) AS id, epoch_us(ts) // 5000000 * 5000 AS window_ms, count(*) AS n FROM events GROUP BY ALL")
+_add(
+    "periodic_sweep",
+    _periodic_sweep,
+    MEM + f", d1 AS (SELECT *, {_DECAY} AS cs FROM memories), f1 AS (SELECT * REPLACE (CASE WHEN status = 'active' AND cs < 0.1 AND NOT pinned THEN 'faded' ELSE status END AS status, CASE WHEN status = 'active' AND cs < 0.1 AND NOT pinned THEN {NOW} ELSE faded_at END AS faded_at) FROM d1), "
+    f"k1 AS (SELECT * FROM f1 WHERE NOT coalesce(status = 'faded' AND faded_at < {NOW_MS - 30 * DAY_MS}, false)), d2 AS (SELECT *, {_DECAY.replace(str(NOW_MS), str(NOW_MS + DAY_MS))} AS cs2 FROM k1), "
+    f"f2 AS (SELECT * REPLACE (CASE WHEN status = 'active' AND cs2 < 0.1 AND NOT pinned THEN 'faded' ELSE status END AS status, CASE WHEN status = 'active' AND cs2 < 0.1 AND NOT pinned THEN {NOW_MS + DAY_MS} ELSE faded_at END AS faded_at) FROM d2) "
+    f"SELECT id, status, round(cs2, 6) AS current_strength, faded_at FROM f2 WHERE NOT coalesce(status = 'faded' AND faded_at < {NOW_MS + DAY_MS - 30 * DAY_MS}, false)",
+)
 _add("event_bridge", _event_bridge, f"SELECT event_type, count(*) AS n FROM ({ORACLE_SQL['events']}) GROUP BY event_type")
 _add("storage_health", lambda s, d: read(s, d, "documents").select("doc_id", store.error_kind(F.col("text")).alias("kind")), "SELECT doc_id, CASE WHEN contains(lower(text), 'quota') THEN 'quota' WHEN regexp_matches(lower(text), 'corrupt|invalid') THEN 'corruption' WHEN regexp_matches(lower(text), 'version|migrat|upgrade') THEN 'migration' ELSE 'unknown' END AS kind FROM documents")
-_mem("embed", lambda m: m.select("id", vectors_of(F.col("content")).alias("v")).select("id", F.size("v").alias("dims")), None)
+_mem("embed", lambda m: m.select("id", vectors_of(F.col("content")).alias("v")).select("id", F.posexplode("v").alias("pos", "x")).filter("x <> 0").select("id", "pos", _r("x", 5).alias("x")), None)
+_add("validate_lambda", lambda s, d: _rates(s), "SELECT * FROM (VALUES ('negative', false), ('published', true), ('zero', true)) AS t(rates, accepted)")
+
+
+def _rates(s: SparkSession) -> DataFrame:
+    """Which sets of decay rates the check accepts."""
+
+    def fine(rates: dict[str, float]) -> bool:
+        try:
+            validate_lambdas(rates)
+        except ValueError:
+            return False
+        return True
+
+    return s.createDataFrame([("published", fine(LAMBDA)), ("zero", fine({"identity": 0.0})), ("negative", fine({"identity": 1e-3, "location": -1e-9}))], "rates string, accepted boolean")
 
 
 def vectors_of(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def stream_of(*frames: DataFrame) -> DataFrame:
+    """Frames as a stream that reads them one after the other, a file a trigger."""
+    spark = frames[0].sparkSession
+    folder = shared_folder(spark)
+    for frame in frames:  # files are read in the order in which they were written
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def replay(stream: DataFrame) -> DataFrame:
     """Rows that the query appends over all input that is there; state that waits for more is not in it."""
     spark = stream.sparkSession
