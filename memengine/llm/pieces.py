@@ -398,26 +398,32 @@ def load_model(path: str) -> Model:
 
 
 def encode(
-    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None
 ) -> DataFrame:
-    """docs with ``token_ids`` array<int> in place of a column of that name, if any."""
+    """docs with ``token_ids`` array<int> in place of a column of that name, if any.
+
+    decoded_col: name of one more column, the text that the ids decode to; made by the same worker, so that a
+    round trip needs no second one.
+    """
     text_batches(docs.sparkSession)
     model = load_model(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
-    keep = [c for c in docs.columns if c != "token_ids"]
+    keep = [c for c in docs.columns if c not in ("token_ids", decoded_col)]
+    more = [decoded_col] if decoded_col else []
     at_id, at_text = keep.index(id_col), keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared.value.encoder(rate, seed)
+        enc, dec = shared.value.encoder(rate, seed), shared.value.decoder()
         for batch in batches:
             texts = string_array(batch.column(at_text))
             for a, b in slices(texts, 2 << 20):
                 part = batch.slice(a, b - a)
                 ids = enc(texts.slice(a, b - a).to_pylist(), part.column(at_id).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*keep, "token_ids"])
+                told = [pa.array([dec(x) for x in ids], pa.string())] if more else []
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *told], names=[*keep, "token_ids", *more])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep).mapInArrow(run, f"{fields}, token_ids array<int>")
+    return docs.select(*keep).mapInArrow(run, ", ".join([fields, "token_ids array<int>", *(f"`{c}` string" for c in more)]))
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -455,7 +461,7 @@ def round_trip(
     docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_tokens, tokens_sha256, text_sha256, lossless) of the encoded and decoded documents."""
-    both = decode(encode(docs.select(id_col, text_col), model_path, rate, seed, id_col, text_col), model_path)
+    both = encode(docs.select(id_col, text_col), model_path, rate, seed, id_col, text_col, "decoded")
     digest = F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256)
     return both.select(
         id_col,
