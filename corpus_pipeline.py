@@ -49,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    both = pieces.decode(pieces.encode(docs, TOKENIZER), TOKENIZER)
+    both = pieces.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, decoded_col="decoded")
     return both.select(
         "doc_id",
         "lang",
