@@ -317,9 +317,9 @@ class _Outcomes:
     def clear(self) -> None:
         self.size = self.used = 0
         self.roots: dict[str, int] = {}
-        self.children: dict[int, int] = {}  # node * _STEPS + step
+        self.edges, self.kids = np.zeros(0, np.int64), np.zeros(0, np.int32)  # node * _STEPS + step, ascending, and the child
         self.units: list[str] = []
-        self.up, self.skip, self.steps, self.start, self.count = (np.zeros(1024, np.int64) for _ in range(5))
+        self.up, self.skip, self.steps, self.start, self.count = (np.zeros(1024, np.int32) for _ in range(5))
         self.ids = np.zeros(4096, np.int32)
 
     def _store(self, units: list[str], up: np.ndarray, skip: np.ndarray, flat: np.ndarray, count: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -327,7 +327,7 @@ class _Outcomes:
         for name, values in (("up", up), ("skip", skip), ("steps", steps), ("start", self.used + np.cumsum(count) - count), ("count", count)):
             had = getattr(self, name)
             if had.size < b:
-                had = np.concatenate([had, np.zeros(b, np.int64)])
+                had = np.concatenate([had, np.zeros(b, np.int32)])
                 setattr(self, name, had)
             had[a:b] = values
         if self.ids.size < self.used + flat.size:
@@ -377,16 +377,18 @@ class _Outcomes:
             if not live.size:
                 break
             edge = here * _STEPS + step
-            child = np.fromiter(map(self.children.get, edge.tolist(), repeat(-1)), np.int64, edge.size)
+            slot = np.minimum(np.searchsorted(self.edges, edge), max(0, self.edges.size - 1))
+            child = np.where(self.edges[slot] == edge, self.kids[slot], -1).astype(np.int64) if self.edges.size else np.full(edge.size, -1)
             lost = np.flatnonzero(child < 0)
             if lost.size:
                 new, which = np.unique(edge[lost], return_inverse=True)
                 up, skip = new // _STEPS, new % _STEPS
                 made = self._grow([self.units[k] for k in up.tolist()], up, skip, depth)
-                self.children.update(zip(new.tolist(), made.tolist()))
+                at_edge = np.searchsorted(self.edges, new)
+                self.edges, self.kids = np.insert(self.edges, at_edge, new), np.insert(self.kids, at_edge, made.astype(np.int32))
                 child[lost] = made[which]
             node[live], at = child, step + 1
-        count = self.count[node]
+        count = self.count[node].astype(np.int64)
         ends = np.cumsum(count)
         total = int(ends[-1]) if ends.size else 0
         return self.ids[np.repeat(self.start[node] - (ends - count), count) + np.arange(total)], count
