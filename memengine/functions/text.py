@@ -152,17 +152,19 @@ def markers(text: Column) -> Column:
 
 def repetition(text: Column) -> Column:
     """Share of the most frequent token (0 below four tokens)."""
-    cleaned = F.transform(F.split(F.lower(text), r"\s+"), lambda x: F.regexp_replace(x, r"[^a-z0-9'@.\-]", ""))
-    words = F.array_sort(F.filter(cleaned, lambda x: x != ""))
-    # Longest run in the sorted list: one pass, whatever the length of the text.
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.when(acc["w"] == x, acc["n"] + 1).otherwise(1)
-        return F.struct(x.alias("w"), n.alias("n"), F.greatest(acc["best"], n).alias("best"))
-
-    best = F.aggregate(words, start, step, lambda acc: acc["best"])
-    return F.when(F.size(words) < 4, F.lit(0.0)).otherwise(best / F.size(words))
+    # Unwanted characters go once from the whole text; what is left of a token is the same.
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9'@.\-\s]+", ""), r"\s+", " "))
+    # An array of one, so that the sorted tokens are made once and not for each of their uses.
+    words = F.array_sort(F.filter(F.split(cleaned, " "), lambda x: x != ""))
+
+    def share(w: Column) -> Column:
+        # Runs of equal tokens: where one starts, and where the next does.
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(w)))
+        return F.array_max(F.zip_with(ends, starts, lambda b, a: b - a)) / F.size(w)
+
+    got = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) < 4, F.lit(0.0)).otherwise(share(w))), F.lit(0))
+    return F.when(text.isNull(), F.lit(None).cast("double")).otherwise(got)
 
 
 def risk_signals(text: Column, score: Column, threshold: Column, n_entities: Column, n_types: Column, bucket: Column) -> Column:
