@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memengine.functions.checkpoint import cut
 from memengine.config import DEFAULT, Config
 from memengine.functions import scoring
 
@@ -38,8 +39,22 @@ def filtered(
     return mem
 
 
-def ordered(mem: DataFrame, by: str = "recent") -> DataFrame:
-    return mem.orderBy(F.desc(ORDERS[by]), "id")
+def ordered(mem: DataFrame, by: str = "recent", raw: bool = False) -> DataFrame:
+    """Rows by one of ``ORDERS``, or (raw) by a column, the largest first."""
+    return mem.orderBy(F.desc(by if raw else ORDERS[by]), "id")
+
+
+def places(mem: DataFrame, by: str = "recent") -> DataFrame:
+    """(id, place) of every row in the order of the list, however many there are.
+
+    Rows are sorted over ranges; a place is the rank within the range and the rows of all ranges before, of
+    which only the counts, one a range, come together.
+    """
+    rows = cut(ordered(mem.select("id", F.col(ORDERS[by]).alias("__o")), "__o", raw=True).withColumn("__part", F.spark_partition_id()))
+    before = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc("__o"), "id"))
+    return rows.withColumn("__rank", rank).join(F.broadcast(before), "__part").select("id", (F.col("__rank") + F.col("__before")).cast("long").alias("place"))
 
 
 def page(mem: DataFrame, by: str, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -77,19 +92,26 @@ def pinned_first(mem: DataFrame, n: int = 100) -> DataFrame:
 
 
 def timeline(mem: DataFrame, unit: str = "day", limit: int | None = None) -> DataFrame:
-    """(period, n, ids) by creation; ids in list order, joined by commas."""
+    """(period, n, place, id): the rows of each period of creation in list order, and how many it has.
+
+    A row for each memory: no period's rows come together in a list.
+    """
     rows = mem if limit is None else ordered(mem, "recent").limit(limit)
-    period = F.to_date(F.date_trunc(unit, F.timestamp_millis("created_at")))
-    member = F.struct((-F.col("last_accessed_at")).alias("o"), F.col("id"))
-    out = rows.groupBy(period.cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(member)).alias("m"))
-    return out.select("period", "n", F.array_join("m.id", ",").alias("ids"))
+    period = F.to_date(F.date_trunc(unit, F.timestamp_millis("created_at"))).cast("string")
+    return _in_groups(rows.select(period.alias("period"), "id", "last_accessed_at"), "period")
 
 
 def grouped_by_type(mem: DataFrame, limit: int | None = None) -> DataFrame:
+    """(kind, n, place, id): the rows of each type in list order, and how many it has."""
     rows = mem if limit is None else ordered(mem, "recent").limit(limit)
-    member = F.struct((-F.col("last_accessed_at")).alias("o"), F.col("id"))
-    out = rows.select("id", "last_accessed_at", F.explode("types").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(member)).alias("m"))
-    return out.select("kind", "n", F.array_join("m.id", ",").alias("ids"))
+    return _in_groups(rows.select(F.explode("types").alias("kind"), "id", "last_accessed_at"), "kind")
+
+
+def _in_groups(rows: DataFrame, key: str) -> DataFrame:
+    # The count is an aggregate of its own, combined before the shuffle: a window over a whole group would hold it.
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("last_accessed_at"), "id"))
+    return rows.withColumn("place", place).join(counts, key).select(key, "n", "place", "id")
 
 
 def count(mem: DataFrame, min_base: float | None = None, **conditions) -> DataFrame:

@@ -33,11 +33,16 @@ def vector_search(
     mem: DataFrame, query: Sequence[float], now_ms: int, k: int | None = None, session: Sequence[str] = (), composite: bool = True, cfg: Config = DEFAULT
 ) -> DataFrame:
     """Top k by composite score; rows in the cluster of the best one get a bonus and are ranked again."""
+    return _ranked(lifted(mem, query, now_ms, session, composite, cfg), cfg.k if k is None else k)
+
+
+def lifted(mem: DataFrame, query: Sequence[float], now_ms: int, session: Sequence[str] = (), composite: bool = True, cfg: Config = DEFAULT) -> DataFrame:
+    """All rows at the floor or above, those in the cluster of the best one with its bonus; not ranked."""
     rows = scored(mem, query, now_ms, session, composite, cfg)
     best = rows.orderBy(F.desc("score"), "id").limit(1).select(F.col("id").alias("best_id"), F.col("cluster_id").alias("best_cluster"))
-    lifted = rows.join(F.broadcast(best), (F.col("cluster_id") == F.col("best_cluster")) & (F.col("id") != F.col("best_id")), "left")
+    near = rows.join(F.broadcast(best), (F.col("cluster_id") == F.col("best_cluster")) & (F.col("id") != F.col("best_id")), "left")
     bonus = F.when(F.col("best_id").isNotNull(), F.lit(cfg.cluster_bonus)).otherwise(F.lit(0.0))
-    return _ranked(lifted.withColumn("score", F.col("score") + bonus).drop("best_id", "best_cluster"), cfg.k if k is None else k)
+    return near.withColumn("score", F.col("score") + bonus).drop("best_id", "best_cluster")
 
 
 def semantic_search(mem: DataFrame, query: Sequence[float], now_ms: int, k: int = 50, composite: bool = False, cfg: Config = DEFAULT) -> DataFrame:

@@ -102,15 +102,15 @@ for _mode, _sql in (
     _mem(f"fulltext_{_mode}", lambda m, q=_q, mode=_mode: m.filter(query.contains(F.col("content"), q, mode)).select(*BASIC), f"SELECT {B} FROM memories WHERE {_sql}")
 _mem("fulltext_case", lambda m: m.filter(query.contains(F.col("content"), "The ", "exact", True)).select(*BASIC), f"SELECT {B} FROM memories WHERE contains(content, 'The ')")
 for _by, _col in query.ORDERS.items():
-    _mem(f"sort_{_by}", lambda m, by=_by: query.page(m, by, 10**6).select("id", "place"), f"SELECT id, CAST(row_number() OVER (ORDER BY {_col} DESC, id) AS INTEGER) AS place FROM memories")
+    _mem(f"sort_{_by}", lambda m, by=_by: query.places(m, by), f"SELECT id, row_number() OVER (ORDER BY {_col} DESC, id) AS place FROM memories")
 _mem("paginate", lambda m: query.page(m, "recent", 20, 30).select("id", "place", "total", "has_more"), "SELECT id, place, total, 50 < total AS has_more FROM (SELECT id, CAST(row_number() OVER (ORDER BY last_accessed_at DESC, id) AS INTEGER) AS place, count(*) OVER () AS total FROM memories) WHERE place > 30 AND place <= 50")
 _mem("get_recent", lambda m: query.recent(m).select(*BASIC), f"SELECT {B} FROM memories WHERE status = 'active' ORDER BY last_accessed_at DESC, id LIMIT 50")
 _mem("get_top", lambda m: query.strongest(m).select(*BASIC), f"SELECT {B} FROM memories WHERE status = 'active' AND current_strength >= 0.5 ORDER BY current_strength DESC, id LIMIT 50")
 _mem("get_pinned", lambda m: query.pinned_first(m).select(*BASIC), f"SELECT {B} FROM memories WHERE pinned ORDER BY last_accessed_at DESC, id LIMIT 100")
 for _unit in ("day", "week", "month"):
     _mem(f"timeline_{_unit}" if _unit != "day" else "timeline", lambda m, u=_unit: query.timeline(m, u),
-         f"SELECT CAST(CAST(date_trunc('{_unit}', epoch_ms(created_at)) AS DATE) AS VARCHAR) AS period, count(*) AS n, string_agg(id, ',' ORDER BY last_accessed_at DESC, id) AS ids FROM memories GROUP BY 1")
-_mem("grouped_by_type", lambda m: query.grouped_by_type(m), "SELECT kind, count(*) AS n, string_agg(id, ',' ORDER BY last_accessed_at DESC, id) AS ids FROM (SELECT id, last_accessed_at, unnest(types) AS kind FROM memories) GROUP BY kind")
+         f"SELECT CAST(CAST(date_trunc('{_unit}', epoch_ms(created_at)) AS DATE) AS VARCHAR) AS period, count(*) OVER (PARTITION BY period) AS n, CAST(row_number() OVER (PARTITION BY period ORDER BY last_accessed_at DESC, id) AS INTEGER) AS place, id FROM memories")
+_mem("grouped_by_type", lambda m: query.grouped_by_type(m), "SELECT kind, count(*) OVER (PARTITION BY kind) AS n, CAST(row_number() OVER (PARTITION BY kind ORDER BY last_accessed_at DESC, id) AS INTEGER) AS place, id FROM (SELECT id, last_accessed_at, unnest(types) AS kind FROM memories)")
 _mem("count_filtered", lambda m: query.count(m, min_base=1.5, types_any=["preference"], status="active"), "SELECT count(*) AS n FROM memories WHERE list_contains(types, 'preference') AND status = 'active' AND base_strength >= 1.5")
 _mem("count_by_status", query.by_status, "SELECT status, count(*) AS n FROM memories GROUP BY status")
 _mem("stats", lambda m: query.stats(m).withColumn("avg_strength", _r("avg_strength")), "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'faded') AS faded, count(*) FILTER (WHERE pinned) AS pinned, round(coalesce(avg(current_strength), 0), 6) AS avg_strength, min(created_at) AS oldest, max(created_at) AS newest FROM memories")
@@ -126,7 +126,7 @@ _SEARCH = (
     "ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM lifted) "
 )
 _add("vector_search", lambda s, d: retrieval.vector_search(memories(s, d), _vector(s, d), NOW_MS).select("id", "rank", _r("semantic").alias("semantic"), _r("score").alias("score")), _SEARCH + "SELECT id, rank, round(semantic, 6) AS semantic, round(score, 6) AS score FROM ranked WHERE rank <= 50")
-_add("cluster_bonus", lambda s, d: retrieval.vector_search(memories(s, d), _vector(s, d), NOW_MS, 10**6).select("id", "cluster_id", _r("score").alias("score")), _SEARCH + "SELECT id, cluster_id, round(score, 6) AS score FROM ranked")
+_add("cluster_bonus", lambda s, d: retrieval.lifted(memories(s, d), _vector(s, d), NOW_MS).select("id", "cluster_id", _r("score").alias("score")), _SEARCH + "SELECT id, cluster_id, round(score, 6) AS score FROM ranked")
 _add("composite_score", lambda s, d: memories(s, d).select("id", _r(scoring.composite(vectors.cosine(F.col("embedding"), vectors.literal(_vector(s, d))), F.col("last_accessed_at"), F.col("current_strength"), F.col("pinned"), F.lit(False), NOW_MS)).alias("score")), MEM + f"SELECT id, round({_SCORE}, 6) AS score FROM (SELECT *, {_COS} AS semantic FROM memories)")
 _add("cosine", lambda s, d: memories(s, d).select("id", _r(vectors.cosine(F.col("embedding"), vectors.literal(_vector(s, d)))).alias("similarity")), MEM + f"SELECT id, round({_COS}, 6) AS similarity FROM memories")
 _add("euclidean", lambda s, d: memories(s, d).select("id", _r(vectors.euclidean(F.col("embedding"), vectors.literal(_vector(s, d)))).alias("distance")), MEM + "SELECT id, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM memories")
