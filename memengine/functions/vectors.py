@@ -66,8 +66,8 @@ def nearest_of_each(asked: DataFrame, rows: DataFrame, k: int | None, least: flo
                         fine = ids[a + i] != q_ids[j]
                         i, j = i[fine], j[fine]
                         held.append((q_ids[j], ids[a + i], sim[i, j]))
-                        if k is not None and sim.shape[0] >= k:  # the k-th best but one (itself) bounds what follows
-                            kth = np.partition(sim, max(0, sim.shape[0] - k - 1), axis=0)[max(0, sim.shape[0] - k - 1)]
+                        if k is not None and sim.shape[0] > k:  # the k-th best, or (itself among them) the next, bounds what follows
+                            kth = np.partition(sim, sim.shape[0] - k - 1, axis=0)[sim.shape[0] - k - 1]
                             floor[name] = np.maximum(floor[name], kth)
                 if sum(len(h[0]) for h in held) > 1 << 19:
                     held = [_best(held, k)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from memengine.config import DAY_MS, DEFAULT, LAMBDA, PREDICATE, REINFORCE, TYPE_THRESHOLD, TYPES, validate_lambdas
 from memengine.functions import ner, packs, scoring, text, vectors
-from memengine.operators import learning, lifecycle, query, retrieval
+from memengine.operators import evals, learning, lifecycle, query, retrieval
 from memengine.plans.sql import MEM, NOW, UTTER, duck_case, duck_regex
 from memengine.sources import store
 from memengine.sources.tables import NOW_MS, accesses, canonical, memories, read, sayings, utterances, utterances_of
@@ -394,6 +394,7 @@ _add("learn_events", _learn_events)
 _add("fallback_llm", lambda s, d: learning.model_fallback(_utter(s, d), lambda said: '```json\n{"facts": [{"text": "said"}]}\n```' if said.startswith("I live") else "none"))
 _LIVES = lambda said: '{"facts": ["lives there"]}' if said.startswith("I live") else "no"
 _add("fallback_chained", lambda s, d: learning.chained(_utter(s, d), [lambda f: learning.model_fallback(f, _LIVES), learning.pattern_fallback]))
+_add("eval_gates", lambda s, d: evals.measure(s, NOW_MS))
 _add("fallback_noop", lambda s, d: learning.noop(_utter(s, d)), "SELECT CAST(0 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS pos, '' AS text, CAST(0 AS DOUBLE) AS confidence WHERE false")
 
 

@@ -260,6 +260,40 @@ def test_learning_end_to_end(spark):
     assert kinds.count("MEMORY_ADDED") == len(new) and kinds.count("MEMORY_SUPERSEDED") == 1 and kinds.count("STATS_CHANGED") == 1
 
 
+def test_quality_gates(spark):
+    from memengine.operators import evals
+
+    rows = {r.metric: r for r in evals.measure(spark, NOW).collect()}
+    assert set(rows) == set(evals.GATES) and all(r.passed for r in rows.values()), rows
+
+
+def test_chained_fallbacks(spark):
+    said = spark.createDataFrame([(1, 0, "I live in Rome."), (1, 1, "I prefer tea"), (2, 0, "no")], "conv_id long, pos int, text string")
+    first = lambda f: learning.model_fallback(f, lambda t: '["fact"]' if t.startswith("I live") else "")
+    got = {(r.conv_id, r.pos, r.text) for r in learning.chained(said, [first, learning.pattern_fallback]).collect()}
+    assert (1, 0, "fact") in got and not any(k[:2] == (1, 0) and k[2] != "fact" for k in got)
+    assert learning.chained(said, []).count() == learning.noop(said).count() == 0
+
+
+def test_nearest_of_each_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{k:03d}", "g" + str(k % 3), rng.normal(size=6).tolist()) for k in range(120)]
+    rows = [(i, g, (np.array(v) / np.linalg.norm(v)).tolist()) for i, g, v in rows] + [("z1", "g1", None), ("z2", None, [1.0] * 6), ("z3", "g1", [0.5, 0.5]), ("z4", "g2", rows[2][2])]
+    frame = spark.createDataFrame(rows, "id string, grp string, embedding array<double>")
+    fine = [(i, g, np.array(v)) for i, g, v in rows if v and g]
+
+    def want(k, least):
+        out = set()
+        for a, g, x in fine:
+            near = sorted((-round(float(np.clip(x @ y, 0, 1)), 12), b) for b, h, y in fine if h == g and b != a and x.size == y.size)
+            out |= {(a, b) for s, b in [n for n in near if -n[0] >= least][:k]}
+        return out
+
+    for k, least, size in ((1, 0.0, 8 << 20), (7, 0.05, 2000), (None, 0.4, 3000)):
+        got = vectors.nearest_of_each(frame, frame, k, least, "grp", size).collect()
+        assert {(r.new_id, r.id) for r in got} == want(k, least) and len(got) == len(want(k, least))
+
+
 def test_model_answers():
     assert ner.recover_facts('x {"facts": [{"text": "A", "confidence": 2}, {"text": "a ", "confidence": 0.1}, "B", 3]} y', 0.74) == [("A", 1.0), ("B", 0.74)]
     assert ner.recover_facts('```json\n["C"]\n```', 0.7) == [("C", 0.7)] and ner.recover_facts("nothing", 0.7) == [] and ner.recover_facts('{"facts": 3}', 0.7) == []
