@@ -77,9 +77,9 @@ WITH turns AS (
 )
 SELECT conv_id,
     count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
     CAST(sum(
         length('<|im_start|>') + 1 + length('<|im_end|>') + 1
         + length(regexp_replace(replace(replace(role, chr(92), chr(92) || 's'), chr(10), chr(92) || 'n'), '<(~*)\|', '<\1~|', 'g'))
