@@ -1,7 +1,8 @@
 """Rule packs as data: what a sentence must say for each kind of fact.
 
 Each rule is (kind, pattern, confidence). Group 1 is the value, unless the kind is listed in WHOLE. Patterns
-ignore case unless they start with (?-i: ; N, P and the like below are shared pieces. All fixed values.
+ignore case unless they start with (?-i: ; the pieces below are shared. Tables that must hold given values are
+marked one by one.
 """
 
 from __future__ import annotations
@@ -17,20 +18,22 @@ PLACE = r"([A-Za-z][A-Za-z'’.\-]*(?:\s+[A-Za-z][A-Za-z'’.\-]*){0,7})(?:,\s*(
 MONTH = r"(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)"
 WEEKDAY = r"(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
 UNIT = r"(?:second|minute|hour|day|week|month|year)s?"
+# Fixed values.
 RELATIONS = (
     "mother mom father dad parent brother sister sibling son daughter child kid wife husband spouse partner girlfriend boyfriend fiance fiancee "
     "friend roommate boss manager colleague coworker mentor mentee dog cat pet"
 ).split()
 REL = "(" + "|".join(sorted(RELATIONS, key=len, reverse=True)) + ")"
 RELS = r"(brothers?|sisters?|siblings?|sons?|daughters?|kids?|children|dogs?|cats?|pets?|friends?)"
+# Fixed values.
 PROFESSIONS = (
     "engineer developer designer architect manager director lead consultant analyst accountant founder cto ceo nurse doctor lawyer teacher researcher "
     "scientist software programmer bodybuilder freelancer contractor owner operator specialist administrator technician"
 ).split()
+# Languages that count.
 LANGUAGES = (
-    "english spanish french german italian portuguese dutch russian polish czech slovak ukrainian romanian hungarian greek turkish arabic hebrew persian "
-    "hindi urdu bengali punjabi tamil telugu marathi gujarati chinese mandarin cantonese japanese korean vietnamese thai indonesian malay tagalog swahili "
-    "swedish norwegian danish finnish"
+    "english spanish french german italian portuguese dutch swedish norwegian danish finnish polish russian ukrainian turkish arabic hebrew persian hindi urdu bengali punjabi mandarin cantonese "
+    "japanese korean thai vietnamese indonesian malay swahili amharic yoruba igbo zulu greek czech romanian hungarian serbian croatian"
 ).split()
 BODY = r"(head|neck|back|shoulder|arm|elbow|wrist|hand|chest|stomach|hip|knee|leg|ankle|foot|feet|tooth|throat|eye|ear)s?"
 TIME = r"(\d{1,2}(?::\d{2})?\s*(?:am|pm)?|noon|midnight)"
@@ -323,6 +326,7 @@ PACKS = {
     "negation": (NEGATION, "negation", "negations"),
     "names": (NAMES, "person", "names"),
 }
+# Fixed values.
 WEIGHTS = {
     "names": 0.3, "places": 0.25, "jobs": 0.3, "numbers": 0.2, "preferences": 0.25, "preferenceComparisons": 0.2, "preferenceSignals": 0.12, "dates": 0.2,
     "habits": 0.2, "routineSignals": 0.1, "negations": 0.2, "negationSignals": 0.08, "temporalChanges": 0.25, "emails": 0.4, "namedEntities": 0.25,
@@ -330,6 +334,7 @@ WEIGHTS = {
 }
 # What a pack's hit says about the memory types.
 PACK_TYPES = {"names": "identity", "places": "location", "jobs": "profession", "preferences": "preference", "temporal": "temporal", "routines": "preference", "relational": "relational", "identity": "identity", "contact": "identity", "education": "identity", "health": "identity"}
+# Fixed values.
 CLASSIFY = [
     ("profession", r"\b(?:i\s+work\s+as|i\s+work\s+at|i\s+am\s+a|i\s+am\s+an|i\s+am\s+the|i['’]?m\s+a|i['’]?m\s+an)\b"),
     ("project", r"\b(?:plan|goal|task|project|deadline|reminder|todo|schedule)\b|\bi\s+need\s+to\b|\bi'm\s+going\s+to\b"),

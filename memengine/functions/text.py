@@ -39,6 +39,7 @@ CHANGES = [
 # Markers that the risk check and the fallback trigger look for.
 RISK_MARKERS = r"(used to|no longer|not anymore|formerly|previously|currently|today|yesterday|tomorrow|last\s+week|next\s+week|now)"
 TRIGGER_MARKERS = r"(used to|no longer|not anymore|formerly|previously|currently|now|last\s+week|next\s+week)"
+# First person, words of personal facts, pronouns.
 FIRST_PERSON = r"(?:\bi\b|\bim\b|\bi'm\b|\bi\s+am\b|\bmy\b|\bwe\b|\bour\b)"
 FACT_CUES = (
     r"(?:\bname\s+is\b|\bcall\s+me\b|\bi(?:'m|\s+am|m)\b|\bmarried\b|\bsingle\b|\bwife\b|\bhusband\b|\bpartner\b|\blive\s+in\b|\bfrom\b|\bstudy\b|\bstudied\b"

@@ -159,12 +159,8 @@ def link_entities(mentions: DataFrame, scope: str = "scope") -> DataFrame:
 def evaluate(utterances: DataFrame, now_ms: int, cfg: Config = DEFAULT, novelty: Column | None = None) -> DataFrame:
     """Each utterance (conv_id, pos, text) with its facts: types, entities, score, threshold, canonical form, signals.
 
-    The scope of an utterance is ``c`` and its conversation. A small input is dealt over the cores first, since the
-    rules run in Python.
+    The scope of an utterance is ``c`` and its conversation.
     """
-    cores = utterances.sparkSession.sparkContext.defaultParallelism
-    if not utterances.isStreaming and utterances.rdd.getNumPartitions() < cores:
-        utterances = utterances.repartition(cores, "conv_id", "pos")
     a = utterances.withColumn("clean", text.extraction_form(F.col("text"), ascii_only=False))
     a = a.withColumn("ner", ner.analyze(F.col("clean"), F.lit(now_ms)))
     # The UDF's struct is used many times below; the barrier keeps Catalyst from running it each time.

@@ -93,9 +93,15 @@ def canonical(mem: DataFrame) -> DataFrame:
 CITIES = ["Lisbon", "Denver", "Oslo", "Kyoto", "Lyon", "Quito", "Perth", "Riga", "Cairo", "Turin", "Leeds", "Accra", "Bern"]
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, where they come in fewer parts; work that multiplies them would else run in a few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, pos, text): templated sentences of each customer, for the learning operators."""
-    return utterances_of(read(spark, sf_dir, "customer"))
+    return utterances_of(dealt(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey"))
 
 
 def utterances_of(customers: DataFrame) -> DataFrame:
@@ -134,9 +140,7 @@ SAYINGS = {
 
 def sayings(spark: SparkSession, sf_dir: str, pack: str | None = None) -> DataFrame:
     """(conv_id, pos, text): each customer says the sentences of a rule pack, or those of all."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    # The table is one small file: its rows are dealt over the cores before they become many.
-    c = c.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    c = dealt(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     city = F.get(F.array(*(F.lit(x) for x in CITIES)), (F.col("c_nationkey") % len(CITIES)).cast("int"))
     number = (F.lit(20) + F.col("c_custkey") % 9).cast("string")
     texts = [t for name, some in SAYINGS.items() if pack in (None, name) for t in some]
