@@ -172,8 +172,8 @@ class Model:
                 out.extend(self.byte_ids[b] for b in piece.replace(_RAW, SPACE).encode("utf-8", "replace"))
         return out
 
-    def tables(self) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, and for each pair of symbols that makes a piece: key, piece, place in the order of scores."""
+    def tables(self) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of code points, their number, and for each pair that makes a piece: key, piece, place in the order of scores; ids."""
         if self._tables is None:
             sym: dict[str, int] = {}
             for piece in self.score:
@@ -190,7 +190,11 @@ class Model:
             )
             keys, merged, rank = (np.array(x, np.int64) for x in zip(*rows))
             ident = np.array([self.ident.get(x, -1) for x in sym], np.int32)
-            self._tables = sym, keys, merged, rank, ident
+            code = np.full(0x110000, -1, np.int32)  # code point -> symbol
+            for x, k in sym.items():
+                if len(x) == 1:
+                    code[ord(x)] = k
+            self._tables = code, len(sym), keys, merged.astype(np.int32), rank.astype(np.int32), ident
         return self._tables
 
     def _many(self, units: list[str], rate: float, key: int) -> list[bytes]:
@@ -205,15 +209,15 @@ class Model:
         ``skips``: for each unit, the steps at which the candidate is skipped. Ids in one array, their
         number for each unit, and the number of candidates that came up.
         """
-        sym, keys, merged, rank, ident = self.tables()
-        n_sym, never = len(sym), 1 << 40
+        code, n_sym, keys, merged, rank, ident = self.tables()
+        never = np.int32((1 << 31) - 1)
         lens = np.fromiter(map(len, units), np.int64, len(units))
         width = int(lens.max())
-        s = np.full((len(units), width + 1), -1, np.int64)
-        s[np.arange(width + 1)[None, :] < lens[:, None]] = [sym.get(c, -1) for u in units for c in u]
+        s = np.full((len(units), width + 1), -1, np.int32)
+        s[np.arange(width + 1)[None, :] < lens[:, None]] = code[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
 
         def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            k = left * n_sym + right
+            k = left.astype(np.int64) * n_sym + right
             slot = np.minimum(np.searchsorted(keys, k), keys.size - 1)
             ok = (keys[slot] == k) & (left >= 0) & (right >= 0)
             return np.where(ok, rank[slot], never), merged[slot]
