@@ -42,6 +42,8 @@ def nearest_of_each(asked: DataFrame, rows: DataFrame, k: int | None, least: flo
     ties to the smaller id. Vectors of unlike length never meet.
     """
     spark = asked.sparkSession
+    if group:  # a question whose group has no row has no answer
+        asked = asked.join(rows.select(group).distinct(), group, "left_semi")
     key = F.col(group).cast("string") if group else F.lit("")
     q = asked.filter(F.col("id").isNotNull() & F.col("embedding").isNotNull() & key.isNotNull()).select("id", key.alias("g"), F.col("embedding").cast("array<double>").alias("v"))
     base = rows.filter(F.col("id").isNotNull() & F.col("embedding").isNotNull() & key.isNotNull()).select("id", key.alias("g"), F.col("embedding").cast("array<double>").alias("v"))
@@ -97,10 +99,12 @@ def _blocks(seen: pa.Table) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarra
     off = col.offsets.to_numpy().astype(np.int64)
     flat = col.values.to_numpy(zero_copy_only=False)
     ids, groups, sizes = np.array(seen.column("id").to_pylist(), object), np.array(seen.column("g").to_pylist(), object), np.diff(off)
-    for g in sorted(set(groups.tolist())):
-        for n in np.unique(sizes[groups == g]).tolist():
-            at = np.flatnonzero((groups == g) & (sizes == n))
-            out[g, n] = (ids[at], np.nan_to_num(flat[off[at][:, None] + np.arange(n)[None, :]]) if n else np.zeros((at.size, 0)))
+    names, by = np.unique(groups, return_inverse=True)
+    order = np.lexsort((sizes, by))
+    starts = np.flatnonzero((np.diff(by[order], prepend=-1) != 0) | (np.diff(sizes[order], prepend=-1) != 0))
+    for at in np.split(order, starts[1:]) if order.size else []:
+        g, n = names[by[at[0]]], int(sizes[at[0]])
+        out[g, n] = (ids[at], np.nan_to_num(flat[off[at][:, None] + np.arange(n)[None, :]]) if n else np.zeros((at.size, 0)))
     return out
 
 

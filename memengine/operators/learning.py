@@ -13,6 +13,7 @@ from memengine.functions import ner, scoring, text, vectors
 from memengine.functions.checkpoint import cut
 from memengine.functions.embed import hashed_vector
 from memengine.operators import lifecycle, retrieval
+from memengine.sources.tables import dealt
 
 # --------------------------------------------------------------------------- fusion and policy
 
@@ -161,11 +162,19 @@ def evaluate(utterances: DataFrame, now_ms: int, cfg: Config = DEFAULT, novelty:
 
     The scope of an utterance is ``c`` and its conversation.
     """
+    return judge(analyzed(utterances, now_ms).withColumn("novelty", F.lit(1.0) if novelty is None else novelty), cfg)
+
+
+def analyzed(utterances: DataFrame, now_ms: int) -> DataFrame:
+    """utterances with their clean text and what the rule packs find in it: specificity, types, entities."""
     a = utterances.withColumn("clean", text.extraction_form(F.col("text"), ascii_only=False))
     a = a.withColumn("ner", ner.analyze(F.col("clean"), F.lit(now_ms)))
-    # The UDF's struct is used many times below; the barrier keeps Catalyst from running it each time.
-    a = a.select("*", F.col("ner.specificity").alias("specificity"), F.col("ner.types").alias("types"), F.col("ner.entities").alias("entities"))
-    a = a.withColumn("novelty", F.lit(1.0) if novelty is None else novelty)
+    # The UDF's struct is used many times later; the barrier keeps Catalyst from running it each time.
+    return a.select("*", F.col("ner.specificity").alias("specificity"), F.col("ner.types").alias("types"), F.col("ner.entities").alias("entities")).drop("ner")
+
+
+def judge(a: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Analyzed utterances with novelty: score, threshold, canonical form, signals."""
     a = session_recurrence(a.withColumn("session", F.col("conv_id")).withColumn("content", F.col("clean")), F.lit(1.0), cfg)
     a = a.withColumn("score", scoring.quality(F.col("novelty"), F.col("specificity"), F.col("recurrence"), cfg))
     a = a.withColumn("threshold", scoring.type_threshold(F.col("types"), cfg)).withColumn("bucket", text.temporal_bucket(F.col("clean")))
@@ -179,7 +188,7 @@ def evaluate(utterances: DataFrame, now_ms: int, cfg: Config = DEFAULT, novelty:
     ok = (F.col("score") >= F.col("threshold")) & (F.col("novelty") >= cfg.min_novelty) & (F.size("risks") == 0)
     a = a.withColumn("accepted", ok)
     reasons = text.ambiguity_reasons(F.col("clean"), F.col("score"), F.col("threshold"), F.col("types"), F.size("entities"), F.col("bucket"))
-    return a.withColumn("reasons", reasons).drop("ner", "session", "content")
+    return a.withColumn("reasons", reasons).drop("session", "content")
 
 
 def fallbacks(evaluated: DataFrame) -> DataFrame:
@@ -206,14 +215,15 @@ def model_fallback(asked: DataFrame, complete: Callable[[str], str | None], conf
 
 
 def novelty(said: DataFrame, mem: DataFrame) -> DataFrame:
-    """said (conv_id, pos, text) with novelty: 1 - the similarity to the nearest active row of its scope; 1 without one."""
+    """said (conv_id, pos, text, ...) with novelty: 1 - the similarity to the nearest active row of its scope; 1 without one."""
     scope = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     known = mem.filter("status = 'active' and embedding is not null").select("id", "scope", "embedding")
     # Only utterances of scopes that have a memory are embedded and compared.
     asked = said.withColumn("scope", scope).join(known.select("scope").distinct(), "scope", "left_semi")
-    asked = asked.select(F.concat_ws(" ", "conv_id", "pos").alias("id"), "scope", hashed_vector(text.extraction_form(F.col("text"), ascii_only=False)).alias("embedding")).dropDuplicates(["id"])
+    ident = F.concat_ws(" ", "conv_id", "pos", "text")  # a fallback may give several facts for an utterance
+    asked = asked.select(ident.alias("id"), "scope", hashed_vector(text.extraction_form(F.col("text"), ascii_only=False)).alias("embedding")).dropDuplicates(["id"])
     near = vectors.nearest_of_each(cut(asked), known, 1, 0.0, "scope").select(F.col("new_id").alias("__id"), "similarity")
-    out = said.withColumn("__id", F.concat_ws(" ", "conv_id", "pos")).join(near, "__id", "left").drop("__id")
+    out = said.withColumn("__id", ident).join(near, "__id", "left").drop("__id")
     return out.withColumn("novelty", F.lit(1.0) - F.coalesce("similarity", F.lit(0.0))).drop("similarity")
 
 
@@ -224,11 +234,16 @@ def learn(utterances: DataFrame, mem: DataFrame, now_ms: int, cfg: Config = DEFA
     store of their own scope. Candidates of a batch are deduplicated by origin and key (best score), fused over
     origins and held against the stored rows of their scope; of those that are not ignored, the newest of a
     conversation and predicate is written.
+
+    Texts are analyzed before any join, over all cores: a shuffle of such short rows would leave them in a task
+    or two. mem is read once, for the columns that decisions need.
     """
-    direct = evaluate(novelty(utterances.select("conv_id", "pos", "text"), mem), now_ms, cfg, F.col("novelty"))
+    mem = cut(mem.select("id", "seq", "scope", "status", "updated_at", "predicate", "object", "canonical_key", "embedding"))
+    said = cut(analyzed(utterances.select("conv_id", "pos", "text"), now_ms))
+    direct = judge(novelty(said, mem), cfg)
     direct = cut(direct.withColumn("origin", F.lit("deterministic")).withColumn("confidence", F.lit(None).cast("double")))  # read three times
-    again = fallbacks(direct)
-    extra = evaluate(novelty(again.select("conv_id", "pos", "text"), mem), now_ms, cfg, F.col("novelty")).withColumn("origin", F.lit("fallback"))
+    again = dealt(fallbacks(direct), "conv_id", "pos")
+    extra = judge(novelty(cut(analyzed(again.select("conv_id", "pos", "text"), now_ms)), mem), cfg).withColumn("origin", F.lit("fallback"))
     sure = again.groupBy("conv_id", "pos", "text").agg(F.max("confidence").alias("confidence"))
     extra = extra.join(sure, ["conv_id", "pos", "text"])
     extra = extra.withColumn("accepted", F.col("accepted") | ((F.col("confidence") >= 0.80) & (F.size("risks") == 0)))
@@ -268,7 +283,8 @@ def conflicts(fresh: DataFrame, mem: DataFrame, cfg: Config = DEFAULT) -> DataFr
 
 def write(decided: DataFrame, mem: DataFrame, now_ms: int, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(the next snapshot of mem, contradictions found): new rows, then what policy and contradictions supersede."""
-    fresh = cut(new_rows(decided, mem, now_ms))
+    decided = cut(decided)  # read three times
+    fresh = cut(new_rows(dealt(decided, "id"), mem, now_ms))
     marked = decided.filter("written and action in ('SUPERSEDE', 'UPDATE')")
     by_policy = marked.select(F.col("target_id").alias("old_id"), F.col("id").alias("new_id"), text.has_marker(F.col("text")).alias("temporal"))
     gone = by_policy.select(F.col("old_id").alias("id")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from memengine.config import DAY_MS, DEFAULT, LAMBDA, PREDICATE, REINFORCE, TYPE_THRESHOLD, TYPES, validate_lambdas
 from memengine.functions import ner, packs, scoring, text, vectors
+from memengine.functions.checkpoint import cut
 from memengine.operators import evals, learning, lifecycle, query, retrieval
 from memengine.plans.sql import MEM, NOW, UTTER, duck_case, duck_regex
 from memengine.sources import store
@@ -379,7 +380,7 @@ _add("learn", lambda s, d: learning.learn(_utter(s, d), canonical(memories(s, d)
 
 def _learned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memory table, the table after learning all utterances, contradictions)."""
-    m = canonical(memories(s, d))
+    m = cut(canonical(memories(s, d)))  # read by each step
     return m, *learning.write(learning.learn(_utter(s, d), m, NOW_MS), m, NOW_MS, _low)
 
 
