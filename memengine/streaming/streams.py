@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memengine.config import DEFAULT, STATUSES, Config
 from memengine.functions import ner, text
+from memengine.functions.checkpoint import cut
 from memengine.operators import learning, lifecycle
 
 EVENTS = ["MEMORY_ADDED", "MEMORY_UPDATED", "MEMORY_DELETED", "MEMORY_FADED", "STATS_CHANGED", "CONTRADICTION_DETECTED", "MEMORY_SUPERSEDED"]
@@ -39,7 +40,9 @@ def changes(before: DataFrame, after: DataFrame, now_ms: int, verbose: bool = Fa
 
 def all_changes(before: DataFrame, after: DataFrame, contradictions: DataFrame, now_ms: int, verbose: bool = False) -> DataFrame:
     """changes, with an event for each contradiction, and one of the counts by status if anything changed."""
-    told = changes(before, after, now_ms, verbose)
+    used = ["id", "status", "updated_at", "content", "types"]
+    after = cut(after.select(*(c if verbose or c not in used[3:] else F.lit(None).cast(after.schema[c].dataType).alias(c) for c in used)))  # read three times
+    told = cut(changes(before, after, now_ms, verbose))
     found = contradictions.select(
         F.lit("CONTRADICTION_DETECTED").alias("event_type"), F.col("new_id").alias("memory_id"), F.lit(now_ms).alias("ts"), F.to_json(F.struct("id", "similarity", "resolution")).alias("payload")
     )
