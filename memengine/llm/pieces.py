@@ -40,6 +40,7 @@ _RAW = ""  # stands for a literal U+2581 while units are split; itself writte
 _MASK = (1 << 64) - 1
 _GOLD = 0x9E3779B97F4A7C15
 WIDE = 32  # longer units are merged one by one
+_NEVER = (1 << 31) - 1
 _STEPS = 128  # more than the candidates that come up in WIDE characters: WIDE - 1 and two for each merge
 
 
@@ -94,6 +95,39 @@ def _doc_key(ident: object, seed: int) -> int:
     return xxhash.xxh64_intdigest(str(ident).encode("utf-8", "surrogatepass"), seed)
 
 
+class _Pairs:
+    """Pairs of symbols that make a piece, in an open hash table: place in the order of scores, and the piece."""
+
+    def __init__(self, base: int, keys: np.ndarray, merged: np.ndarray, rank: np.ndarray) -> None:
+        bits = int(8 * keys.size).bit_length()
+        self.base, self.shift, self.mask = base, np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.rank, self.merged = np.full(1 << bits, _NEVER, np.int32), np.zeros(1 << bits, np.int32)
+        left, at = np.arange(keys.size), self._slot(keys)
+        while left.size:
+            here, first = np.unique(at, return_index=True)
+            first = first[self.keys[here] < 0]
+            put = left[first]
+            self.keys[at[first]], self.rank[at[first]], self.merged[at[first]] = keys[put], rank[put], merged[put]
+            rest = np.delete(np.arange(left.size), first)
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(_GOLD)) >> self.shift).astype(np.int64)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the order of scores (or _NEVER) and piece of each pair."""
+        keys = (left.astype(np.int64) * self.base + right).ravel()
+        at = self._slot(keys)
+        found = self.keys[at]
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while rest.size:
+            at[rest] = (at[rest] + 1) & self.mask
+            found = self.keys[at[rest]]
+            rest = rest[(found != keys[rest]) & (found >= 0)]
+        return self.rank[at].reshape(left.shape), self.merged[at].reshape(left.shape)
+
+
 class Model:
     """Pieces, scores and byte pieces of a model file; small enough to travel with the task."""
 
@@ -172,8 +206,8 @@ class Model:
                 out.extend(self.byte_ids[b] for b in piece.replace(_RAW, SPACE).encode("utf-8", "replace"))
         return out
 
-    def tables(self) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of code points, their number, and for each pair that makes a piece: key, piece, place in the order of scores; ids."""
+    def tables(self) -> tuple[np.ndarray, int, np.ndarray, "_Pairs"]:
+        """Symbols of code points, the number that stands for none, ids of symbols, and the pairs that make a piece."""
         if self._tables is None:
             sym: dict[str, int] = {}
             for piece in self.score:
@@ -181,20 +215,20 @@ class Model:
             for piece in self.score:
                 for c in piece:
                     sym.setdefault(c, len(sym))
+            none = len(sym)
             order = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
-            rows = sorted(
-                (sym[piece[:k]] * len(sym) + sym[piece[k:]], sym[piece], order[score])
+            rows = [
+                (sym[piece[:k]] * (none + 1) + sym[piece[k:]], sym[piece], order[score])
                 for piece, score in self.score.items()
                 for k in range(1, len(piece))
                 if piece[:k] in sym and piece[k:] in sym
-            )
-            keys, merged, rank = (np.array(x, np.int64) for x in zip(*rows))
-            ident = np.array([self.ident.get(x, -1) for x in sym], np.int32)
-            code = np.full(0x110000, -1, np.int32)  # code point -> symbol
+            ]
+            ident = np.array([*(self.ident.get(x, -1) for x in sym), -1], np.int32)
+            code = np.full(0x110000, none, np.int32)  # code point -> symbol
             for x, k in sym.items():
                 if len(x) == 1:
                     code[ord(x)] = k
-            self._tables = code, len(sym), keys, merged.astype(np.int32), rank.astype(np.int32), ident
+            self._tables = code, none, ident, _Pairs(none + 1, *(np.array(x, np.int64) for x in zip(*rows)))
         return self._tables
 
     def _many(self, units: list[str], rate: float, key: int) -> list[bytes]:
@@ -209,58 +243,43 @@ class Model:
         ``skips``: for each unit, the steps at which the candidate is skipped. Ids in one array, their
         number for each unit, and the number of candidates that came up.
         """
-        code, n_sym, keys, merged, rank, ident = self.tables()
-        never = np.int32((1 << 31) - 1)
-        lens = np.fromiter(map(len, units), np.int64, len(units))
-        width = int(lens.max())
-        s = np.full((len(units), width + 1), -1, np.int32)
-        s[np.arange(width + 1)[None, :] < lens[:, None]] = code[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-        def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            k = left.astype(np.int64) * n_sym + right
-            slot = np.minimum(np.searchsorted(keys, k), keys.size - 1)
-            ok = (keys[slot] == k) & (left >= 0) & (right >= 0)
-            return np.where(ok, rank[slot], never), merged[slot]
-
-        r, m = look(s[:, :-1], s[:, 1:])  # candidates, and what they make
-        count = lens.copy()
-        live = np.arange(len(units))
-        cols = np.arange(width + 1)
-        steps = np.zeros(len(units), np.int64)
+        code, none, ident, pairs = self.tables()
+        n = len(units)
+        lens = np.fromiter(map(len, units), np.int64, n)
+        wide = int(lens.max()) + 1  # a unit's places, and one that stays empty
+        inside = np.arange(wide)[None, :] < lens[:, None]
+        grid = np.full((n, wide), none, np.int32)
+        grid[inside] = code[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        best, made = np.full((n, wide), _NEVER, np.int32), np.zeros((n, wide), np.int32)  # candidates by their left place, and what they make
+        best[:, :-1], made[:, :-1] = pairs.look(grid[:, :-1], grid[:, 1:])
+        s, r, m = grid.ravel(), best.ravel(), made.ravel()
+        # Places in a row of all; before a unit's first comes the empty one of the unit before.
+        after, before = np.arange(1, n * wide + 1), np.arange(-1, n * wide - 1)
+        live, steps = np.arange(n), np.zeros(n, np.int64)
         while live.size:
-            rl = r[live]
-            i = rl.argmin(axis=1)
-            has = rl[np.arange(live.size), i] < never
+            i = live * wide + best[live].argmin(axis=1)
+            has = r[i] < _NEVER
             live, i = live[has], i[has]
-            if not live.size:
-                break
-            skip = (skips[live] == steps[live, None]).any(axis=1)
+            if skips.shape[1]:
+                skip = (skips[live] == steps[live, None]).any(axis=1)
+                r[i[skip]] = _NEVER
+                i = i[~skip]
             steps[live] += 1
-            r[live[skip], i[skip]] = never
-            go, i = live[~skip], i[~skip]
-            if not go.size:
-                continue
-            made = m[go, i]
-            take = np.minimum(cols[None, :] + (cols[None, :] > i[:, None]), width)
-            row = s[go]
-            sl = np.take_along_axis(row, take, 1)
-            sl[np.arange(go.size), i] = made
-            sl[:, -1] = -1
-            s[go] = sl
-            count[go] -= 1
-            take = np.minimum(cols[None, :-1] + (cols[None, :-1] >= i[:, None]), width - 1)
-            r[go], m[go] = np.take_along_axis(r[go], take, 1), np.take_along_axis(m[go], take, 1)
-            r[go, -1] = never
-            for j in (i - 1, i):
-                fine = (j >= 0) & (j < width)
-                g, k = go[fine], j[fine]
-                r[g, k], m[g, k] = look(s[g, k], s[g, k + 1])
-        ids = np.where(s >= 0, ident[s], -1)
-        inside = cols[None, :] < count[:, None]
+            j = after[i]
+            k = after[j]
+            s[i] = m[i]
+            s[j], r[j] = -1, _NEVER  # grown into its left
+            after[i], before[k] = k, i
+            h = before[i]
+            r[i], m[i] = pairs.look(s[i], s[k])
+            r[h], m[h] = pairs.look(s[h], s[i])
+        inside &= grid >= 0
+        count = inside.sum(axis=1)
+        ids = ident[grid]  # -1 counts from the end, where none is
         odd = np.flatnonzero(((ids < 0) & inside).any(axis=1))
         if not odd.size:
-            return ids[inside].astype(np.int32), count, steps
-        rows = [ids[k, :c].astype(np.int32) for k, c in enumerate(count.tolist())]
+            return ids[inside], count, steps
+        rows = [ids[k, x] for k, x in enumerate(inside)]
         for k in odd.tolist():
             rows[k] = np.array(self._walk(units[k], iter(skips[k].tolist())), np.int32)
             count[k] = rows[k].size
@@ -363,10 +382,11 @@ class _Outcomes:
         node = np.fromiter(map(self.roots.get, units, repeat(-1)), np.int64, len(units))
         lost = np.flatnonzero(node < 0)
         if lost.size:
-            new = [u for u in dict.fromkeys(units[k] for k in lost.tolist()) if len(u) <= WIDE]
+            named = list(map(units.__getitem__, lost.tolist()))
+            new = [u for u in dict.fromkeys(named) if len(u) <= WIDE]
             none = np.full(len(new), -1)
             self.roots.update(zip(new, self._grow(new, none, none, 0).tolist()))
-            node[lost] = np.fromiter((self.roots.get(units[k], -1) for k in lost.tolist()), np.int64, lost.size)
+            node[lost] = np.fromiter(map(self.roots.get, named, repeat(-1)), np.int64, lost.size)
             for k in np.flatnonzero(node < 0).tolist():  # long: each occurrence on its own
                 ids = np.array(self.model.unit_ids(units[k], self.rate, int(keys[k])), np.int32)
                 none = np.full(1, -1)
